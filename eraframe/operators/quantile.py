@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _LOW_BITS = 16
 
 
-def quantile_of_counts(counts: DataFrame, value: str, rows: str, q: float) -> DataFrame:
-    """Interpolated ``q`` quantile as a one-row frame (``quantile``).
+def quantile_of_counts(
+    counts: DataFrame, value: str, rows: str, q: float, totals: Iterable[str] = ()
+) -> DataFrame:
+    """Interpolated ``q`` quantile (``quantile``) and sums of ``totals``, as one row.
 
     ``counts`` has one row per distinct INT ``value`` with its frequency
     ``rows``, so duplicates are combined before anything is shuffled. The
@@ -19,21 +23,28 @@ def quantile_of_counts(counts: DataFrame, value: str, rows: str, q: float) -> Da
     """
     if not 0.0 <= q <= 1.0:
         raise ValueError(f"quantile out of range: {q}")
+    totals = list(totals)
     coarse = F.shiftright(value, _LOW_BITS)
+    everything = Window.partitionBy()
     upto = Window.orderBy("coarse").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranges = (
         counts.groupBy(coarse.alias("coarse"))
-        .agg(F.sum(rows).alias("in_range"))
-        .withColumn("reached", F.sum("in_range").over(upto))
-        .withColumn("position", (F.sum("in_range").over(Window.partitionBy()) - 1) * F.lit(q))
+        .agg(F.sum(rows).alias("in_range"), *[F.sum(c).alias(c) for c in totals])
+        .select(
+            "coarse",
+            "in_range",
+            F.sum("in_range").over(upto).alias("reached"),
+            ((F.sum("in_range").over(everything) - 1) * F.lit(q)).alias("position"),
+            *[F.sum(c).over(everything).alias(c) for c in totals],
+        )
     )
     lower, upper = F.floor("position"), F.ceil("position")
     wanted = ranges.filter(
         (F.col("reached") > lower) & (F.col("reached") - F.col("in_range") <= upper)
-    ).select("coarse", "position", (F.col("reached") - F.col("in_range")).alias("before"))
+    ).select("coarse", "position", (F.col("reached") - F.col("in_range")).alias("before"), *totals)
     within = Window.partitionBy("coarse").orderBy(value)
     ranked = (
-        counts.withColumn("coarse", coarse)
+        counts.select(value, rows, coarse.alias("coarse"))
         .join(F.broadcast(wanted), "coarse")
         .withColumn(
             "reached",
@@ -49,4 +60,7 @@ def quantile_of_counts(counts: DataFrame, value: str, rows: str, q: float) -> Da
         value_at(lower).alias("low"),
         value_at(upper).alias("high"),
         F.max(F.col("position") - lower).alias("part"),
-    ).select((F.col("low") + F.col("part") * (F.col("high") - F.col("low"))).alias("quantile"))
+        *[F.max(c).alias(c) for c in totals],
+    ).select(
+        (F.col("low") + F.col("part") * (F.col("high") - F.col("low"))).alias("quantile"), *totals
+    )

@@ -120,8 +120,8 @@ def load_counters(staged: DataFrame, movies: DataFrame) -> DataFrame:
     )
 
 
-def load_star(staged: DataFrame, macro: DataFrame) -> Star:
-    """All five tables, lazily."""
+def load_star(staged: DataFrame, macro: DataFrame, wide_totals: bool = False) -> Star:
+    """All five tables, lazily. Several of them read ``staged``: store it first."""
     movies = dim_movies(staged)
     return Star(
         fact=fact_box_office(staged, movies),
@@ -129,4 +129,5 @@ def load_star(staged: DataFrame, macro: DataFrame) -> Star:
         dates=dim_date(staged),
         macro=dim_macroeconomics(macro),
         events=dim_events(macro),
+        wide_totals=wide_totals,
     )

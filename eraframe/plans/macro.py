@@ -58,8 +58,16 @@ def benchmark(enriched: DataFrame) -> DataFrame:
 def enrich_macro(series: DataFrame, events: DataFrame) -> DataFrame:
     """The full macro table; the benchmark year takes the benchmark rates."""
     enriched = add_events(indicators_by_year(series), events)
+    # A column of its own, so that the one-row subquery runs once.
     means = benchmark(enriched).select(F.struct(*RATES)).scalar()
     in_benchmark_year = F.col("year") == K.BENCHMARK_YEAR
-    return enriched.withColumns(
-        {rate: F.when(in_benchmark_year, means[rate]).otherwise(F.col(rate)) for rate in RATES}
+    return (
+        enriched.withColumn("means", means)
+        .withColumns(
+            {
+                rate: F.when(in_benchmark_year, F.col(f"means.{rate}")).otherwise(F.col(rate))
+                for rate in RATES
+            }
+        )
+        .drop("means")
     )

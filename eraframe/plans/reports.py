@@ -9,6 +9,9 @@ change a result nor pile up in one sort task.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +27,12 @@ from eraframe.sources.star import Star
 
 
 def _positive(*columns: str) -> Column:
-    condition = F.lit(True)
-    for name in columns:
-        condition = condition & (F.col(name) > 0)
-    return condition
+    return reduce(and_, (F.col(name) > 0 for name in columns), F.lit(True))
+
+
+def _rows(star: Star, *positive: str, era: str = "All") -> DataFrame:
+    """Fact rows of an era with the given columns above zero, ready to be summed."""
+    return star.summable(in_era(star.fact.filter(_positive(*positive)), star, era))
 
 
 def _by_year(fact: DataFrame, *measures: Column) -> DataFrame:
@@ -45,7 +50,7 @@ def _whole_mean(total: Column, rows: Column) -> Column:
 
 def industry_baseline_trends(star: Star, era: str = "All") -> DataFrame:
     """Yearly releases, money, net profit and mean return with the era."""
-    fact = in_era(star.fact.filter(_positive("revenue", "budget")), star, era)
+    fact = _rows(star, "revenue", "budget", era=era)
     yearly = _by_year(
         fact,
         F.count("movie_key").alias("movies_released"),
@@ -122,7 +127,7 @@ def genre_baselines(star: Star, min_films: int = K.MIN_GENRE_FILMS) -> DataFrame
 
 def escapism_index(star: Star, era: str = "All") -> DataFrame:
     """Revenue of each primary genre and its share of the year."""
-    fact = in_era(star.fact.filter(_positive("revenue")), star, era)
+    fact = _rows(star, "revenue", era=era)
     genres = (
         film_groups(fact, _genres(star), ["date_key"], totals=["revenue"])
         .groupBy(F.col("date_key").alias("release_year"), "genre")
@@ -147,7 +152,7 @@ def escapism_index(star: Star, era: str = "All") -> DataFrame:
 
 def budget_dilemma(star: Star, era: str = "All") -> DataFrame:
     """Releases and means per year and budget tier."""
-    fact = in_era(star.fact.filter(_positive("budget")), star, era)
+    fact = _rows(star, "budget", era=era)
     tiers = fact.groupBy(
         F.col("date_key").alias("release_year"),
         classify.budget_tier(F.col("budget")).alias("budget_tier"),
@@ -175,7 +180,7 @@ def budget_dilemma(star: Star, era: str = "All") -> DataFrame:
 
 def comedy_paradox(star: Star, era: str = "All") -> DataFrame:
     """Yearly comedy revenue and rating with their plain five-row means."""
-    fact = in_era(star.fact.filter(_positive("revenue")), star, era)
+    fact = _rows(star, "revenue", era=era)
     comedies = star.movies.filter(mentions_genre(F.col("genre"), "comedy")).select("movie_key")
     yearly = (
         film_groups(fact, comedies, ["date_key"], totals=["revenue"], means=["vote_average"])
@@ -294,7 +299,7 @@ def sentiment_corpus(star: Star, ordered: bool = True) -> DataFrame:
 def financial_kpis(star: Star) -> DataFrame:
     """Yearly money, mean return and number of high returns."""
     yearly = _by_year(
-        star.fact.filter(_positive("budget", "revenue")),
+        _rows(star, "budget", "revenue"),
         F.count(F.lit(1)).alias("total_films"),
         F.sum("budget").alias("total_budget"),
         F.sum("revenue").alias("total_revenue"),
@@ -315,24 +320,30 @@ def vote_statistics(fact: DataFrame, q: float = K.VOTE_QUANTILE) -> DataFrame:
             F.count("vote_average").alias("rated"),
         )
     )
-    threshold = quantile_of_counts(counts, "vote_count", "films", q).scalar()
-    return counts.agg(
-        F.try_divide(F.sum("rating_sum"), F.sum("rated")).alias("global_mean")
-    ).select("global_mean", threshold.alias("min_votes"))
+    totals = ["rating_sum", "rated"]
+    return quantile_of_counts(counts, "vote_count", "films", q, totals).select(
+        F.try_divide("rating_sum", "rated").alias("global_mean"),
+        F.col("quantile").alias("min_votes"),
+    )
 
 
 def rating_kpis(star: Star, q: float = K.VOTE_QUANTILE, ordered: bool = True) -> DataFrame:
     """Weighted rating of every rated release."""
-    fact = star.fact.filter("vote_count > 0")
-    stats = vote_statistics(star.fact, q).select(F.struct("global_mean", "min_votes")).scalar()
-    votes, prior = F.col("vote_count").cast("double"), stats["min_votes"]
-    weighted = votes / (votes + prior) * F.col("vote_average") + prior / (votes + prior) * stats["global_mean"]
+    # A column of its own, so that the one-row subquery runs once.
+    stats = vote_statistics(star.fact, q).select(F.struct("min_votes", "global_mean")).scalar()
     rows = with_calendar(
-        _film_rows(fact, star.movies.select("movie_key", "title", "genre")),
+        _film_rows(
+            star.fact.filter("vote_count > 0"), star.movies.select("movie_key", "title", "genre")
+        ),
         star,
         "era_type",
         "gdp_growth_rate",
-    ).withColumn("weighted_rating", round_half_up(weighted, 3))
+    ).withColumn("stats", stats)
+    votes, prior = F.col("vote_count").cast("double"), F.col("stats.min_votes")
+    weight = votes / (votes + prior)
+    mean_weight = prior / (votes + prior)
+    weighted = weight * F.col("vote_average") + mean_weight * F.col("stats.global_mean")
+    rows = rows.withColumn("weighted_rating", round_half_up(weighted, 3))
     return _sorted(rows, ordered, "release_year", F.desc("weighted_rating")).select(
         "release_year",
         "title",
@@ -362,7 +373,7 @@ def decade_genre_share(star: Star) -> DataFrame:
 def production_density(star: Star, era: str = "All") -> DataFrame:
     """Yearly output and means with the economy; every release counts."""
     yearly = _by_year(
-        in_era(star.fact, star, era),
+        _rows(star, era=era),
         F.count(F.lit(1)).alias("total_films"),
         _mean("budget", 0).alias("avg_budget"),
         _mean("revenue", 0).alias("avg_revenue"),
@@ -409,7 +420,7 @@ def comedy_horror_paradox(star: Star) -> DataFrame:
         F.col("analyzed_genre").isNotNull()
     )
     yearly = film_groups(
-        star.fact,
+        _rows(star),
         movies,
         ["date_key"],
         totals=["revenue", "budget"],
@@ -432,7 +443,7 @@ def comedy_horror_paradox(star: Star) -> DataFrame:
 def gdp_vs_movie_revenue(star: Star, era: str = "All") -> DataFrame:
     """Yearly box office beside economic growth."""
     yearly = _by_year(
-        in_era(star.fact.filter(_positive("revenue", "budget")), star, era),
+        _rows(star, "revenue", "budget", era=era),
         F.sum("revenue").alias("total_box_office"),
         F.count("movie_key").alias("movies_released"),
         _whole_mean(F.sum("revenue"), F.count("revenue")).alias("avg_movie_revenue"),
@@ -471,7 +482,7 @@ def budget_vs_revenue(star: Star, ordered: bool = True) -> DataFrame:
 def crisis_timeline_overlay(star: Star, era: str = "All") -> DataFrame:
     """Yearly money with the event of the year; years without macro data stay."""
     yearly = _by_year(
-        in_era(star.fact.filter(_positive("revenue", "budget")), star, era),
+        _rows(star, "revenue", "budget", era=era),
         F.count("movie_key").alias("movies_released"),
         F.sum("budget").alias("total_budget"),
         F.sum("revenue").alias("total_box_office"),
@@ -546,7 +557,7 @@ def genre_performance_summary(star: Star) -> DataFrame:
 def inflation_adjusted_profit(star: Star, era: str = "All") -> DataFrame:
     """Yearly profit divided by the inflation rate; null where the rate is 0."""
     yearly = _by_year(
-        in_era(star.fact.filter(_positive("revenue", "budget")), star, era),
+        _rows(star, "revenue", "budget", era=era),
         F.sum("revenue").alias("total_revenue"),
         F.sum("budget").alias("total_budget"),
     )

@@ -24,6 +24,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def hand_off(df: DataFrame, name: str) -> DataFrame:
+    """Store a frame in the shared folder and go on from the stored copy.
+
+    For results several steps read: they are computed once, each reader scans
+    only its columns, and a lost executor costs no recomputation from source.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header; quotes in text are doubled, blanks are kept."""
     (

@@ -5,8 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from eraframe import schemas
+from eraframe.operators.joins import planned_bytes
+
+# A fact stored in more bytes than this may hold billions of films, whose money
+# no longer adds up within BIGINT.
+WIDE_TOTALS_BYTES = 8 << 30
 
 
 @dataclass(frozen=True)
@@ -15,6 +21,9 @@ class Star:
 
     Every fact row has its film in ``movies`` and ``macro``, ``events`` and
     ``dates`` have one row per year: the load step sees to both.
+
+    Money totals are BIGINT. With ``wide_totals`` they are DECIMAL, for facts
+    whose sums would overflow (which fails, it never wraps).
     """
 
     fact: DataFrame
@@ -22,6 +31,18 @@ class Star:
     dates: DataFrame
     macro: DataFrame
     events: DataFrame
+    wide_totals: bool = False
+
+    def summable(self, fact: DataFrame) -> DataFrame:
+        """Fact rows with money in the type its totals need."""
+        if not self.wide_totals:
+            return fact
+        return fact.withColumns({c: F.col(c).cast("decimal(20,0)") for c in ("budget", "revenue")})
+
+
+def needs_wide_totals(stored: DataFrame) -> bool:
+    """Decide by the stored size of the table the fact comes from."""
+    return planned_bytes(stored) > WIDE_TOTALS_BYTES
 
 
 _TABLES = {
@@ -35,12 +56,11 @@ _TABLES = {
 
 def read_star(spark: SparkSession, path: str) -> Star:
     """Open a stored star schema."""
-    return Star(
-        **{
-            field: spark.read.schema(schema).parquet(f"{path}/{table}")
-            for field, (table, schema) in _TABLES.items()
-        }
-    )
+    tables = {
+        field: spark.read.schema(schema).parquet(f"{path}/{table}")
+        for field, (table, schema) in _TABLES.items()
+    }
+    return Star(**tables, wide_totals=needs_wide_totals(tables["fact"]))
 
 
 def write_star(star: Star, path: str) -> None:

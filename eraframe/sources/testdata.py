@@ -17,7 +17,7 @@ from eraframe.functions.rounding import round_half_up
 from eraframe.operators.keyed import keep_first
 from eraframe.plans.load import popularity
 from eraframe.sources.readers import constant_table
-from eraframe.sources.star import Star
+from eraframe.sources.star import Star, needs_wide_totals
 
 # Invented yearly rates (year, growth, unemployment, inflation)
 # that sit on the limits of both crisis rules.
@@ -142,6 +142,7 @@ def star(
         events=keep_first(events, "year", "seq").select(
             F.col("year").alias("event_year"), "event_name", "event_type"
         ),
+        wide_totals=needs_wide_totals(table(spark, sf_dir, "lineitem")),
     )
 
 
