@@ -13,7 +13,7 @@ _LOW_BITS = 16
 def quantile_of_counts(
     counts: DataFrame, value: str, rows: str, q: float, totals: Iterable[str] = ()
 ) -> DataFrame:
-    """Interpolated ``q`` quantile (``quantile``) and sums of ``totals``, as one row.
+    """Interpolated ``q`` quantile (``quantile``) and sums ``total_<c>`` of ``totals``, as one row.
 
     ``counts`` has one row per distinct INT ``value`` with its frequency
     ``rows``, so duplicates are combined before anything is shuffled. The
@@ -24,24 +24,25 @@ def quantile_of_counts(
     if not 0.0 <= q <= 1.0:
         raise ValueError(f"quantile out of range: {q}")
     totals = list(totals)
+    sums = [f"total_{c}" for c in totals]
     coarse = F.shiftright(value, _LOW_BITS)
     everything = Window.partitionBy()
     upto = Window.orderBy("coarse").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranges = (
         counts.groupBy(coarse.alias("coarse"))
-        .agg(F.sum(rows).alias("in_range"), *[F.sum(c).alias(c) for c in totals])
+        .agg(F.sum(rows).alias("in_range"), *[F.sum(c).alias(f"total_{c}") for c in totals])
         .select(
             "coarse",
             "in_range",
             F.sum("in_range").over(upto).alias("reached"),
             ((F.sum("in_range").over(everything) - 1) * F.lit(q)).alias("position"),
-            *[F.sum(c).over(everything).alias(c) for c in totals],
+            *[F.sum(c).over(everything).alias(c) for c in sums],
         )
     )
     lower, upper = F.floor("position"), F.ceil("position")
     wanted = ranges.filter(
         (F.col("reached") > lower) & (F.col("reached") - F.col("in_range") <= upper)
-    ).select("coarse", "position", (F.col("reached") - F.col("in_range")).alias("before"), *totals)
+    ).select("coarse", "position", (F.col("reached") - F.col("in_range")).alias("before"), *sums)
     within = Window.partitionBy("coarse").orderBy(value)
     ranked = (
         counts.select(value, rows, coarse.alias("coarse"))
@@ -60,7 +61,7 @@ def quantile_of_counts(
         value_at(lower).alias("low"),
         value_at(upper).alias("high"),
         F.max(F.col("position") - lower).alias("part"),
-        *[F.max(c).alias(c) for c in totals],
+        *[F.max(c).alias(c) for c in sums],
     ).select(
-        (F.col("low") + F.col("part") * (F.col("high") - F.col("low"))).alias("quantile"), *totals
+        (F.col("low") + F.col("part") * (F.col("high") - F.col("low"))).alias("quantile"), *sums
     )

@@ -322,7 +322,7 @@ def vote_statistics(fact: DataFrame, q: float = K.VOTE_QUANTILE) -> DataFrame:
     )
     totals = ["rating_sum", "rated"]
     return quantile_of_counts(counts, "vote_count", "films", q, totals).select(
-        F.try_divide("rating_sum", "rated").alias("global_mean"),
+        F.try_divide("total_rating_sum", "total_rated").alias("global_mean"),
         F.col("quantile").alias("min_votes"),
     )
 
