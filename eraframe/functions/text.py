@@ -10,7 +10,9 @@ from eraframe.constants import UNKNOWN_GENRE
 # Every Unicode blank plus the four separator controls 0x1C-0x1F.
 _BLANK = r"[\s\x{1c}-\x{1f}]"
 _OUTER_BLANKS = f"(?U)^{_BLANK}+|{_BLANK}+$"
-_QUOTED = r"""(?s)^["'](.*["'])?$"""
+# One layer of straight quotes around the text, or the text without its blanks.
+_TITLE = rf"""(?sU)^{_BLANK}*+(?:["'](?:{_BLANK}*+(.*?){_BLANK}*["'])?|(.*?)){_BLANK}*\z"""
+_BRACKETED = rf"(?sU)^{_BLANK}*\[.*\]{_BLANK}*\z"
 
 
 def strip_blanks(text: Column) -> Column:
@@ -25,38 +27,37 @@ def imdb_number(text: Column) -> Column:
 
 def strip_quotes(title: Column) -> Column:
     """Trim, then take off one layer of straight quotes, matching or not."""
-    bare = strip_blanks(title)
-    inner = strip_blanks(F.substring(bare, F.lit(2), F.length(bare) - 2))
-    return F.when(bare.rlike(_QUOTED), inner).otherwise(bare)
+    return F.regexp_replace(title, _TITLE, "$1$2")
 
 
 def _json_genres(text: Column) -> Column:
     """Names of a JSON list of objects joined by ", "; null if unusable.
 
     Objects without a name are passed over. A name that is not text, or an
-    entry that can hold no name at all, makes the whole value unusable.
+    entry that can hold no name at all, makes the whole value unusable. The
+    text is parsed once, its entries are folded one after the other.
     """
-    parsed = F.try_parse_json(F.translate(text, "'", '"'))
-    entries = F.try_variant_get(parsed, "$", "array<variant>")
-
-    def name_kind(entry: Column) -> Column:
-        return F.schema_of_variant(F.try_variant_get(entry, "$.name", "variant"))
+    entries = F.try_variant_get(
+        F.try_parse_json(F.translate(text, "'", '"')), "$", "array<variant>"
+    )
 
-    def unusable(entry: Column) -> Column:
+    def add(found: Column, entry: Column) -> Column:
         kind = F.schema_of_variant(entry)
-        misnamed = F.coalesce(name_kind(entry) != "STRING", F.lit(False))
-        scalar = ~kind.rlike("^(OBJECT|ARRAY|STRING)")
-        mentions = (kind == "STRING") & F.coalesce(
-            F.try_variant_get(entry, "$", "string").contains("name"), F.lit(False)
+        name_kind = F.schema_of_variant(F.try_variant_get(entry, "$.name", "variant"))
+        name = F.try_variant_get(entry, "$.name", "string")
+        spoils = (
+            F.when(kind.startswith("OBJECT"), F.coalesce(name_kind != "STRING", F.lit(False)))
+            .when(kind == "STRING", F.try_variant_get(entry, "$", "string").contains("name"))
+            .otherwise(~kind.startswith("ARRAY"))
+        )
+        joined = F.when(name_kind == "STRING", F.concat_ws(", ", found["names"], name))
+        return F.struct(
+            (found["usable"] & ~spoils).alias("usable"),
+            F.coalesce(joined, found["names"]).alias("names"),
         )
-        return misnamed | scalar | mentions
 
-    names = F.transform(
-        F.filter(entries, lambda entry: name_kind(entry) == "STRING"),
-        lambda entry: F.try_variant_get(entry, "$.name", "string"),
-    )
-    usable = (F.size(names) > 0) & ~F.exists(entries, unusable)
-    return F.when(usable, F.array_join(names, ", "))
+    nothing = F.struct(F.lit(True).alias("usable"), F.lit(None).cast("string").alias("names"))
+    return F.aggregate(entries, nothing, add, lambda found: F.when(found["usable"], found["names"]))
 
 
 def _plain_genres(text: Column) -> Column:
@@ -67,10 +68,9 @@ def _plain_genres(text: Column) -> Column:
 
 def genre_list(genres: Column) -> Column:
     """One clean ``"A, B"`` string out of the JSON and plain notations."""
-    text = strip_blanks(genres)
-    bracketed = text.startswith("[") & text.endswith("]")
-    plain = F.coalesce(F.nullif(_plain_genres(text), F.lit("")), F.lit(UNKNOWN_GENRE))
-    return F.when(bracketed, F.coalesce(_json_genres(text), plain)).otherwise(plain)
+    plain = F.coalesce(F.nullif(_plain_genres(genres), F.lit("")), F.lit(UNKNOWN_GENRE))
+    listed = F.when(genres.rlike(_BRACKETED), _json_genres(strip_blanks(genres)))
+    return F.coalesce(listed, plain)
 
 
 def primary_genre(genre: Column) -> Column:
