@@ -19,7 +19,7 @@ from eraframe.functions.rounding import round_half_up
 from eraframe.functions.text import format_currency, mentions_genre, primary_genre
 from eraframe.operators import quality
 from eraframe.operators.era import calendar
-from eraframe.plans import clean, dashboard, load, macro, reports, stage
+from eraframe.plans import checks, clean, dashboard, load, macro, reports, stage
 from eraframe.plans.catalog import REPORTS, applies_era
 from eraframe.schemas import TITLE_BASICS, TITLE_RATINGS
 from eraframe.sources import readers, sinks, testdata
@@ -95,10 +95,9 @@ def _film_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _format_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    star = testdata.star(spark, sf_dir)
     grossed = (
-        testdata.star(spark, sf_dir)
-        .fact.groupBy("movie_key")
-        .agg(F.sum("revenue").alias("total_box_office"))
+        star.summable(star.fact).groupBy("movie_key").agg(F.sum("revenue").alias("total_box_office"))
     )
     return grossed.withColumn("money_label", format_currency(F.col("total_box_office")))
 
@@ -199,38 +198,23 @@ def _stored_star_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dq_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of the star, which are sound, and of staged films, which repeat."""
     films = _staged(spark, sf_dir).withColumnRenamed("id", "movie_id")
-    fact = testdata.star(spark, sf_dir).fact
-    return quality.duplicate_keys(films, "dim_movies", "movie_id").unionByName(
-        quality.duplicate_keys(fact, "fact_box_office", "movie_key")
-    )
+    staged = quality.duplicate_keys(films, "master_staging", "movie_id")
+    return staged.unionByName(checks.repeated_keys(testdata.star(spark, sf_dir)))
 
 
 def _dq_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Required columns, and the optional ones that do have nulls."""
     star = testdata.star(spark, sf_dir, overviews=True)
     rates = ["gdp_growth_rate", "unemployment_rate", "inflation_rate"]
     return (
-        quality.null_counts(star.movies, "dim_movies", ["movie_id", "title", "genre", "overview"])
-        .unionByName(quality.null_counts(star.fact, "fact_box_office", ["movie_key", "date_key"]))
+        checks.missing_values(star)
+        .unionByName(quality.null_counts(star.movies, "dim_movies", ["genre", "overview"]))
         .unionByName(quality.null_counts(star.macro, "dim_macroeconomics", rates))
     )
 
 
-def _dq_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    star = testdata.star(spark, sf_dir)
-    checks = [
-        ("movie_key", star.movies, "movie_key", "dim_movies"),
-        ("date_key", star.dates, "date_key", "dim_date"),
-        ("date_key", star.macro, "year", "dim_macroeconomics"),
-        ("date_key", star.events, "event_year", "dim_geopolitical_events"),
-    ]
-    found = [quality.orphans(star.fact, *check) for check in checks]
-    result = found[0]
-    for more in found[1:]:
-        result = result.unionByName(more)
-    return result
-
-
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: yearly industry trends by economic era."""
     return _report("industry_baseline_trends")(spark, _SMOKE_DIR)
@@ -287,7 +271,7 @@ def queries() -> dict[str, Query]:
         "stored_star_trends": _stored_star_trends,
         "dq_duplicate_keys": _dq_duplicate_keys,
         "dq_nulls": _dq_nulls,
-        "dq_orphans": _dq_orphans,
+        "dq_orphans": lambda spark, sf_dir: checks.broken_references(testdata.star(spark, sf_dir)),
     }
     return registered
 

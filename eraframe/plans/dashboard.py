@@ -66,27 +66,28 @@ def top_genres_other(shares: DataFrame, k: int = K.TOP_GENRES) -> DataFrame:
 
     Long form, one row per decade and label, 0 where a decade lacks the genre.
     """
-    best = F.broadcast(_ranked_genres(shares, k).select("genre", F.lit(True).alias("ranked")))
-    labelled = shares.join(best, "genre", "left").select(
-        "decade",
-        F.when(F.col("ranked"), F.col("genre")).otherwise(K.OTHER_GENRES).alias("label"),
-        "genre_share_pct",
+    # A column of its own, so that the one-row subquery runs once.
+    top = _ranked_genres(shares, k).agg(F.collect_list("genre")).scalar()
+    ranked = F.coalesce(F.array_contains("top", F.col("genre")), F.lit(False))
+    label = F.when(ranked, F.col("genre")).otherwise(K.OTHER_GENRES)
+    share = F.sum(F.col("genre_share_pct").cast("decimal(20,2)")).cast("double")
+    labelled = (
+        shares.withColumn("top", top)
+        .groupBy("decade", label.alias("label"))
+        .agg(share.alias("share_pct"), F.any_value("top").alias("top"))
+    )
+    # At most k + 1 labels per decade from here on.
+    by_decade = labelled.groupBy("decade").agg(
+        F.map_from_entries(F.collect_list(F.struct("label", "share_pct"))).alias("held"),
+        F.array_append(F.any_value("top"), F.lit(K.OTHER_GENRES)).alias("labels"),
     )
-    # At most k + 1 labels, held as one array value.
-    labels = _ranked_genres(shares, k).agg(
-        F.array_append(F.collect_list("genre"), F.lit(K.OTHER_GENRES))
-    ).scalar()
-    share = F.sum(F.col("genre_share_pct").cast("decimal(20,2)"))
     return (
-        shares.select("decade")
-        .distinct()
-        .select("decade", F.explode(labels).alias("label"))
-        .join(
-            labelled.groupBy("decade", "label").agg(share.cast("double").alias("share")),
-            ["decade", "label"],
-            "left",
+        by_decade.select("decade", "held", F.explode("labels").alias("label"))
+        .select(
+            "decade",
+            "label",
+            F.coalesce(F.try_element_at("held", F.col("label")), F.lit(0.0)).alias("share_pct"),
         )
-        .select("decade", "label", F.coalesce("share", F.lit(0.0)).alias("share_pct"))
         .orderBy("decade", "label")
     )
 

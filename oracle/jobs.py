@@ -219,15 +219,19 @@ SELECT date_key AS release_year, count(*) AS movies_released,
   if(any_value(gdp) < 0 OR any_value(unemp) > 8 OR any_value(crisis), 'Crisis', 'Stable') AS era_type
 FROM box_office JOIN cal ON cal.year = date_key WHERE revenue > 0 AND budget > 0 GROUP BY date_key""",
         "dq_duplicate_keys": f"""WITH {STAGED}
-SELECT 'dim_movies' AS table_name, 'movie_id' AS key_column, CAST(id AS VARCHAR) AS key_value,
+SELECT 'master_staging' AS table_name, 'movie_id' AS key_column, CAST(id AS VARCHAR) AS key_value,
   count(*) AS copies FROM staged GROUP BY id HAVING count(*) > 1
 UNION ALL
-SELECT 'fact_box_office', 'movie_key', CAST(movie_key AS VARCHAR), count(*)
-FROM ({star()} SELECT movie_key FROM fact) GROUP BY movie_key HAVING count(*) > 1""",
+SELECT 'dim_movies', 'movie_key', CAST(p_partkey AS VARCHAR), count(*) FROM part
+GROUP BY p_partkey HAVING count(*) > 1""",
         "dq_nulls": f"""{star()}, full_movies AS (
   SELECT m.*, movie_key AS movie_id, text AS overview
-  FROM movies m LEFT JOIN documents ON doc_id = movie_key)
+  FROM movies m LEFT JOIN documents ON doc_id = movie_key),
+dates AS (SELECT DISTINCT date_key AS release_year,
+  concat(CAST(date_key // 10 AS VARCHAR), '0s') AS decade FROM fact)
 {_null_counts('dim_movies', 'full_movies', ['movie_id', 'title', 'genre', 'overview'])} UNION ALL
+{_null_counts('dim_date', 'dates', ['release_year', 'decade'])} UNION ALL
+{_null_counts('dim_geopolitical_events', 'events', ['event_name', 'event_type'])} UNION ALL
 {_null_counts('fact_box_office', 'fact', ['movie_key', 'date_key'])} UNION ALL
 SELECT 'dim_macroeconomics', column_name, nulls FROM (VALUES
   ('gdp_growth_rate', 2), ('unemployment_rate', 1), ('inflation_rate', 0)) v(column_name, nulls)""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pytest
 
 from eraframe import read_star, run_report, write_star
@@ -66,3 +68,29 @@ def test_small_film_dimension_is_broadcast(stored):
 def test_rating_statistics_run_once(stored):
     plan = _plan(run_report("rating_kpis", stored, ordered=False))
     assert plan.count("Subquery subquery") == 2  # the column and its plan
+
+
+@pytest.fixture
+def small_skew_limits(spark, no_auto_broadcast):
+    """Limits at which a test-sized partition counts as skewed."""
+    limits = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+    }
+    before = {key: spark.conf.get(key) for key in limits}
+    for key, value in limits.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+def test_join_of_a_hot_film_is_split(spark, tmp_path, small_skew_limits):
+    star = testdata.star(spark, SMALL)
+    hot = star.fact.selectExpr("CAST(7 AS BIGINT) AS movie_key", "* EXCEPT (movie_key)")
+    write_star(replace(star, fact=star.fact.unionByName(hot)), str(tmp_path))
+    stored = read_star(spark, str(tmp_path))
+    rows = run_report("macro_impact_data", stored, ordered=False)
+    assert len(rows.collect()) == 2 * star.fact.count()
+    assert "skew=true" in _plan(rows)
