@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from eraframe.constants import UNKNOWN_GENRE
 
-# Every Unicode blank plus the four separator controls 0x1C-0x1F.
-_BLANK = r"[\s\x{1c}-\x{1f}]"
-_OUTER_BLANKS = f"(?U)^{_BLANK}+|{_BLANK}+$"
+# The characters that count as blank.
+_BLANKS = (
+    r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
+_BLANK = f"[{_BLANKS}]"
+_OUTER_BLANKS = rf"^{_BLANK}+|{_BLANK}+\z"
+_SEPARATORS = rf"{_BLANK}*[,|][,|{_BLANKS}]*"
+_OUTER_SEPARATORS = rf"^[,|{_BLANKS}]+|[,|{_BLANKS}]+\z"
 # One layer of straight quotes around the text, or the text without its blanks.
-_TITLE = rf"""(?sU)^{_BLANK}*+(?:["'](?:{_BLANK}*+(.*?){_BLANK}*["'])?|(.*?)){_BLANK}*\z"""
-_BRACKETED = rf"(?sU)^{_BLANK}*\[.*\]{_BLANK}*\z"
+_TITLE = rf"""(?s)^{_BLANK}*+(?:["'](?:{_BLANK}*+(.*?){_BLANK}*["'])?|(.*?)){_BLANK}*\z"""
+_BRACKETED = rf"(?s)^{_BLANK}*\[.*\]{_BLANK}*\z"
 
 
 def strip_blanks(text: Column) -> Column:
@@ -30,16 +36,14 @@ def strip_quotes(title: Column) -> Column:
     return F.regexp_replace(title, _TITLE, "$1$2")
 
 
-def _json_genres(text: Column) -> Column:
+def _json_genres(json: Column) -> Column:
     """Names of a JSON list of objects joined by ", "; null if unusable.
 
     Objects without a name are passed over. A name that is not text, or an
     entry that can hold no name at all, makes the whole value unusable. The
     text is parsed once, its entries are folded one after the other.
     """
-    entries = F.try_variant_get(
-        F.try_parse_json(F.translate(text, "'", '"')), "$", "array<variant>"
-    )
+    entries = F.try_variant_get(F.try_parse_json(json), "$", "array<variant>")
 
     def add(found: Column, entry: Column) -> Column:
         kind = F.schema_of_variant(entry)
@@ -61,16 +65,15 @@ def _json_genres(text: Column) -> Column:
 
 
 def _plain_genres(text: Column) -> Column:
-    """Entries split on commas or pipes, blanks dropped, joined by ", "."""
-    entries = F.transform(F.split(text, "[,|]"), strip_blanks)
-    return F.array_join(F.filter(entries, lambda entry: entry != ""), ", ")
+    """Entries between commas or pipes, blanks dropped, joined by ", "."""
+    return F.regexp_replace(F.regexp_replace(text, _OUTER_SEPARATORS, ""), _SEPARATORS, ", ")
 
 
 def genre_list(genres: Column) -> Column:
     """One clean ``"A, B"`` string out of the JSON and plain notations."""
     plain = F.coalesce(F.nullif(_plain_genres(genres), F.lit("")), F.lit(UNKNOWN_GENRE))
-    listed = F.when(genres.rlike(_BRACKETED), _json_genres(strip_blanks(genres)))
-    return F.coalesce(listed, plain)
+    json = F.translate(strip_blanks(genres), "'", '"')
+    return F.coalesce(F.when(genres.rlike(_BRACKETED), _json_genres(json)), plain)
 
 
 def primary_genre(genre: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from eraframe import schemas
@@ -52,30 +53,30 @@ def read_films(
     )
 
 
-def split_lines(lines: DataFrame, columns: list[str], line: str = "value") -> DataFrame:
-    r"""Tab-separated lines into text columns.
+def read_titles(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    r"""Title TSV as text columns; large files are split over tasks by line.
 
-    Quotes have no meaning, ``\N`` is null, short lines are padded with nulls,
-    lines with too many fields, blank lines and header lines are left out.
+    Quotes have no meaning, ``\N`` and empty fields are null, short lines are
+    padded with nulls. Lines with too many fields, blank lines and header lines
+    are left out.
     """
-    fields = F.split(F.col(line), "\t", -1)
-    header = "\t".join(columns)
-    return (
-        lines.filter((F.col(line) != "") & (F.col(line) != header))
-        .select(fields.alias("fields"))
-        .filter(F.size("fields") <= len(columns))
-        .select(
-            *[
-                F.nullif(F.get("fields", F.lit(i)), F.lit("\\N")).alias(name)
-                for i, name in enumerate(columns)
-            ]
-        )
+    kept = "malformed"
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*columns, kept)])
+    lines = (
+        spark.read.schema(schema)
+        .option("sep", "\t")
+        .option("quote", "")
+        .option("nullValue", "\\N")
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", kept)
+        .option("columnPruning", False)
+        .csv(path)
     )
-
-
-def read_titles(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Title TSV; large files are split over tasks by line."""
-    return split_lines(spark.read.text(path), columns)
+    # The reader keeps the text of lines that are too short or too long.
+    tabs = F.length(kept) - F.length(F.replace(F.col(kept), F.lit("\t"), F.lit("")))
+    fits = F.col(kept).isNull() | (tabs < len(columns))
+    header = F.col(columns[0]).eqNullSafe(columns[0])
+    return lines.filter(fits & ~header).drop(kept)
 
 
 def read_indicators(spark: SparkSession, path: str) -> DataFrame:

@@ -35,6 +35,13 @@ def hand_off(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hand_off_lines(lines: DataFrame, name: str) -> str:
+    """Store lines as text files in the shared folder; the path of the folder."""
+    path = scratch_path(lines.sparkSession, name)
+    lines.write.text(path)
+    return path
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header; quotes in text are doubled, blanks are kept."""
     (

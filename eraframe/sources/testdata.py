@@ -77,7 +77,8 @@ def release_fact(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
         .agg(
             F.min("l_shipdate").alias("shipped"),
             F.sum("l_quantity").alias("quantity"),
-            F.sum("l_extendedprice").alias("price"),
+            # Whole cents, so that the order of the lines cannot change a sum.
+            F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("cents"),
             F.max(F.abs("l_discount")).alias("discount"),
         )
         .join(parts, F.col("l_partkey") == F.col("p_partkey"))
@@ -85,7 +86,7 @@ def release_fact(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
             F.col("l_partkey").alias("movie_key"),
             (F.year("shipped") + shift).cast("int").alias("date_key"),
             F.floor(F.col("quantity") * F.col("p_retailprice") * 5000).alias("budget"),
-            F.floor(F.col("price") * 5000).alias("revenue"),
+            (F.col("cents") * 50).alias("revenue"),
             round_half_up(5 + 50 * F.col("discount"), 1).alias("vote_average"),
             (F.col("quantity") * 100).cast("int").alias("vote_count"),
         )

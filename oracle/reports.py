@@ -34,12 +34,12 @@ def star(shift: int = 0) -> str:
     return f"""
 WITH lines AS (
   SELECT l_orderkey, l_partkey, year(min(l_shipdate)) AS y, sum(l_quantity) AS q,
-    sum(l_extendedprice) AS p, max(abs(l_discount)) AS d
+    sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS p, max(abs(l_discount)) AS d
   FROM lineitem GROUP BY ALL
 ), releases AS (
   SELECT l_orderkey, l_partkey AS movie_key, CAST(y + {shift} AS INT) AS date_key,
     {whole('floor(q * p_retailprice * 5000)')} AS budget,
-    {whole('floor(p * 5000)')} AS revenue,
+    {whole('p * 5000')} AS revenue,
     {rounded('5 + 50 * d', 1)} AS vote_average,
     CAST(q * 100 AS INT) AS vote_count
   FROM lines JOIN part ON p_partkey = l_partkey

@@ -86,13 +86,15 @@ def test_title_lines(spark, tmp_path):
     columns = ["tconst", "titleType", "runtimeMinutes"]
     (tmp_path / "t.tsv").write_text(
         "\t".join(columns) + '\ntt1\t movie \t90\ntt2\tmovie\ntt3\tmovie\t\\N\n'
-        'tt4\t"movie\t5\ntt5\tmovie\t1\textra\n\ntt6\t\t\n'
+        'tt4\t"movie\t5\ntt5\tmovie\t1\textra\n\ntt6\t\t\ntt7\tmovie\t1\t\ntt8\n'
     )
     rows = tuples(readers.read_titles(spark, str(tmp_path), columns).orderBy("tconst"))
     assert rows == [
         ("tt1", " movie ", "90"), ("tt2", "movie", None), ("tt3", "movie", None),
-        ("tt4", '"movie', "5"), ("tt6", "", ""),
+        ("tt4", '"movie', "5"), ("tt6", None, None), ("tt8", None, None),
     ]
+    # Reading one column only must not change which lines are left out.
+    assert readers.read_titles(spark, str(tmp_path), columns).select("titleType").count() == 6
 
 
 def test_csv_round_trip(spark, tmp_path):
