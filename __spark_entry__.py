@@ -41,7 +41,9 @@ def _report(name: str, era: str = "All") -> Query:
     return query
 
 
-def _reshaped(operator: Callable[..., DataFrame], name: str, era: str = "All", shift: int = 0, **parameters) -> Query:
+def _reshaped(
+    operator: Callable[..., DataFrame], name: str, era: str = "All", shift: int = 0, **parameters
+) -> Query:
     """A dashboard operator over a report result."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
