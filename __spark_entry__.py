@@ -7,6 +7,7 @@ functions sort by default.
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,12 @@ from eraframe.sources.star import read_star, write_star
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# The text operators are an optional part: without their folder the rest works.
+if importlib.util.find_spec("eraframe.llm") and importlib.util.find_spec("corpus_pipeline"):
+    from eraframe.llm import queries as text_queries
+else:
+    text_queries = None
+
 _SMOKE_DIR = "/root/testdata/sf0.001"
 _FILM_LEVEL = ("sentiment_corpus", "rating_kpis", "macro_impact_data", "budget_vs_revenue")
 
@@ -287,11 +294,13 @@ def queries() -> dict[str, Query]:
         "dq_nulls": _dq_nulls,
         "dq_orphans": lambda spark, sf_dir: checks.broken_references(testdata.star(spark, sf_dir)),
     }
+    if text_queries:
+        registered |= text_queries.queries()
     return registered
 
 
 def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL for every registered query."""
+    """DuckDB SQL for every registered query that SQL can express."""
     from oracle import all_sql
 
-    return all_sql()
+    return all_sql() | (text_queries.oracle_sql() if text_queries else {})
