@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 import corpus_pipeline
 import public_tokenizers
@@ -122,8 +123,19 @@ FROM parts LEFT JOIN ways ON ways.host = parts.host AND ways.path = parts.path A
 """
 
 
+def _importable(query: Query) -> Query:
+    """Lets local Python workers find this package, wherever the driver was started."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root = str(Path(corpus_pipeline.__file__).resolve().parent)
+        spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return {
+    registered = {
         "op1_fingerprints": fingerprints_query,
         "op2_quality_rules": quality_query,
         "op4_best_fit_packing": packing_query,
@@ -132,6 +144,7 @@ def queries() -> dict[str, Query]:
         "op8_source_mixing": mixing_query,
         "pipeline": corpus_pipeline.run,
     }
+    return {name: _importable(query) for name, query in registered.items()}
 
 
 def oracle_sql() -> dict[str, str]:
