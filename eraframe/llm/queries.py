@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, packing, quality, secrets, url_filter
+from . import fingerprints, mixing, packing, pii, quality, secrets, url_filter
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +97,11 @@ def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents")).drop("times")
 
 
+def pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_private(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *span_columns(F.col("spans"), list(pii.PATTERNS)))
+
+
 URL_SQL = """
 WITH rest AS (
   SELECT page_id,
@@ -142,6 +147,7 @@ def queries() -> dict[str, Query]:
         "op5_secret_scans": secrets_query,
         "op6_url_filters": url_query,
         "op8_source_mixing": mixing_query,
+        "op10_pii": pii_query,
         "pipeline": corpus_pipeline.run,
     }
     return {name: _importable(query) for name, query in registered.items()}
