@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eraframe.llm import mixing, packing, quality
+from eraframe.llm import mixing, near_dedup, packing, pii, quality
 from eraframe.llm.common import read_table, stored
 
 
@@ -18,6 +18,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Private spans are replaced in the texts."""
+    return pii.sanitise_documents(docs)
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every source is repeated or thinned to its target weight."""
     return mixing.repeat_documents(docs)
@@ -30,6 +40,8 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [
     ("quality_rules", quality_rules),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("pii", private_data),
     ("source_mixing", source_mix),
     ("best_fit_packing", best_fit_packing),
 ]

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, packing, pii, quality, secrets, url_filter
+from . import fingerprints, mixing, near_dedup, packing, pii, quality, secrets, url_filter
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +97,14 @@ def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents")).drop("times")
 
 
+def near_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(
+        read_table(spark, sf_dir, "documents"),
+        near_dedup.Likeness(shingle=3, percent=85, bands=20, rows=4, extra=48),
+    )
+    return found.select("doc_id", "n_shingles", "component_id", "kept", "links")
+
+
 def pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_private(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", *span_columns(F.col("spans"), list(pii.PATTERNS)))
@@ -146,6 +154,7 @@ def queries() -> dict[str, Query]:
         "op4_best_fit_packing": packing_query,
         "op5_secret_scans": secrets_query,
         "op6_url_filters": url_query,
+        "op7_minhash_near_dedup": near_dedup_query,
         "op8_source_mixing": mixing_query,
         "op10_pii": pii_query,
         "pipeline": corpus_pipeline.run,
