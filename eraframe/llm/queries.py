@@ -10,7 +10,18 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, near_dedup, packing, pii, quality, secrets, url_filter
+from . import (
+    fingerprints,
+    mixing,
+    near_dedup,
+    packing,
+    pii,
+    quality,
+    secrets,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+)
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +88,10 @@ def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def suffix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
@@ -105,6 +120,11 @@ def near_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept", "links")
 
 
+def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read_table(spark, sf_dir, name) for name in ("documents", "labels"))
+    return toxicity.learn_and_score(docs, labels)
+
+
 def pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_private(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", *span_columns(F.col("spans"), list(pii.PATTERNS)))
@@ -151,11 +171,13 @@ def queries() -> dict[str, Query]:
     registered = {
         "op1_fingerprints": fingerprints_query,
         "op2_quality_rules": quality_query,
+        "op3_suffix_array_dedup": suffix_query,
         "op4_best_fit_packing": packing_query,
         "op5_secret_scans": secrets_query,
         "op6_url_filters": url_query,
         "op7_minhash_near_dedup": near_dedup_query,
         "op8_source_mixing": mixing_query,
+        "op9_toxicity": toxicity_query,
         "op10_pii": pii_query,
         "pipeline": corpus_pipeline.run,
     }
