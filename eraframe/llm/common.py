@@ -14,6 +14,9 @@ BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK_CHARS = " \t\n\x0b\x0c\r"
 
+# Name of the column that holds a row's digest inside operators.
+ROW_KEY = "__row_key__"
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -74,7 +77,7 @@ def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
 
 
 def ranked(
-    df: DataFrame, keys: Sequence[str], group_size: str, order: Sequence[str], per_task: int = 50_000
+    df: DataFrame, keys: Sequence[str], group_size: str, order: Sequence[str], per_task: int = 4_000
 ) -> DataFrame:
     """Adds ``rank``, from 1, of each row among the rows with its ``keys``.
 
@@ -108,3 +111,16 @@ def row_key(df: DataFrame, seed: int = 0) -> Column:
     nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in columns])
     halves = [F.hex(F.xxhash64(F.lit(seed + i), nulls, *columns)) for i in range(2)]
     return F.concat_ws("-", *halves)
+
+
+def map_carrying(df: DataFrame, carried: Sequence[str], work, made: str) -> DataFrame:
+    """``mapInPandas`` that yields the ``carried`` columns and those in ``made``.
+
+    The carried ones travel as text: pandas turns whole numbers with nulls into
+    floating ones, which cannot hold large ids.
+    """
+    kinds = {c: df.schema[c].dataType for c in carried}
+    as_text = df.withColumns({c: F.col(c).cast("string") for c in carried})
+    schema = ", ".join([*[f"`{c}` string" for c in carried], made])
+    done = as_text.mapInPandas(work, schema)
+    return done.withColumns({c: F.col(c).cast(kind) for c, kind in kinds.items()})

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, ranked, row_key, stored, whole_text
+from .common import ROW_KEY, WORD, ranked, row_key, stored, whole_text
 
 _MAX_COPIES = 3
 _PLAN = "source string, size long, copies long, extra long, docs long"
@@ -223,16 +223,16 @@ def repeat_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1)) -> Dat
     The mix runs on row digests. Rows that are equal in every column share one, so
     their repeats are added up and dealt to one of them.
     """
-    keyed = docs.withColumn("_row", row_key(docs))
+    keyed = docs.withColumn(ROW_KEY, row_key(docs))
     times = (
-        mix_sources(keyed, weights, keep=["_row"])
-        .groupBy("_row")
+        mix_sources(keyed, weights, keep=[ROW_KEY])
+        .groupBy(ROW_KEY)
         .agg(F.sum("times").alias("_times"))
         .filter("_times > 0")
     )
     return (
-        keyed.dropDuplicates(["_row"])
-        .join(times, "_row")
+        keyed.dropDuplicates([ROW_KEY])
+        .join(times, ROW_KEY)
         .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
         .select(*docs.columns)
     )

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, stored
+from .common import ROW_KEY, map_carrying, row_key, stored
 from .components import connected_components
 
 _REMEMBERED = 500_000
@@ -134,7 +134,6 @@ def signature(hashes: np.ndarray, n: int) -> np.ndarray:
 def describe(docs: DataFrame, likeness: Likeness) -> DataFrame:
     """doc_id, blob (digest of the text), n_shingles, class_key (digest of the set),
     signature and band keys of every document."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
     n, bands, rows = likeness.hashes, likeness.bands, likeness.rows
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,12 +159,11 @@ def describe(docs: DataFrame, likeness: Likeness) -> DataFrame:
             yield made
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
-        "doc_id", "text", F.sha2(text, 256).alias("blob")
-    ).mapInPandas(
+    return map_carrying(
+        docs.select("doc_id", "text", F.sha2(text, 256).alias("blob")),
+        ["doc_id"],
         work,
-        f"doc_id {kind}, blob string, n_shingles long, class_key binary, signature binary, "
-        "bands array<long>",
+        "blob string, n_shingles long, class_key binary, signature binary, bands array<long>",
     )
 
 
@@ -394,16 +392,16 @@ def drop_near_duplicates(docs: DataFrame, likeness: Likeness = Likeness()) -> Da
     there. Of rows that are equal in every column one stays; documents without words
     are linked with nothing and all stay but for such repeats.
     """
-    keyed = docs.withColumn("_row", row_key(docs))
-    found = near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"), likeness)
-    ids = keyed.select("_row", F.col("doc_id").alias("_id")).distinct()
-    first = F.min(F.struct(F.col("_id").isNull(), "_id", "_row"))["_row"]
+    keyed = docs.withColumn(ROW_KEY, row_key(docs))
+    found = near_duplicates(keyed.select(F.col(ROW_KEY).alias("doc_id"), "text"), likeness)
+    ids = keyed.select(ROW_KEY, F.col("doc_id").alias("_id")).distinct()
+    first = F.min(F.struct(F.col("_id").isNull(), "_id", ROW_KEY))[ROW_KEY]
     stays = (
-        found.select(F.col("doc_id").alias("_row"), "component_id")
+        found.select(F.col("doc_id").alias(ROW_KEY), "component_id")
         .distinct()
-        .join(ids, "_row")
+        .join(ids, ROW_KEY)
         .groupBy("component_id")
-        .agg(first.alias("_row"))
-        .select("_row")
+        .agg(first.alias(ROW_KEY))
+        .select(ROW_KEY)
     )
-    return keyed.join(stays, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    return keyed.join(stays, ROW_KEY, "left_semi").dropDuplicates([ROW_KEY]).select(*docs.columns)

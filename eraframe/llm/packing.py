@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, stored
+from .common import map_carrying, ranked, stored
 from .tokens import encoder
 
 CAPACITY = 4096
@@ -121,8 +121,7 @@ def cut_pieces(
     A document is its token ids and a closing id; null and empty texts are the
     closing id alone. Longer ones are cut every ``capacity`` ids.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
+    schema = "piece int, start long, length long, ids_crc32 long"
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(tokenizer)
@@ -138,12 +137,10 @@ def cut_pieces(
                     row = (doc_id, start // capacity, start, len(part), zlib.crc32(part.tobytes()))
                     rows.append((*row, part.tolist()) if with_ids else row)
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            out = pd.DataFrame(rows, columns=names[: 6 if with_ids else 5])
-            out["doc_id"] = pd.array(out["doc_id"], dtype=batch["doc_id"].dtype)
-            yield out
+            yield pd.DataFrame(rows, columns=names[: 6 if with_ids else 5])
 
-    return docs.select("doc_id", "text").mapInPandas(
-        cut, schema + (", ids array<long>" if with_ids else "")
+    return map_carrying(
+        docs.select("doc_id", "text"), ["doc_id"], cut, schema + ", ids array<long>" * with_ids
     )
 
 
@@ -166,7 +163,7 @@ def pack(
     keys = (places[:, 0] << _RANK_BITS) + places[:, 1]
 
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.select(*columns).schema)
+    schema = "piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -192,6 +189,9 @@ def pack(
         "_same",
         ["_draw", "doc_id", "piece", "ids_crc32"],
     )
-    return numbered.select(*columns, "rank").mapInPandas(
-        place, f"{schema}, sequence_id long, offset long"
+    return map_carrying(
+        numbered.select(*columns, "rank"),
+        ["doc_id"],
+        place,
+        f"{schema}, sequence_id long, offset long",
     )

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, row_key, stored, whole_text
+from .common import ROW_KEY, let, row_key, stored, whole_text
 
 # Kinds in their order, each with its pattern. A match can only start
 # where a run of its characters starts or the last match ended, and takes all it can;
@@ -323,17 +323,17 @@ def sanitise_documents(docs: DataFrame) -> DataFrame:
 
     Texts without spans, null ones included, stay as they are.
     """
-    keyed = docs.withColumn("_row", row_key(docs))
+    keyed = docs.withColumn(ROW_KEY, row_key(docs))
     private = (
-        find_private(keyed, keep=("_row",))
+        find_private(keyed, keep=(ROW_KEY,))
         .filter(F.size("spans") > 0)
-        .select("_row", F.col("spans").alias("_spans"))
-        .dropDuplicates(["_row"])
+        .select(ROW_KEY, F.col("spans").alias("_spans"))
+        .dropDuplicates([ROW_KEY])
     )
     clean = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(
         sanitised(F.col("text"), F.col("_spans"))
     )
-    joined = keyed.join(private, "_row", "left").withColumn("text", clean)
+    joined = keyed.join(private, ROW_KEY, "left").withColumn("text", clean)
     if "n_chars" in docs.columns:
         changed = F.col("_spans").isNotNull()
         joined = joined.withColumn(

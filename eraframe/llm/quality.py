@@ -14,7 +14,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK_CHARS, let, row_key, stored, whole_text, words
+from .common import BLANK_CHARS, ROW_KEY, let, row_key, stored, whole_text, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 3
@@ -298,7 +298,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     Documents are found again by a digest of the whole row, so null and repeated ids
     do no harm.
     """
-    keyed = docs.withColumn("_row", row_key(docs))
-    judged = judge_quality(keyed.select(F.col("_row").alias("doc_id"), "text", "lang", "source"))
-    good = judged.filter("kept").select(F.col("doc_id").alias("_row")).distinct()
-    return keyed.join(good, "_row", "left_semi").select(*docs.columns)
+    keyed = docs.withColumn(ROW_KEY, row_key(docs))
+    judged = judge_quality(keyed.select(F.col(ROW_KEY).alias("doc_id"), "text", "lang", "source"))
+    good = judged.filter("kept").select(F.col("doc_id").alias(ROW_KEY)).distinct()
+    return keyed.join(good, ROW_KEY, "left_semi").select(*docs.columns)

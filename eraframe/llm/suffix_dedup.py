@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, whole_text
+from .common import map_carrying, stored, whole_text
 from .suffix_arrays import LARGEST, Hashes, anchors, mixed, repeated_starts, runs
 
 LENGTH = 200
@@ -320,13 +320,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     repeats = found.groupBy("b0", "b1").agg(
         F.collect_set(F.struct("start", "size")).alias("repeats")
     )
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return (
-        texts.join(repeats, ["b0", "b1"], "left")
-        .select("doc_id", "text", "repeats")
-        .mapInPandas(
-            _remove(length),
-            f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, "
-            "kept_sha256 string",
-        )
+    joined = texts.join(repeats, ["b0", "b1"], "left").select("doc_id", "text", "repeats")
+    return map_carrying(
+        joined,
+        ["doc_id"],
+        _remove(length),
+        "n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string",
     )

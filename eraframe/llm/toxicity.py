@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, map_carrying
 
 STEPS = 32  # words of a sequence; a text is a run of such sequences
 SAMPLE = 4_000  # labelled documents that the model is fitted on at most
@@ -278,7 +278,6 @@ def score_documents(
     have equal scores; no rows give no rows.
     """
     columns = [*keep, "text"]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     # One table of word scores per worker and model.
     key = f"{hash(tuple(sorted(model.weights.items())))}:{model.bias}"
 
@@ -311,10 +310,10 @@ def score_documents(
                 ]
             yield out
 
-    schema = f"{kinds}, score double, predicted int"
+    made = "score double, predicted int"
     if with_spans:
-        schema += ", spans array<struct<start:int,end:int>>"
-    return docs.select(*columns).mapInPandas(work, schema)
+        made += ", spans array<struct<start:int,end:int>>"
+    return map_carrying(docs.select(*columns), keep, work, made)
 
 
 def _offending(text: str | None, chances: np.ndarray) -> list[dict[str, int]]:
