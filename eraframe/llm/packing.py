@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_carrying, ranked, stored
-from .tokens import encoder
+from .tokens import encoder, in_parts
 
 CAPACITY = 4096
 END_ID = 1
@@ -125,19 +125,21 @@ def cut_pieces(
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(tokenizer)
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
         for batch in batches:
-            flat, ends = encode(batch["text"])
-            rows = []
-            begin = 0
-            for doc_id, end in zip(batch["doc_id"], ends, strict=True):
-                ids = np.append(flat[begin:end], np.uint32(END_ID)).astype("<u4")
-                begin = end
-                for start in range(0, len(ids), capacity):
-                    part = ids[start : start + capacity]
-                    row = (doc_id, start // capacity, start, len(part), zlib.crc32(part.tobytes()))
-                    rows.append((*row, part.tolist()) if with_ids else row)
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            yield pd.DataFrame(rows, columns=names[: 6 if with_ids else 5])
+            for part in in_parts(batch):
+                flat, ends = encode(part["text"].tolist())
+                rows = []
+                begin = 0
+                for doc_id, end in zip(part["doc_id"], ends, strict=True):
+                    ids = np.append(flat[begin:end], np.uint32(END_ID)).astype("<u4")
+                    begin = end
+                    for start in range(0, len(ids), capacity):
+                        cut_ids = ids[start : start + capacity]
+                        crc = zlib.crc32(cut_ids.tobytes())
+                        row = (doc_id, start // capacity, start, len(cut_ids), crc)
+                        rows.append((*row, cut_ids.tolist()) if with_ids else row)
+                yield pd.DataFrame(rows, columns=names[: 6 if with_ids else 5])
 
     return map_carrying(
         docs.select("doc_id", "text"), ["doc_id"], cut, schema + ", ids array<long>" * with_ids

@@ -4,71 +4,105 @@ from __future__ import annotations
 
 import functools
 import os
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 
 # Distinct words that a worker remembers before it starts afresh.
 _REMEMBERED = 1_000_000
+# Characters of texts that are worked on at a time.
+_AT_ONCE = 2_000_000
+_PLAIN = re.compile(rb"[a-z]+")
+_CLOSED = re.compile(rb"([a-z]+)([.,])")
 
 
-class _WordIds:
-    """Ids of words as one flat array, with the place of each word in it."""
+class _WordIds(dict):
+    """Ids of words as one flat array, and the number of each word in it.
+
+    The tokenizer never joins characters across ASCII white space, gives blanks no ids,
+    and reads A-Z as a-z; words are kept in that form, but for those that could be one of
+    its special tokens, which only match as they are written.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[bytes, int] = {}
+        self.clear()
+        self.new: list[bytes] = []
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
-        self.starts = np.zeros(1 << 14, dtype=np.int64)  # one more than words
-
-    def learn(self, words: list[bytes]) -> None:
-        encoded = self.tokenizer.encode_batch(
-            [w.decode() for w in words], add_special_tokens=False
-        )
-        known = len(self.place)
-        ends = self.starts[known] + np.cumsum([len(e.ids) for e in encoded])
-        while len(self.starts) <= known + len(words):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        while len(self.flat) < ends[-1]:
+        self.stops = np.zeros(1 << 14, dtype=np.int64)  # where each word's ids end
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+    def _encode(self, word: bytes) -> list[int]:
+        if _PLAIN.fullmatch(word):  # one run of letters, nothing to normalise
+            return [token.id for token in self.model.tokenize(word.decode())]
+        closed = _CLOSED.fullmatch(word)
+        if closed:  # a run of letters and a run of one mark
+            return self._encode(closed[1]) + self._encode_any(closed[2])
+        return self._encode_any(word)
+
+    def _encode_any(self, word: bytes) -> list[int]:
+        return self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+
+    def learn(self) -> None:
+        """Encodes the words that came up since the last call."""
+        if not self.new:
+            return
+        ids = [self._encode(word) for word in self.new]
+        first = len(self) - len(ids)
+        begin = int(self.stops[first - 1]) if first else 0
+        stops = begin + np.cumsum([len(i) for i in ids])
+        while len(self.stops) < len(self):
+            self.stops = np.concatenate([self.stops, np.zeros_like(self.stops)])
+        while len(self.flat) < stops[-1]:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.starts[known] : ends[-1]] = [i for e in encoded for i in e.ids]
-        self.starts[known + 1 : known + 1 + len(words)] = ends
-        self.place.update(zip(words, range(known, known + len(words)), strict=True))
+        self.flat[begin : stops[-1]] = [i for part in ids for i in part]
+        self.stops[first : len(self)] = stops
+        self.new = []
 
-    def encode(self, texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.place) > _REMEMBERED:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self) > _REMEMBERED:
             self.forget()
         words: list[bytes] = []
         ends = np.zeros(len(texts), dtype=np.int64)
         for i, text in enumerate(texts):
-            if text is not None:
-                words += text.encode().split()
+            raw = text.encode()
+            words += (raw if b"<|" in raw else raw.lower()).split()
             ends[i] = len(words)
         if not words:
             return np.zeros(0, dtype=np.uint32), ends
-        place = self.place
-        new = {w for w in words if w not in place}
-        if new:
-            self.learn(list(new))
-        nth = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-        sizes = self.starts[nth + 1] - self.starts[nth]
+        number = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        self.learn()
+        begins = np.where(number > 0, self.stops[number - 1], 0)
+        sizes = self.stops[number] - begins
         stops = np.cumsum(sizes)
-        at = np.arange(stops[-1]) + np.repeat(self.starts[nth] - (stops - sizes), sizes)
+        at = np.arange(stops[-1]) + np.repeat(begins - (stops - sizes), sizes)
         return self.flat[at], np.concatenate([[0], stops])[ends]
 
 
 @functools.lru_cache(maxsize=1)
-def encoder(path: str) -> Callable[[pd.Series], tuple[np.ndarray, np.ndarray]]:
-    """A function from texts to all their ids and the end of each text in them.
-
-    For tokenizers that never join characters across ASCII white space and give the
-    blanks themselves no ids, so that a text's ids are those of its words in turn.
-    """
+def encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """A function from texts to all their ids and the end of each text in them."""
     return _WordIds(path).encode
+
+
+def in_parts(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """A batch in runs of rows of about two million characters; null texts as empty."""
+    batch = batch.assign(text=batch["text"].fillna(""))
+    size = batch["text"].str.len().to_numpy()
+    part = (np.cumsum(size) - size) // _AT_ONCE
+    for _, rows in batch.groupby(part, sort=True):
+        yield rows

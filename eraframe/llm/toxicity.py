@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, map_carrying
+from .tokens import in_parts
 
 STEPS = 32  # words of a sequence; a text is a run of such sequences
 SAMPLE = 4_000  # labelled documents that the model is fitted on at most
@@ -287,28 +288,27 @@ def score_documents(
             held.append(_Emissions(model))
         known = held[0]
         for batch in batches:
-            if len(known) > _REMEMBERED:
-                known.clear()
-            words: list[bytes] = []
-            ends = np.zeros(len(batch), dtype=np.int64)
-            for i, text in enumerate(batch["text"]):
-                if text:
+            for part in in_parts(batch):
+                if len(known) > _REMEMBERED:
+                    known.clear()
+                words: list[bytes] = []
+                ends = np.zeros(len(part), dtype=np.int64)
+                for i, text in enumerate(part["text"]):
                     words += text.encode().split()
-                ends[i] = len(words)
-            flat = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
-            chances = token_chances(model, flat, ends)
-            score = model.document_score(evidence(chances, ends))
-            out = batch[list(keep)].copy()
-            out["score"] = score
-            out["predicted"] = (score >= 0.5).astype(np.int32)
-            if with_spans:
-                out["spans"] = [
-                    _offending(text, chances[start:end])
-                    for text, start, end in zip(
-                        batch["text"], np.concatenate([[0], ends]), ends, strict=False
-                    )
-                ]
-            yield out
+                    ends[i] = len(words)
+                flat = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
+                chances = token_chances(model, flat, ends)
+                score = model.document_score(evidence(chances, ends))
+                out = part[list(keep)].copy()
+                out["score"] = score
+                out["predicted"] = (score >= 0.5).astype(np.int32)
+                if with_spans:
+                    begins = np.concatenate([[0], ends])[:-1]
+                    out["spans"] = [
+                        _offending(text, chances[begin:end])
+                        for text, begin, end in zip(part["text"], begins, ends, strict=True)
+                    ]
+                yield out
 
     made = "score double, predicted int"
     if with_spans:
