@@ -1,14 +1,14 @@
 """Registered queries and the SQL that checks them.
 
-Every query reads the given tables through ``eraframe.sources.testdata``. Film
-rows are returned unsorted, because nothing looks at their order; the report
-functions sort by default.
+Every query reads the given tables through ``eraframe.sources.testdata``.
 """
 
 from __future__ import annotations
 
 import importlib.util
+import tempfile
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +24,7 @@ from eraframe.plans import checks, clean, dashboard, load, macro, reports, stage
 from eraframe.plans.catalog import REPORTS, applies_era
 from eraframe.schemas import TITLE_BASICS, TITLE_RATINGS
 from eraframe.sources import readers, sinks, testdata
-from eraframe.sources.star import read_star, write_star
+from eraframe.sources.star import Star, read_star, write_star
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,15 +35,12 @@ else:
     text_queries = None
 
 _SMOKE_DIR = "/root/testdata/sf0.001"
-_FILM_LEVEL = ("sentiment_corpus", "rating_kpis", "macro_impact_data", "budget_vs_revenue")
 
 
 def _report(name: str, era: str = "All") -> Query:
-    parameters = {"ordered": False} if name in _FILM_LEVEL else {}
-
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         star = testdata.star(spark, sf_dir, overviews=name == "sentiment_corpus")
-        return run_report(name, star, era, **parameters)
+        return run_report(name, star, era)
 
     return query
 
@@ -54,7 +51,8 @@ def _reshaped(
     """A dashboard operator over a report result."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        options = {"ordered": False} if name in _FILM_LEVEL else {}
+        # Bins are counted, so the rows behind them need no order.
+        options = {"ordered": False} if name == "rating_kpis" else {}
         result = run_report(name, testdata.star(spark, sf_dir, shift=shift), era, **options)
         return operator(result, **parameters)
 
@@ -105,25 +103,69 @@ def _film_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _format_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
     star = testdata.star(spark, sf_dir)
-    grossed = (
-        star.summable(star.fact).groupBy("movie_key").agg(F.sum("revenue").alias("total_box_office"))
-    )
+    grossed = star.fact.groupBy("movie_key").agg(F.sum("revenue").alias("total_box_office"))
     return grossed.withColumn("money_label", format_currency(F.col("total_box_office")))
 
 
+def _known_genres(spark: SparkSession, sf_dir: str) -> Star:
+    """A star whose film dimension lacks the films of unknown genre, and whose calendar
+    lacks the years from 2000 on: releases of either have no dimension row."""
+    star = testdata.star(spark, sf_dir)
+    return replace(
+        star, movies=star.movies.filter("genre <> 'Unknown'"), dates=star.dates.filter("date_key < 2000")
+    )
+
+
+def _title_genres(spark: SparkSession, sf_dir: str) -> Star:
+    """Every title a genre of its own: many genres, some with few releases."""
+    star = testdata.star(spark, sf_dir)
+    return replace(star, movies=star.movies.withColumn("genre", F.col("title")))
+
+
+def _odd_genres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top genres where one genre is unknown and one has the name of the rest."""
+    star = testdata.star(spark, sf_dir)
+    word = F.split_part("title", F.lit(" "), F.lit(2))
+    genre = F.when(word == "bolt", "Other").when(word != "ring", word)
+    odd = replace(star, movies=star.movies.withColumn("genre", genre))
+    return dashboard.top_genres_other(run_report("decade_genre_share", odd), k=4)
+
+
+def _unknown_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    star = testdata.star(spark, sf_dir)
+    roi = F.when(F.col("vote_average") >= 6, F.col("roi"))
+    return run_report("profitability_split", replace(star, fact=star.fact.withColumn("roi", roi)))
+
+
 # Cleaning, staging, loading --------------------------------------------------
 
 
 # The raw inputs are landed as files first, as they are in use. Read directly,
 # the long expressions that spell them would be run again for every condition.
 
+_LANDED: dict[tuple[str, str, str], str] = {}
+
+
+def _landed(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
+    """Folder of an input, written once per session and table folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _LANDED:
+        path = sinks.scratch_path(spark, name)
+        write(path)
+        _LANDED[key] = path
+    return _LANDED[key]
+
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.hand_off(testdata.raw_films(spark, sf_dir), "raw-films")
+    films = testdata.raw_films(spark, sf_dir)
+    return spark.read.schema(films.schema).parquet(
+        _landed(spark, sf_dir, "raw-films", films.write.parquet)
+    )
 
 
 def _basics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = sinks.hand_off_lines(testdata.basics_lines(spark, sf_dir), "title-basics")
+    lines = testdata.basics_lines(spark, sf_dir)
+    path = _landed(spark, sf_dir, "title-basics", lines.write.text)
     return readers.read_titles(spark, path, TITLE_BASICS)
 
 
@@ -132,7 +174,8 @@ def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = sinks.hand_off_lines(testdata.ratings_lines(spark, sf_dir), "title-ratings")
+    lines = testdata.ratings_lines(spark, sf_dir)
+    path = _landed(spark, sf_dir, "title-ratings", lines.write.text)
     return stage.movie_titles(
         _basics(spark, sf_dir), readers.read_titles(spark, path, TITLE_RATINGS)
     )
@@ -144,7 +187,17 @@ def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stored_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Staged films from a stored copy, for jobs that read them several times."""
-    return sinks.hand_off(_staged(spark, sf_dir), "staged-films")
+    staged = _staged(spark, sf_dir)
+    return spark.read.schema(staged.schema).parquet(
+        _landed(spark, sf_dir, "staged-films", staged.write.parquet)
+    )
+
+
+def _macro_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indicators landed as CSV files, read back and spread by year."""
+    series = testdata.indicator_series(spark, sf_dir)
+    path = _landed(spark, sf_dir, "indicators", lambda path: sinks.write_csv(series, path))
+    return macro.indicators_by_year(readers.read_indicators(spark, path))
 
 
 def _macro(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,6 +245,32 @@ def _dim_movies_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(load.dim_movies(staged).schema).parquet(path)
 
 
+def _grown(spark: SparkSession, earlier: DataFrame, later: DataFrame, key: str) -> DataFrame:
+    """A dimension after an earlier and a later load."""
+    path = sinks.scratch_path(spark, f"dim-{key}")
+    sinks.append_new(earlier, path, key)
+    sinks.append_new(later, path, key)
+    return spark.read.schema(later.schema).parquet(path)
+
+
+def _dim_date_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    staged = _stored_stage(spark, sf_dir)
+    earlier = load.dim_date(staged.filter("year < 1998")).withColumn("decade", F.lit("earlier"))
+    return _grown(spark, earlier, load.dim_date(staged), "date_key")
+
+
+def _dim_macro_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    later = _rounded_rates(load.dim_macroeconomics(_macro(spark, sf_dir)))
+    earlier = later.filter("year < 1990").withColumn("inflation_rate", F.lit(-1.0))
+    return _grown(spark, earlier, later, "year")
+
+
+def _dim_events_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    later = load.dim_events(_macro(spark, sf_dir))
+    earlier = later.filter("event_year < 1990").withColumn("event_type", F.lit("earlier"))
+    return _grown(spark, earlier, later, "event_year")
+
+
 def _load_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     staged = _stored_stage(spark, sf_dir)
     return load.load_counters(staged, load.dim_movies(staged))
@@ -262,6 +341,19 @@ def queries() -> dict[str, Query]:
         "top_genres_other": _reshaped(dashboard.top_genres_other, "decade_genre_share"),
         "top_genres_other_top3": _reshaped(dashboard.top_genres_other, "decade_genre_share", k=3),
         "decade_genre_matrix": _reshaped(dashboard.decade_genre_matrix, "decade_genre_share"),
+        "top_genres_other_odd": _odd_genres,
+        "profitability_split_unknown": _unknown_returns,
+        "runtime_paradox_late": _reshaped(lambda report: report, "runtime_paradox", shift=20),
+        "streaming_blocks_late": _reshaped(dashboard.streaming_blocks, "runtime_paradox", shift=20),
+        "top_blockbusters_orphans": lambda spark, sf_dir: run_report(
+            "top_blockbusters", _known_genres(spark, sf_dir)
+        ),
+        "top_movies_by_rating_orphans": lambda spark, sf_dir: run_report(
+            "top_movies_by_rating", _known_genres(spark, sf_dir)
+        ),
+        "genre_baselines_rare": lambda spark, sf_dir: run_report(
+            "genre_baselines", _title_genres(spark, sf_dir)
+        ),
         "rating_histogram": _reshaped(dashboard.rating_histogram, "rating_kpis"),
         "escapism_pivot": _reshaped(dashboard.escapism_pivot, "escapism_index"),
         "budget_tier_pivot": _reshaped(dashboard.budget_tier_pivot, "budget_dilemma"),
@@ -271,9 +363,7 @@ def queries() -> dict[str, Query]:
         "clean_funnel": lambda spark, sf_dir: clean.clean_funnel(_raw(spark, sf_dir)),
         "movie_titles": _titles,
         "stage_master": _staged,
-        "macro_by_year": lambda spark, sf_dir: macro.indicators_by_year(
-            testdata.indicator_series(spark, sf_dir)
-        ),
+        "macro_by_year": _macro_by_year,
         "macro_benchmark": _benchmark,
         "macro_enriched": lambda spark, sf_dir: _rounded_rates(_macro(spark, sf_dir)).drop("seq"),
         "dim_date": lambda spark, sf_dir: load.dim_date(_staged(spark, sf_dir)),
@@ -283,6 +373,9 @@ def queries() -> dict[str, Query]:
         ),
         "dim_geopolitical_events": lambda spark, sf_dir: load.dim_events(_macro(spark, sf_dir)),
         "dim_movies_incremental": _dim_movies_incremental,
+        "dim_date_incremental": _dim_date_incremental,
+        "dim_macroeconomics_incremental": _dim_macro_incremental,
+        "dim_events_incremental": _dim_events_incremental,
         "fact_box_office": lambda spark, sf_dir: load.load_star(
             _stored_stage(spark, sf_dir), _macro(spark, sf_dir)
         ).fact,
@@ -292,11 +385,26 @@ def queries() -> dict[str, Query]:
         "stored_star_trends": _stored_star_trends,
         "dq_duplicate_keys": _dq_duplicate_keys,
         "dq_nulls": _dq_nulls,
+        "dq_orphans_partial": lambda spark, sf_dir: checks.broken_references(
+            _known_genres(spark, sf_dir)
+        ),
         "dq_orphans": lambda spark, sf_dir: checks.broken_references(testdata.star(spark, sf_dir)),
     }
     if text_queries:
         registered |= text_queries.queries()
-    return registered
+    return {name: _with_folder(query) for name, query in registered.items()}
+
+
+def _with_folder(query: Query) -> Query:
+    """Gives a local session without a shared folder one, for what queries store."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        local = spark.conf.get("spark.master", "").split("[")[0] == "local"
+        if local and not sinks.shared_folder(spark):
+            spark.conf.set(sinks.SHARED_FOLDER, tempfile.mkdtemp(prefix="eraframe-"))
+        return query(spark, sf_dir)
+
+    return run
 
 
 def oracle_sql() -> dict[str, str]:

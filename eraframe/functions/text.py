@@ -92,17 +92,24 @@ def _fixed(value: Column, digits: int) -> Column:
     The tie test is made on the binary value itself: scaling by a power of two
     is exact, so 1.15 (stored slightly below) gives 1.1 and 1.25 gives 1.3.
     """
-    bits = F.when(value < 2.0**10, 52).when(value < 2.0**20, 42).otherwise(29)
+    bits = (
+        F.when(value < 2.0**10, 52).when(value < 2.0**20, 42).when(value < 2.0**33, 29)
+        .when(value < 2.0**43, 19).otherwise(9)
+    )
     scale = F.pow(F.lit(2.0), bits)
     wide = "decimal(20,0)"
-    units = (value * scale).cast("bigint").cast(wide) * F.lit(10**digits).cast("decimal(2,0)")
+    # From 2**53 on a double is a whole number, and its units need not be counted.
+    counted = F.when(value < 2.0**53, value * scale).otherwise(F.lit(0.0))
+    units = counted.cast("bigint").cast(wide) * F.lit(10**digits).cast("decimal(2,0)")
     half = (scale / 2).cast("bigint").cast(wide)
     whole = F.call_function("div", units + half, scale.cast("bigint").cast(wide))
+    large = value.cast("decimal(38,0)").cast("string")
     if digits == 0:
-        return whole.cast("string")
-    return F.concat_ws(
+        return F.when(value < 2.0**53, whole.cast("string")).otherwise(large)
+    tenths = F.concat_ws(
         ".", F.call_function("div", whole, F.lit(10)).cast("string"), (whole % 10).cast("string")
     )
+    return F.when(value < 2.0**53, tenths).otherwise(F.concat(large, F.lit(".0")))
 
 
 def format_currency(value: Column) -> Column:

@@ -1,9 +1,8 @@
 """The economic calendar: one row per year, and filters built on it.
 
 The macro and event dimensions hold one row per year (the load step keeps the
-first, ``dq_duplicate_keys`` checks it). Years outside 1..9999 cannot come from
-a parsed date and are cut off, so a calendar has at most 9,999 rows whatever
-the size of the facts, and broadcasting it is safe.
+first, ``dq_duplicate_keys`` checks it). How a calendar is joined is left to the
+optimizer, which broadcasts it as long as it is small.
 """
 
 from __future__ import annotations
@@ -15,22 +14,10 @@ from eraframe.constants import CRISIS, STABLE
 from eraframe.functions.classify import economic_climate, era_type
 from eraframe.sources.star import Star
 
-FIRST_CALENDAR_YEAR = 1
-LAST_CALENDAR_YEAR = 9999
-
-
-def bounded_years(frame: DataFrame, column: str) -> DataFrame:
-    """A per-year frame, its rows bounded by the calendar, as a broadcast side."""
-    within = F.col(column).between(FIRST_CALENDAR_YEAR, LAST_CALENDAR_YEAR)
-    return F.broadcast(frame.filter(within))
-
 
 def calendar(star: Star) -> DataFrame:
     """Macro rates, event and both classifications of every macro year."""
-    macro = star.macro.filter(
-        F.col("year").between(FIRST_CALENDAR_YEAR, LAST_CALENDAR_YEAR)
-    )
-    events = bounded_years(star.events, "event_year")
+    macro, events = star.macro, star.events
     gdp, unemployment = F.col("gdp_growth_rate"), F.col("unemployment_rate")
     return macro.join(events, macro["year"] == events["event_year"], "left").select(
         F.col("year").alias("release_year"),
@@ -47,7 +34,7 @@ def calendar(star: Star) -> DataFrame:
 def with_calendar(frame: DataFrame, star: Star, *columns: str) -> DataFrame:
     """Add calendar columns by ``release_year``; years without macro data drop out."""
     years = calendar(star).select("release_year", *columns)
-    return frame.join(F.broadcast(years), "release_year")
+    return frame.join(years, "release_year")
 
 
 def in_era(fact: DataFrame, star: Star, era: str) -> DataFrame:
@@ -62,4 +49,4 @@ def in_era(fact: DataFrame, star: Star, era: str) -> DataFrame:
         calendar(star).filter(F.col("era_type") == CRISIS).select(F.col("release_year").alias("date_key"))
     )
     how = "left_semi" if era == CRISIS else "left_anti"
-    return fact.join(F.broadcast(crisis_years), "date_key", how)
+    return fact.join(crisis_years, "date_key", how)

@@ -8,17 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def planned_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a frame; runs nothing."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    """Would the optimizer send this frame to every executor?"""
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return planned_bytes(df) <= int(limit)
-
-
 def film_groups(
     fact: DataFrame,
     movies: DataFrame,
@@ -31,29 +20,19 @@ def film_groups(
     Columns: ``keys``, the film attributes, ``films`` (row count),
     ``<c>_total`` for ``totals`` and ``<c>_sum``/``<c>_known`` for ``means``.
 
-    A film dimension small enough to broadcast is joined row by row, with no
-    shuffle. A larger one needs both sides shuffled by film, so the fact is
-    first collapsed to one row per film and key: a film holding a large part
-    of the fact then reaches the join as a handful of rows.
+    Rows meet their film in one join. The optimizer broadcasts a small film
+    dimension; otherwise the fact is shuffled by film once, and adaptive execution
+    splits a film that holds a large part of it.
     """
-    keys, totals, means = list(keys), list(totals), list(means)
     known = {c: F.col(c).isNotNull().cast("bigint") for c in means}
-    if fits_broadcast(movies):
-        rows = fact.select(
-            "movie_key",
-            *keys,
-            F.lit(1).cast("bigint").alias("films"),
-            *[F.col(c).alias(f"{c}_total") for c in totals],
-            *[F.col(c).cast("double").alias(f"{c}_sum") for c in means],
-            *[known[c].alias(f"{c}_known") for c in means],
-        )
-    else:
-        rows = fact.groupBy("movie_key", *keys).agg(
-            F.count(F.lit(1)).alias("films"),
-            *[F.sum(c).alias(f"{c}_total") for c in totals],
-            *[F.sum(F.col(c).cast("double")).alias(f"{c}_sum") for c in means],
-            *[F.sum(known[c]).alias(f"{c}_known") for c in means],
-        )
+    rows = fact.select(
+        "movie_key",
+        *keys,
+        F.lit(1).cast("bigint").alias("films"),
+        *[F.col(c).alias(f"{c}_total") for c in totals],
+        *[F.col(c).cast("double").alias(f"{c}_sum") for c in known],
+        *[known[c].alias(f"{c}_known") for c in known],
+    )
     return rows.join(movies, "movie_key")
 
 

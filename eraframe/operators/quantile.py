@@ -26,6 +26,8 @@ def quantile_of_counts(
     totals = list(totals)
     sums = [f"total_{c}" for c in totals]
     coarse = F.shiftright(value, _LOW_BITS)
+    # The join below asks for this; asked for here, both uses read the same rows.
+    counts = counts.filter(coarse.isNotNull())
     everything = Window.partitionBy()
     upto = Window.orderBy("coarse").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranges = (
@@ -44,9 +46,13 @@ def quantile_of_counts(
         (F.col("reached") > lower) & (F.col("reached") - F.col("in_range") <= upper)
     ).select("coarse", "position", (F.col("reached") - F.col("in_range")).alias("before"), *sums)
     within = Window.partitionBy("coarse").orderBy(value)
+    # Always true. It keeps the columns of both uses of ``counts`` equal, so that the
+    # engine counts once and reads that exchange twice.
+    same_columns = F.pmod(F.hash(*totals), F.lit(2)) < 2 if totals else F.lit(True)
     ranked = (
-        counts.select(value, rows, coarse.alias("coarse"))
+        counts.withColumn("coarse", coarse)
         .join(F.broadcast(wanted), "coarse")
+        .filter(same_columns)
         .withColumn(
             "reached",
             F.col("before")

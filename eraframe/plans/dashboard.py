@@ -6,7 +6,7 @@ tier, or per year and genre, but for the ratings of :func:`rating_histogram`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eraframe import constants as K
@@ -51,57 +51,65 @@ def runtime_premium(runtimes: DataFrame) -> DataFrame:
     ).orderBy("release_year")
 
 
-def _ranked_genres(shares: DataFrame, k: int) -> DataFrame:
-    """The ``k`` genres with the largest summed share."""
+def _ranked_genres(shares: DataFrame) -> DataFrame:
+    """Shares with the ``place`` of their genre by summed share; null is a genre too."""
+    exact = F.col("genre_share_pct").cast("decimal(20,2)")
+    summed = F.sum("share").over(Window.partitionBy("genre"))
+    by_share = Window.orderBy(F.desc("summed"), "genre")
     return (
-        shares.groupBy("genre")
-        .agg(F.sum(F.col("genre_share_pct").cast("decimal(20,2)")).alias("summed_share"))
-        .orderBy(F.desc("summed_share"), "genre")
-        .limit(k)
+        shares.select("decade", "genre", exact.alias("share"))
+        .withColumn("summed", summed)
+        .withColumn("place", F.dense_rank().over(by_share))
     )
 
 
 def top_genres_other(shares: DataFrame, k: int = K.TOP_GENRES) -> DataFrame:
     """Share per decade of the top ``k`` genres and of all others together.
 
-    Long form, one row per decade and label, 0 where a decade lacks the genre.
+    Long form, one row per decade and label, 0 where a decade lacks the genre. A
+    genre that has the name of the rest is counted with it.
     """
-    # A column of its own, so that the one-row subquery runs once.
-    top = _ranked_genres(shares, k).agg(F.collect_list("genre")).scalar()
-    ranked = F.coalesce(F.array_contains("top", F.col("genre")), F.lit(False))
-    label = F.when(ranked, F.col("genre")).otherwise(K.OTHER_GENRES)
-    share = F.sum(F.col("genre_share_pct").cast("decimal(20,2)")).cast("double")
+    label = F.when(F.col("place") <= k, F.col("genre")).otherwise(K.OTHER_GENRES)
     labelled = (
-        shares.withColumn("top", top)
+        _ranked_genres(shares)
         .groupBy("decade", label.alias("label"))
-        .agg(share.alias("share_pct"), F.any_value("top").alias("top"))
+        .agg(F.sum("share").cast("double").alias("share_pct"))
     )
-    # At most k + 1 labels per decade from here on.
-    by_decade = labelled.groupBy("decade").agg(
-        F.map_from_entries(F.collect_list(F.struct("label", "share_pct"))).alias("held"),
-        F.array_append(F.any_value("top"), F.lit(K.OTHER_GENRES)).alias("labels"),
-    )
-    return (
-        by_decade.select("decade", "held", F.explode("labels").alias("label"))
-        .select(
-            "decade",
-            "label",
-            F.coalesce(F.try_element_at("held", F.col("label")), F.lit(0.0)).alias("share_pct"),
+    # At most k + 1 labels per decade from here on; structs carry a null label.
+    every = F.collect_set(F.struct("label")).over(Window.partitionBy())
+    by_decade = (
+        labelled.withColumn("every", every)
+        .groupBy("decade")
+        .agg(
+            F.collect_list(F.struct("label", "share_pct")).alias("held"),
+            F.first("every").alias("every"),
+        )
+        .withColumn(
+            "every", F.array_union("every", F.array(F.struct(F.lit(K.OTHER_GENRES).alias("label"))))
         )
-        .orderBy("decade", "label")
     )
+    shown = by_decade.select("decade", "held", F.explode("every").alias("shown"))
+    own = F.filter("held", lambda h: h["label"].eqNullSafe(F.col("shown.label")))
+    return shown.select(
+        "decade",
+        F.col("shown.label").alias("label"),
+        F.coalesce(F.get(own, F.lit(0))["share_pct"], F.lit(0.0)).alias("share_pct"),
+    ).orderBy("decade", "label")
 
 
 def decade_genre_matrix(shares: DataFrame, k: int = K.TOP_GENRES) -> DataFrame:
-    """:func:`top_genres_other` with one column per label.
+    """:func:`top_genres_other` with one column per label, ``null`` for no genre.
 
     Column names come from the data, so the ``k`` top names are looked up first.
     """
-    names = [row["genre"] for row in _ranked_genres(shares, k).collect()]
+    top = _ranked_genres(shares).filter(F.col("place") <= k).select("genre", "place").distinct()
+    named = [row["genre"] for row in top.orderBy("place").collect()]
+    columns = dict.fromkeys([*("null" if n is None else n for n in named), K.OTHER_GENRES])
     return (
         top_genres_other(shares, k)
+        .withColumn("label", F.coalesce("label", F.lit("null")))
         .groupBy("decade")
-        .pivot("label", [*names, K.OTHER_GENRES])
+        .pivot("label", list(columns))
         .agg(F.first("share_pct"))
         .orderBy("decade")
     )

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eraframe import constants as K
-from eraframe.operators.era import bounded_years
 
 RATES = list(K.INDICATOR_CODES)
 
@@ -29,7 +28,7 @@ def add_events(by_year: DataFrame, events: DataFrame) -> DataFrame:
     fallback = F.create_map(
         *[F.lit(x) for year, rate in K.UNEMPLOYMENT_FALLBACK.items() for x in (year, rate)]
     )
-    return by_year.join(bounded_years(events, "year"), "year", "left").select(
+    return by_year.join(events, "year", "left").select(
         "year",
         "inflation_rate",
         "gdp_growth",

@@ -2,8 +2,9 @@
 
 Yearly reports group the fact first and meet the calendar afterwards, so the
 only shuffle carries one row per task and year. Reports by genre go through
-:func:`~eraframe.operators.joins.film_groups`. Top lists are cut before the
-film attributes are looked up. Orders are total, so that equal values neither
+:func:`~eraframe.operators.joins.film_groups`. Top lists are cut after the
+film attributes are looked up, so they are complete whatever films the dimension
+lacks. Orders are total, so that equal values neither
 change a result nor pile up in one sort task.
 """
 
@@ -19,7 +20,7 @@ from eraframe import constants as K
 from eraframe.functions import classify
 from eraframe.functions.rounding import round_half_up
 from eraframe.functions.text import mentions_genre, primary_genre
-from eraframe.operators.era import bounded_years, in_era, with_calendar
+from eraframe.operators.era import in_era, with_calendar
 from eraframe.operators.joins import film_groups, group_mean
 from eraframe.operators.quantile import quantile_of_counts
 from eraframe.operators.series import trailing_rows, with_share
@@ -31,8 +32,8 @@ def _positive(*columns: str) -> Column:
 
 
 def _rows(star: Star, *positive: str, era: str = "All") -> DataFrame:
-    """Fact rows of an era with the given columns above zero, ready to be summed."""
-    return star.summable(in_era(star.fact.filter(_positive(*positive)), star, era))
+    """Fact rows of an era with the given columns above zero."""
+    return in_era(star.fact.filter(_positive(*positive)), star, era)
 
 
 def _by_year(fact: DataFrame, *measures: Column) -> DataFrame:
@@ -77,11 +78,11 @@ def top_blockbusters(star: Star, n: int = 10) -> DataFrame:
     """Highest-grossing releases."""
     order = (F.desc("revenue"), "movie_key", "date_key", "budget", "vote_average")
     columns = ("movie_key", "date_key", "budget", "revenue", "roi", "vote_average")
-    best = star.fact.select(*columns).orderBy(*order).limit(n)
     return (
-        F.broadcast(best)
+        star.fact.select(*columns)
         .join(star.movies.select("movie_key", "title", "genre"), "movie_key")
         .orderBy(*order)
+        .limit(n)
         .select(
             "title",
             F.col("date_key").alias("release_year"),
@@ -245,7 +246,7 @@ def runtime_paradox(
         return mean(F.sum(total).over(five), F.sum(films).over(five))
 
     return (
-        with_calendar(every.join(bounded_years(best, "release_year"), "release_year"), star, "era_type")
+        with_calendar(every.join(best, "release_year"), star, "era_type")
         .select(
             "release_year",
             mean(F.col("all_sum"), F.col("all_films")).alias("avg_runtime_all"),
@@ -275,7 +276,7 @@ def _sorted(df: DataFrame, ordered: bool, *order: str | Column) -> DataFrame:
 def sentiment_corpus(star: Star, ordered: bool = True) -> DataFrame:
     """Overview texts with year, decade and era for text analysis."""
     movies = star.movies.filter(classify.has_overview(F.col("overview")))
-    dates = bounded_years(star.dates, "date_key").select(
+    dates = star.dates.select(
         F.col("date_key").alias("release_year"), "decade"
     )
     rows = with_calendar(
@@ -358,7 +359,7 @@ def rating_kpis(star: Star, q: float = K.VOTE_QUANTILE, ordered: bool = True) ->
 
 def decade_genre_share(star: Star) -> DataFrame:
     """Releases of each primary genre and their share of the decade."""
-    dates = bounded_years(star.dates, "date_key").select("date_key", "decade")
+    dates = star.dates.select("date_key", "decade")
     genres = (
         film_groups(star.fact, _genres(star), ["date_key"])
         .join(dates, "date_key")
@@ -489,9 +490,7 @@ def crisis_timeline_overlay(star: Star, era: str = "All") -> DataFrame:
         _mean("roi", 2).alias("avg_movie_roi"),
         _mean("popularity", 2).alias("avg_voter_popularity"),
     )
-    events = bounded_years(star.events, "event_year").withColumnRenamed(
-        "event_year", "release_year"
-    )
+    events = star.events.withColumnRenamed("event_year", "release_year")
     return (
         yearly.join(events, "release_year", "left")
         .select(
@@ -516,16 +515,12 @@ def top_movies_by_rating(
     columns = (
         "movie_key", "date_key", "vote_average", "vote_count", "revenue", "budget", "popularity",
     )
-    best = (
+    return (
         in_era(star.fact.filter(F.col("vote_count") >= min_votes), star, era)
         .select(*columns)
-        .orderBy(*order)
-        .limit(n)
-    )
-    return (
-        F.broadcast(best)
         .join(star.movies.select("movie_key", "title", "genre"), "movie_key")
         .orderBy(*order)
+        .limit(n)
         .select(
             F.col("title").alias("movie_title"),
             F.col("date_key").alias("release_year"),

@@ -12,6 +12,10 @@ SETTINGS = {
     # where the split costs one more exchange.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Shuffles start out fine and are merged to size, so that one of many terabytes
+    # does not end up in a few hundred tasks. ``spark.sql.shuffle.partitions`` holds
+    # where this is unset.
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "4096",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.optimizer.dynamicPartitionPruning.enabled": "true",
 }

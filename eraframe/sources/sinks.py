@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from eraframe.operators.keyed import only_new
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``.
+# For sessions whose ``spark.checkpoint.dir`` is unset and can no longer be set.
+SHARED_FOLDER = "spark.eraframe.sharedFolder"
 
-    Only a local-mode session without that setting gets a folder of this machine.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """``spark.checkpoint.dir``, else the folder in :data:`SHARED_FOLDER`."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(SHARED_FOLDER, None)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared folder, which every executor must see."""
+    shared = shared_folder(spark)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="eraframe-")
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -55,11 +59,13 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def append_new(df: DataFrame, path: str, key: str) -> None:
-    """Append the rows whose key the table does not hold yet.
+    """Append the rows whose key the table does not hold yet, one row per key.
 
-    Run again after a failure, it adds only what is still missing.
+    Of new rows with one key the least in the order of the columns goes in. Run again after a failure, it adds only what is still missing.
     """
     spark = df.sparkSession
+    least = F.min(F.struct(*df.columns)).alias("row")
+    df = df.groupBy(F.col(key).alias("new_key")).agg(least).select("row.*")
     try:
         existing = spark.read.schema(df.schema).parquet(path)
     except AnalysisException as missing:

@@ -2,28 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from eraframe import schemas
-from eraframe.operators.joins import planned_bytes
-
-# A fact stored in more bytes than this may hold billions of films, whose money
-# no longer adds up within BIGINT.
-WIDE_TOTALS_BYTES = 8 << 30
 
 
 @dataclass(frozen=True)
 class Star:
     """Five lazy frames; the schemas are those in :mod:`eraframe.schemas`.
 
-    Every fact row has its film in ``movies`` and ``macro``, ``events`` and
-    ``dates`` have one row per year: the load step sees to both.
-
-    Money totals are BIGINT. With ``wide_totals`` they are DECIMAL, for facts
-    whose sums would overflow (which fails, it never wraps).
+    Films are unique by key, and ``macro``, ``events`` and ``dates`` have one row per
+    year: the load step sees to that. Money totals are BIGINT at any size; a sum beyond
+    it fails, it never wraps.
     """
 
     fact: DataFrame
@@ -31,18 +24,6 @@ class Star:
     dates: DataFrame
     macro: DataFrame
     events: DataFrame
-    wide_totals: bool = False
-
-    def summable(self, fact: DataFrame) -> DataFrame:
-        """Fact rows with money in the type its totals need."""
-        if not self.wide_totals:
-            return fact
-        return fact.withColumns({c: F.col(c).cast("decimal(20,0)") for c in ("budget", "revenue")})
-
-
-def needs_wide_totals(stored: DataFrame) -> bool:
-    """Decide by the stored size of the table the fact comes from."""
-    return planned_bytes(stored) > WIDE_TOTALS_BYTES
 
 
 _TABLES = {
@@ -54,28 +35,37 @@ _TABLES = {
 }
 
 
+_CURRENT = "current"
+
+
 def read_star(spark: SparkSession, path: str) -> Star:
-    """Open a stored star schema."""
+    """Open the last star schema that was stored completely."""
+    version = spark.read.schema("version string").text(f"{path}/{_CURRENT}").first()[0]
     tables = {
-        field: spark.read.schema(schema).parquet(f"{path}/{table}")
+        field: spark.read.schema(schema).parquet(f"{path}/{version}/{table}")
         for field, (table, schema) in _TABLES.items()
     }
-    return Star(**tables, wide_totals=needs_wide_totals(tables["fact"]))
+    return Star(**tables)
 
 
 def write_star(star: Star, path: str) -> None:
     """Store a star schema as Parquet, replacing what is there.
 
-    The fact is partitioned by year. ``rebalance`` lets the engine split a
-    year that holds much of the data and merge the small ones into one file.
+    All tables go to a new folder, and the pointer to it is written last, so a reader
+    never meets a new fact beside old dimensions. The fact is partitioned by year.
+    ``rebalance`` lets the engine split a year that holds much of the data and merge
+    the small ones into one file.
     """
+    version = f"v-{uuid.uuid4().hex}"
     for field, (table, _) in _TABLES.items():
         frame: DataFrame = getattr(star, field)
-        target = f"{path}/{table}"
+        target = f"{path}/{version}/{table}"
         if field == "fact":
             frame = frame.hint("rebalance", "date_key")
-            frame.write.mode("overwrite").partitionBy("date_key").parquet(target)
+            frame.write.partitionBy("date_key").parquet(target)
         elif field == "movies":
-            frame.write.mode("overwrite").parquet(target)
+            frame.write.parquet(target)
         else:
-            frame.coalesce(1).write.mode("overwrite").parquet(target)
+            frame.coalesce(1).write.parquet(target)
+    pointer = star.fact.sparkSession.createDataFrame([(version,)], "version string")
+    pointer.coalesce(1).write.mode("overwrite").text(f"{path}/{_CURRENT}")

@@ -200,7 +200,9 @@ SELECT year AS event_year, arg_min(event_name, coalesce(seq, 0)) AS event_name,
   arg_min(event_type, coalesce(seq, 0)) AS event_type FROM enriched GROUP BY year""",
         "fact_box_office": f"WITH {LOADED} SELECT * FROM box_office",
         "load_counters": f"""WITH {LOADED}
-SELECT (SELECT count(*) FROM box_office) AS inserted, CAST(0 AS BIGINT) AS skipped""",
+SELECT count(*) FILTER (year > 0 AND id IN (SELECT movie_id FROM dim_movies)) AS inserted,
+  count(*) FILTER (NOT coalesce(year > 0 AND id IN (SELECT movie_id FROM dim_movies), false)) AS skipped
+FROM loaded""",
         "load_counters_known_films": f"""WITH {LOADED}, known AS (
   SELECT DISTINCT id FROM loaded WHERE year < 1998)
 SELECT count(*) FILTER (id IN (FROM known)) AS inserted,
@@ -228,13 +230,32 @@ GROUP BY p_partkey HAVING count(*) > 1""",
   SELECT m.*, movie_key AS movie_id, text AS overview
   FROM movies m LEFT JOIN documents ON doc_id = movie_key),
 dates AS (SELECT DISTINCT date_key AS release_year,
-  concat(CAST(date_key // 10 AS VARCHAR), '0s') AS decade FROM fact)
+  concat(CAST(date_key // 10 AS VARCHAR), '0s') AS decade FROM fact),
+rates AS (SELECT gdp AS gdp_growth_rate, unemp AS unemployment_rate, infl AS inflation_rate FROM macro)
 {_null_counts('dim_movies', 'full_movies', ['movie_id', 'title', 'genre', 'overview'])} UNION ALL
 {_null_counts('dim_date', 'dates', ['release_year', 'decade'])} UNION ALL
 {_null_counts('dim_geopolitical_events', 'events', ['event_name', 'event_type'])} UNION ALL
 {_null_counts('fact_box_office', 'fact', ['movie_key', 'date_key'])} UNION ALL
-SELECT 'dim_macroeconomics', column_name, nulls FROM (VALUES
-  ('gdp_growth_rate', 2), ('unemployment_rate', 1), ('inflation_rate', 0)) v(column_name, nulls)""",
+{_null_counts('dim_macroeconomics', 'rates', ['gdp_growth_rate', 'unemployment_rate', 'inflation_rate'])}""",
+        "dq_orphans_partial": f"""{fact_star},
+known AS (SELECT movie_key FROM movies WHERE genre <> 'Unknown'),
+dates AS (SELECT DISTINCT date_key FROM fact WHERE date_key < 2000)
+{_orphans('dim_movies', 'known', 'movie_key', 'movie_key')} UNION ALL
+{_orphans('dim_date', 'dates', 'date_key', 'date_key')} UNION ALL
+{_orphans('dim_macroeconomics', 'years', 'year', 'date_key')} UNION ALL
+{_orphans('dim_geopolitical_events', 'events', 'year', 'date_key')}""",
+        "dim_date_incremental": f"""WITH {LOADED}
+SELECT DISTINCT year AS date_key, year AS release_year,
+  if(year < 1998, 'earlier', concat(CAST(year // 10 AS VARCHAR), '0s')) AS decade FROM loaded""",
+        "dim_macroeconomics_incremental": f"""WITH {FILLED}
+SELECT DISTINCT year, {rounded('gdp_growth', 8)} AS gdp_growth_rate,
+  {rounded('unemployment_rate', 8)} AS unemployment_rate,
+  if(year < 1990, -1, {rounded('inflation_rate', 8)}) AS inflation_rate
+FROM enriched""",
+        "dim_events_incremental": f"""WITH {FILLED}
+SELECT year AS event_year, arg_min(event_name, coalesce(seq, 0)) AS event_name,
+  if(year < 1990, 'earlier', arg_min(event_type, coalesce(seq, 0))) AS event_type
+FROM enriched GROUP BY year""",
         "dq_orphans": f"""{fact_star}
 {_orphans('dim_movies', 'movie_ids', 'movie_key', 'movie_key')} UNION ALL
 {_orphans('dim_macroeconomics', 'years', 'year', 'date_key')} UNION ALL

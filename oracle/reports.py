@@ -316,6 +316,38 @@ SELECT *, CAST(total_profit AS DOUBLE) / CAST(total_budget AS DOUBLE) * 100 AS a
         "runtime_premium": f"""{bare}, r AS ({over('runtime_paradox')})
 SELECT *, {rounded('nullif(ma5_runtime_top100, 0) - nullif(ma5_runtime_all, 0)', 2)}
   AS runtime_premium FROM r""",
+        "top_genres_other_odd": f"""{bare}, s AS ({over('decade_genre_share').replace(
+            "WHEN 'ring' THEN 'Comedy' WHEN 'bolt' THEN 'Horror'",
+            "WHEN 'ring' THEN NULL WHEN 'bolt' THEN 'Other'",
+        ).replace("WHEN 'gear' THEN 'Drama, Comedy'", "").replace(
+            "WHEN 'rod' THEN 'Comedy, Horror' WHEN 'plate' THEN 'Action, Drama' ELSE 'Unknown'",
+            "ELSE split_part(p_name, ' ', 2)",
+        )}), sums AS (
+  SELECT genre, sum(CAST(genre_share_pct AS DECIMAL(20,2))) AS total FROM s GROUP BY genre
+), ranked AS (
+  SELECT genre, row_number() OVER (ORDER BY total DESC, genre NULLS FIRST) AS place FROM sums
+), l AS (
+  SELECT decade, CASE WHEN place <= 4 THEN ranked.genre ELSE 'Other' END AS label,
+    CAST(genre_share_pct AS DECIMAL(20,2)) AS pct
+  FROM s JOIN ranked ON ranked.genre IS NOT DISTINCT FROM s.genre
+), labels AS (SELECT genre AS label FROM ranked WHERE place <= 4 UNION SELECT 'Other')
+SELECT d.decade, g.label, CAST(coalesce(sum(pct), 0) AS DOUBLE) AS share_pct
+FROM (SELECT DISTINCT decade FROM s) d CROSS JOIN labels g
+  LEFT JOIN l ON l.decade = d.decade AND l.label IS NOT DISTINCT FROM g.label
+GROUP BY d.decade, g.label""",
+        "runtime_paradox_late": over("runtime_paradox", 20),
+        "streaming_blocks_late": bare
+        + _blocks(over("runtime_paradox", 20), "streaming_era_flag <> 'Pre-Streaming'"),
+        "profitability_split_unknown": over("profitability_split").replace(
+            "FROM fact WHERE budget", "FROM (SELECT * REPLACE (if(vote_average >= 6, roi, NULL) AS roi) FROM fact) WHERE budget"
+        ),
+        "top_blockbusters_orphans": over("top_blockbusters").replace(
+            "ORDER BY revenue DESC", "WHERE genre <> 'Unknown' ORDER BY revenue DESC"
+        ),
+        "top_movies_by_rating_orphans": over("top_movies_by_rating").replace(
+            "\nORDER BY vote_average", " AND genre <> 'Unknown'\nORDER BY vote_average"
+        ),
+        "genre_baselines_rare": over("genre_baselines").replace(FIRST_GENRE, "title"),
         "top_genres_other": shares(7),
         "top_genres_other_top3": shares(3),
         "decade_genre_matrix": f"""{bare}, m AS ({shares(7)})

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import replace
 
 import pytest
 
 from eraframe import read_star, run_report, write_star
+from eraframe.plans import reports
 from eraframe.sources import testdata
 from tests.conftest import SMALL
 
@@ -45,7 +47,7 @@ def test_crisis_years_prune_fact_partitions(stored):
     assert "dynamicpruning" in plan
 
 
-def test_top_lists_are_cut_before_the_join(stored):
+def test_top_lists_gather_a_few_rows(stored):
     plan = _plan(run_report("top_blockbusters", stored))
     assert "TakeOrderedAndProject(limit=10" in plan
 
@@ -55,9 +57,11 @@ def test_yearly_ranks_are_limited_before_the_shuffle(stored, no_auto_broadcast):
     assert "row_number(), 100, Partial" in plan
 
 
-def test_large_film_dimension_gets_grouped_facts(stored, no_auto_broadcast):
-    plan = _plan(run_report("genre_baselines", stored))
-    assert "HashAggregate(keys=[movie_key" in plan and "SortMergeJoin [movie_key" in plan
+@pytest.mark.parametrize("name", ["genre_baselines", "escapism_index", "comedy_horror_paradox"])
+def test_large_film_dimension_shuffles_the_fact_once(stored, no_auto_broadcast, name):
+    plan = _plan(run_report(name, stored))
+    assert "HashAggregate(keys=[movie_key" not in plan and "SortMergeJoin [movie_key" in plan
+    assert len(re.findall(r"Exchange hashpartitioning\(movie_key", plan)) == 2  # fact and films
 
 
 def test_small_film_dimension_is_broadcast(stored):
@@ -66,8 +70,14 @@ def test_small_film_dimension_is_broadcast(stored):
 
 
 def test_rating_statistics_run_once(stored):
-    plan = _plan(run_report("rating_kpis", stored, ordered=False))
-    assert plan.count("Subquery subquery") == 2  # the column and its plan
+    rows = run_report("rating_kpis", stored, ordered=False)
+    assert _plan(rows).count("Subquery subquery") == 2  # the column and its plan
+
+
+def test_rating_statistics_count_the_votes_once(stored):
+    statistics = reports.vote_statistics(stored.fact)
+    statistics.collect()
+    assert "ReusedExchange" in _plan(statistics)
 
 
 @pytest.fixture

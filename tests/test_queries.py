@@ -30,14 +30,17 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL)
+    """But for those of the text operators that no SQL can express."""
+    without = {name for name in set(QUERIES) - set(SQL)}
+    assert set(SQL) <= set(QUERIES)
+    assert all(name == "pipeline" or name.startswith("op") for name in without)
 
 
 def _sortable(rows):
     return sorted(rows, key=lambda row: [(value is not None, repr(value)) for value in row])
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", [name for name in QUERIES if name in SQL])
 def test_matches_sql(spark, duck, name):
     result = QUERIES[name](spark, SMALL)
     expected = duck.sql(SQL[name])

@@ -82,30 +82,60 @@ def test_one_film_with_a_third_of_the_rows(spark, make_star, no_auto_broadcast):
     assert {(r["release_year"], r["genre"]): r["total_revenue"] for r in rows} == expected
 
 
-def test_wide_totals_hold_more_than_bigint(make_star):
+def test_totals_beyond_bigint_fail(make_star):
     huge = 4_000_000_000_000_000_000
     facts = [{"movie_key": i, "budget": huge // 2, "revenue": huge} for i in range(5)]
-    star = make_star(facts, macro=CALM, wide_totals=True)
-    row = reports.industry_baseline_trends(star).collect()[0]
-    assert (int(row["total_box_office"]), int(row["net_profit"])) == (5 * huge, 5 * huge // 2)
-    kpis = dashboard.executive_kpis(reports.industry_baseline_trends(star)).collect()[0]
-    assert kpis["avg_roi"] == 100.0
-    narrow = make_star(facts, macro=CALM)
     with pytest.raises(Exception, match="OVERFLOW"):
-        reports.industry_baseline_trends(narrow).collect()
-
-
-def test_wide_totals_change_no_value(spark, star):
-    wide = type(star)(**{**vars(star), "wide_totals": True})
-    for name in ("industry_baseline_trends", "escapism_index", "comedy_horror_paradox", "gdp_vs_movie_revenue"):
-        as_numbers = [
-            [
-                [float(v) if not isinstance(v, str | None) else v for v in row]
-                for row in tuples(run_report(name, s))
-            ]
-            for s in (star, wide)
-        ]
-        assert as_numbers[0] == as_numbers[1]
+        reports.industry_baseline_trends(make_star(facts, macro=CALM)).collect()
+
+
+def test_years_outside_of_any_calendar(make_star):
+    """Years 0 and 10000 have an economy and events like others."""
+    facts = [{"movie_key": i, "date_key": year} for i, year in enumerate((0, 10000, 2000))]
+    macro = [
+        {"year": y, "gdp_growth_rate": g, "unemployment_rate": 5.0, "inflation_rate": 2.0}
+        for y, g in ((0, -1.0), (10000, 1.0), (2000, 1.0))
+    ]
+    events = [
+        {"event_year": 0, "event_name": "Flood", "event_type": "Disaster"},
+        {"event_year": 10000, "event_name": "Bug", "event_type": "Disaster"},
+    ]
+    star = make_star(facts, macro=macro, events=events)
+    trends = reports.industry_baseline_trends(star).collect()
+    assert [(r["release_year"], r["era_type"]) for r in trends] == [
+        (0, "Crisis"), (2000, "Stable"), (10000, "Stable"),
+    ]
+    shown = reports.crisis_timeline_overlay(star, "Stable").collect()
+    assert [(r["release_year"], r["historical_event"]) for r in shown][-1] == (10000, "Bug")
+    assert 0 not in {r["release_year"] for r in shown}
+    assert {r["decade"] for r in reports.decade_genre_share(star).collect()} >= {"0s", "10000s"}
+
+
+def test_top_lists_skip_releases_without_a_film(make_star):
+    facts = [
+        {"movie_key": 1, "revenue": 900, "vote_average": 9.0},
+        {"movie_key": 2, "revenue": 500, "vote_average": 5.0},
+    ]
+    star = make_star(facts, movies=[{"movie_key": 2}], macro=CALM)
+    assert [r["revenue"] for r in reports.top_blockbusters(star, 1).collect()] == [500]
+    assert [r["revenue"] for r in reports.top_movies_by_rating(star, n=1).collect()] == [500]
+
+
+def test_top_genres_with_a_null_and_a_genre_called_other(spark):
+    shares = spark.createDataFrame(
+        [("1990s", "A", 60.0), ("1990s", "Other", 30.0), ("1990s", "C", 10.0), ("2000s", None, 99.0)],
+        "decade string, genre string, genre_share_pct double",
+    )
+    got = {(r["decade"], r["label"]): r["share_pct"] for r in dashboard.top_genres_other(shares, 2).collect()}
+    assert got == {
+        ("1990s", "A"): 60.0, ("1990s", None): 0.0, ("1990s", "Other"): 40.0,
+        ("2000s", "A"): 0.0, ("2000s", None): 99.0, ("2000s", "Other"): 0.0,
+    }
+    matrix = dashboard.decade_genre_matrix(shares, 3).collect()
+    assert [r.asDict() for r in matrix] == [
+        {"decade": "1990s", "null": 0.0, "A": 60.0, "Other": 40.0},
+        {"decade": "2000s", "null": 99.0, "A": 0.0, "Other": 0.0},
+    ]
 
 
 def test_moving_means_span_rows_not_years(make_star):
