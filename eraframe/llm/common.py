@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from eraframe.sources import sinks
+
 # White space of the word definition, as a regular expression class and as text.
 BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -51,12 +53,12 @@ def let(value: Column, body) -> Column:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors see; a scratch one in local mode if unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = sinks.shared_folder(spark)
     if not folder:
         if not spark.conf.get("spark.master", "").split("[")[0] == "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.conf.set(sinks.SHARED_FOLDER, folder)
     return folder
 
 

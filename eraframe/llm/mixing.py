@@ -77,48 +77,44 @@ def source_targets(sizes: DataFrame, weights: Sequence[int]) -> DataFrame:
 
 
 def fit_lengths(
-    size: np.ndarray, docs: np.ndarray, budget: int, window: int = 65_536
+    size: np.ndarray, docs: np.ndarray, budget: int, most: int = 1, window: int = 65_536
 ) -> np.ndarray:
     """How many documents of each length to take so that the words come to ``budget``.
 
     Every length first gives its share. Lengths from long to short then fill up to
     within ``window`` words, and a bounded knapsack over the rest finds the largest
-    sum that does not pass the budget.
+    sum that does not pass the budget. Only if single documents do not meet it, a length
+    gives its documents up to ``most`` times.
     """
     total = int((size * docs).sum())
-    taken = np.zeros(len(size), dtype=np.int64)
     if total == 0 or budget <= 0:
-        return taken
+        return np.zeros(len(size), dtype=np.int64)
     if budget >= total:
         return docs.copy()
     taken = np.array([int(d) * budget // total for d in docs], dtype=np.int64)
     left = budget - int((size * taken).sum())
-    order = np.argsort(-size, kind="stable")
+    order = [i for i in np.argsort(-size, kind="stable") if size[i]]
     for i in order:
-        if left <= window:
-            break
-        if size[i]:
-            n = min(int(docs[i] - taken[i]), (left - window) // int(size[i]))
-            n = max(n, 0)
-            taken[i] += n
-            left -= n * int(size[i])
+        n = max(min(int(docs[i] - taken[i]), (left - window) // int(size[i])), 0)
+        taken[i] += n
+        left -= n * int(size[i])
     for i in order:  # what is still far off goes to single documents
-        while left > window and 0 < size[i] <= left and taken[i] < docs[i]:
+        while left > window and size[i] <= left and taken[i] < docs[i]:
             taken[i] += 1
             left -= int(size[i])
+    # reach has a bit for every sum that the steps so far can make.
     reach, mask, steps = 1, (1 << (left + 1)) - 1, []
-    for i in order:
-        spare, unit = int(docs[i] - taken[i]), 1
-        while spare > 0 and 0 < size[i] <= left and not reach >> left & 1:
-            n = min(unit, spare)
-            grown = (reach | reach << (n * int(size[i]))) & mask
-            if grown != reach:
-                steps.append((i, n, reach))
-                reach = grown
-            if n * int(size[i]) > left:
-                break
-            spare -= n
-            unit *= 2
+    for times in range(1, most + 1):
+        for i in order:
+            spare, unit = int(docs[i] - (taken[i] if times == 1 else 0)), 1
+            while spare > 0 and unit * size[i] <= left and not reach >> left & 1:
+                n = min(unit, spare)
+                grown = (reach | reach << (n * int(size[i]))) & mask
+                if grown != reach:
+                    steps.append((i, n, reach))
+                    reach = grown
+                spare -= n
+                unit *= 2
     sum_left = reach.bit_length() - 1
     for i, n, earlier in reversed(steps):
         if not earlier >> sum_left & 1:
@@ -132,7 +128,8 @@ def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
     size, docs = pdf["size"].to_numpy(np.int64), pdf["docs"].to_numpy(np.int64)
     total, goal = int((size * docs).sum()), int(round(pdf["target"].iloc[0]))
     copies = min(_MAX_COPIES, goal // total) if total else 0
-    extra = fit_lengths(size, docs, goal - copies * total if copies < _MAX_COPIES else 0)
+    spare = _MAX_COPIES - copies
+    extra = fit_lengths(size, docs, goal - copies * total if spare else 0, spare)
     return pd.DataFrame(
         {"source": pdf["source"], "size": size, "copies": copies, "extra": extra, "docs": docs}
     )
@@ -187,8 +184,8 @@ def mix_sources(
     ).select(
         F.col("source").alias("plan_source"),
         F.col("size").alias("plan_size"),
-        "copies",
-        "extra",
+        (F.col("copies") + F.floor(F.col("extra") / F.col("docs"))).alias("copies"),
+        (F.col("extra") % F.col("docs")).alias("extra"),
         "docs",
         "source_size",
         "target",
@@ -199,12 +196,12 @@ def mix_sources(
         & (sized["size"] == planned["plan_size"]),
     ).drop("plan_source", "plan_size")
     # Only lengths of which some, but not all, documents are taken need an order.
-    some = (F.col("extra") > 0) & (F.col("extra") < F.col("docs"))
+    some = F.col("extra") > 0
     draw = F.xxhash64(F.lit(seed), *[F.col(n).cast("string") for n in names])
     drawn = ranked(
         joined.filter(some).withColumn("_draw", draw), ["source", "size"], "docs", ["_draw", *names]
     ).withColumn("_more", (F.col("rank") <= F.col("extra")).cast("long"))
-    rest = joined.filter(~some).withColumn("_more", (F.col("extra") > 0).cast("long"))
+    rest = joined.filter(~some).withColumn("_more", F.lit(0).cast("long"))
     times = F.col("copies") + F.col("_more")
     shape = [
         *[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)],

@@ -89,7 +89,7 @@ def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suffix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), with_kept=False)
 
 
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:

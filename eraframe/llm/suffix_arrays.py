@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 
 BITS = 21
-LARGEST = (1 << BITS) - 64  # bytes of a shard
 _LOW = np.uint64((1 << BITS) - 1)
 _B = np.uint64(BITS)
 _FIRST = 5  # bytes that the first sort looks at

@@ -19,11 +19,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_carrying, stored, whole_text
-from .suffix_arrays import LARGEST, Hashes, anchors, mixed, repeated_starts, runs
+from .suffix_arrays import Hashes, anchors, mixed, repeated_starts, runs
+from .tokens import in_parts
 
 LENGTH = 200
 GRAM = 64
-_PART = 1 << 20  # strings of a text that one shard takes at most
+# Bytes of a shard, and strings of a text that it takes at most. The bytes that a suffix
+# array is made of, a string's length more for each stretch of runs, fit its positions.
+LARGEST = 700_000
+_PART = 500_000
+_ROWS = 5_000  # rows that a worker gathers before it hands them on
 CROWD = 4096  # runs of one anchor from which their strings are dealt one by one
 
 _MARK = "kind int, key long, context long, shard long, b0 long, b1 long, start int, size int"
@@ -53,6 +58,36 @@ def _shards(batches: Iterator[pd.DataFrame], length: int):
         yield shard
 
 
+def _repeated_places(
+    data: np.ndarray,
+    lo: np.ndarray,
+    count: np.ndarray,
+    text: np.ndarray,
+    key: np.ndarray,
+    length: int,
+) -> np.ndarray:
+    """Places of a shard whose strings start at another place of it too.
+
+    Equal strings have equal anchors, so the suffix array is made of the strings in runs
+    whose anchor comes up again; runs that follow each other share their bytes.
+    """
+    _, inverse, times = np.unique(key, return_inverse=True, return_counts=True)
+    again = np.flatnonzero(times[inverse] > 1)
+    if not len(again):
+        return np.zeros(0, dtype=np.int64)
+    first = np.ones(len(again), dtype=bool)
+    first[1:] = (again[1:] != again[:-1] + 1) | (text[again[1:]] != text[again[:-1]])
+    at = np.flatnonzero(first)
+    begin = lo[again[at]]
+    starts = np.add.reduceat(count[again], at)
+    width = starts + length - 1
+    offset = np.cumsum(width) - width
+    owner = np.repeat(np.arange(len(width)), width)
+    within = np.arange(len(owner)) - offset[owner]
+    place = begin[owner] + within
+    return place[repeated_starts(data[place], within < starts[owner], length)]
+
+
 def _marks_of(shard: list[tuple], number: int, length: int) -> pd.DataFrame:
     """Repeated strings within a shard (kind 0) and its anchors' runs (kind 1)."""
     sizes = np.array([len(s[3]) for s in shard])
@@ -62,16 +97,10 @@ def _marks_of(shard: list[tuple], number: int, length: int) -> pd.DataFrame:
     allowed = np.zeros(len(data), dtype=bool)
     for begin, end in zip(begins, ends, strict=True):
         allowed[begin : end - length + 1] = True
-    repeated = np.flatnonzero(repeated_starts(data, allowed, length))
-    begun = np.searchsorted(begins, repeated, side="right")
-    # One more per text keeps runs of neighbouring texts apart.
-    start, size = runs(repeated + begun)
-    start = start - begun[np.searchsorted(repeated + begun, start)] if len(start) else start
-
     hashes, other = Hashes(data), Hashes(data, 1)
     places = np.flatnonzero(allowed)
     anchor = anchors(hashes, GRAM, length)[places]
-    text = np.searchsorted(begins, places, side="right")
+    text = np.repeat(np.arange(len(sizes)), sizes - length + 1)
     first = np.ones(len(places), dtype=bool)
     first[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
     at = np.flatnonzero(first)
@@ -79,6 +108,11 @@ def _marks_of(shard: list[tuple], number: int, length: int) -> pd.DataFrame:
     hi = lo + count + length - 1
     key = hashes.of(anchor[at], anchor[at] + GRAM)
     context = mixed(other.of(lo, hi) + mixed((anchor[at] - lo).astype(np.uint64)) + hashes.of(lo, hi))
+    repeated = _repeated_places(data, lo, count, text[at], key, length)
+    begun = np.searchsorted(begins, repeated, side="right")
+    # One more per text keeps runs of neighbouring texts apart.
+    start, size = runs(repeated + begun)
+    start = start - begun[np.searchsorted(repeated + begun, start)] if len(start) else start
     # Runs of equal context in one shard are known to repeat: one stands for all.
     _, one = np.unique(context, return_index=True)
     starts = np.concatenate([start, lo[one]])
@@ -115,24 +149,25 @@ def shard_marks(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def _cut_runs(length: int):
     """Texts with their runs to the bytes of each run; equal texts in a row count once."""
+    names = ["key", "shard", "b0", "b1", "start", "size", "bytes"]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None
+        last, out = None, []
         for batch in batches:
-            out = []
             for row in batch.itertuples(index=False):
                 if last == (row.b0, row.b1):
                     continue
                 last = (row.b0, row.b1)
                 raw = row.text.encode()
-                for r in row.runs:
-                    start, size = r["start"], r["size"]
-                    out.append(
-                        (r["key"], r["shard"], *last, start, size, raw[start : start + size + length - 1])
-                    )
-            yield pd.DataFrame(
-                out, columns=["key", "shard", "b0", "b1", "start", "size", "bytes"]
-            )
+                for key, shard, start, size in zip(
+                    row.key, row.shard, row.start, row.size, strict=True
+                ):
+                    cut = raw[start : start + size + length - 1]
+                    out.append((key, shard, *last, start, size, cut))
+                if len(out) > _ROWS:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+        yield pd.DataFrame(out, columns=names)
 
     return work
 
@@ -244,10 +279,11 @@ def repeated_runs(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     # Anchors with one context everywhere: all strings of their runs repeat.
     whole = shared.filter("NOT differ").select("b0", "b1", "start", "size")
     differ = shared.filter("differ").select(
-        "b0", "b1", F.struct("key", "shard", "start", "size", "n").alias("run")
+        "b0", "b1", F.struct("key", "shard", "start", "size").alias("run")
     )
     wanted = differ.groupBy("b0", "b1").agg(F.collect_set("run").alias("runs"))
-    cut = texts.join(wanted, ["b0", "b1"]).select("b0", "b1", "text", "runs").mapInPandas(
+    fields = [F.col(f"runs.{c}").alias(c) for c in ("key", "shard", "start", "size")]
+    cut = texts.join(wanted, ["b0", "b1"]).select("b0", "b1", "text", *fields).mapInPandas(
         _cut_runs(length), f"key long, shard long, {_RUN}, bytes binary"
     )
     crowds = shared.filter(F.col("differ") & (F.col("n") > CROWD)).select("key").distinct()
@@ -279,34 +315,40 @@ def repeated_runs(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     return within.unionByName(whole).unionByName(merged).unionByName(spread)
 
 
-def _remove(length: int):
+def _remove(length: int, with_kept: bool):
     """Texts with the runs of their repeated strings to what is left of them."""
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+
+    def spans_of(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Maximal stretches that the strings of sorted runs cover."""
+        order = np.argsort(start, kind="stable")
+        begin = start[order].astype(np.int64)
+        end = np.maximum.accumulate(begin + size[order] + length - 1)
+        first = np.ones(len(begin), dtype=bool)
+        first[1:] = begin[1:] > end[:-1]
+        at = np.flatnonzero(first)
+        return begin[at], end[np.append(at[1:], len(end)) - 1]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for text, repeats in zip(batch["text"], batch["repeats"], strict=True):
-                raw = text.encode()
-                spans: list[list[int]] = []
-                for r in sorted((x["start"], x["size"]) for x in repeats) if repeats is not None else ():
-                    end = r[0] + r[1] + length - 1
-                    if spans and r[0] <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], end)
-                    else:
-                        spans.append([r[0], end])
-                begins = [0, *[e for _, e in spans]]
-                ends = [*[s for s, _ in spans], len(raw)]
-                left = b"".join(raw[a:b] for a, b in zip(begins, ends, strict=True))
-                out.append((len(raw), len(raw) - len(left), len(spans), left))
-            made = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])
-            made["kept_sha256"] = [hashlib.sha256(x).hexdigest() for x in made["kept"]]
-            made.insert(0, "doc_id", batch["doc_id"])
-            yield made
+            for part in in_parts(batch):
+                out = []
+                for row in part.itertuples(index=False):
+                    raw, n_spans, left = row.text.encode(), 0, row.text.encode()
+                    if row.start is not None and len(row.start):
+                        begins, ends = spans_of(row.start, row.size)
+                        n_spans = len(begins)
+                        edges = zip([0, *ends], [*begins, len(raw)], strict=True)
+                        left = b"".join(raw[a:b] for a, b in edges)
+                    digest = hashlib.sha256(left).hexdigest()
+                    made = (row.doc_id, len(raw), len(raw) - len(left), n_spans, digest)
+                    out.append((*made, left) if with_kept else made)
+                yield pd.DataFrame(out, columns=names[: 6 if with_kept else 5])
 
     return work
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, with_kept: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes) and kept_sha256 of every document.
 
     Every byte in a string of ``length`` bytes that also starts anywhere else goes. Null
@@ -320,10 +362,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     repeats = found.groupBy("b0", "b1").agg(
         F.collect_set(F.struct("start", "size")).alias("repeats")
     )
-    joined = texts.join(repeats, ["b0", "b1"], "left").select("doc_id", "text", "repeats")
+    joined = texts.join(repeats, ["b0", "b1"], "left").select(
+        "doc_id", "text", F.col("repeats.start").alias("start"), F.col("repeats.size").alias("size")
+    )
     return map_carrying(
         joined,
         ["doc_id"],
-        _remove(length),
-        "n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string",
+        _remove(length, with_kept),
+        "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept,
     )

@@ -60,3 +60,6 @@ def words(text: str | None) -> list[str]:
 
 def rows_of(df, *columns: str) -> list[tuple]:
     return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
+
+
+UPPER_TO_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
