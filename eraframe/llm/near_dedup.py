@@ -6,8 +6,9 @@ batch; it is dropped once the posterior chance that its likeness reaches the thr
 is below the chosen miss probability. Survivors are verified on their full sets.
 
 First every class of a bucket meets the bucket's smallest class. Buckets whose
-classes then still belong to different components are cut into blocks, and all pairs
-of blocks are compared; only survivors leave a task, at first as a forest, then all.
+classes then still belong to different components are cut into blocks, and tasks take
+pairs of blocks with all signatures and sets. Pairs never leave a task: it hands on a
+forest of verified links, no more than it has classes.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import ROW_KEY, map_carrying, row_key, stored
 from .components import connected_components
+from .tokens import in_parts
 
 _REMEMBERED = 500_000
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
@@ -48,7 +50,7 @@ class Likeness:
     extra: int = 32
     miss: float = 1e-6
     batch: int = 16
-    block: int = 256
+    block: int = 1024
 
     @property
     def hashes(self) -> int:
@@ -167,27 +169,50 @@ def describe(docs: DataFrame, likeness: Likeness) -> DataFrame:
     )
 
 
+def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets reach the likeness; sizes alone may rule it out."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _passing(x: np.ndarray, y: np.ndarray, steps: list[tuple[int, int]]) -> np.ndarray:
+    """Matches of pairs of signatures that no batch drops, -1 for dropped ones.
+
+    The hashes that formed no bands are compared first.
+    """
+    x, y = x[:, ::-1], y[:, ::-1]
+    matches = np.zeros(len(x), dtype=np.int64)
+    on, done = np.arange(len(x)), 0
+    for n, least in steps:
+        matches[on] += (x[on, done:n] == y[on, done:n]).sum(axis=1)
+        stays = matches[on] >= least
+        matches[on[~stays]] = -1
+        on, done = on[stays], n
+        if not len(on):
+            break
+    return matches
+
+
+def _signatures(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), "<u4").reshape(len(column), -1)
+
+
 def _verifier(likeness: Likeness) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Pairs with signatures and texts to the pairs that are linked."""
+    """Pairs with signatures and sets to the pairs that are linked."""
     steps = likeness.needed_matches()
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, dtype=np.uint64))
         for batch in batches:
-            linked = []
-            for row in batch.itertuples(index=False):
-                own = np.frombuffer(row.sig_a, "<u4") == np.frombuffer(row.sig_b, "<u4")
-                # The hashes that did not form bands come first.
-                matches = np.cumsum(own[::-1])
-                if any(matches[n - 1] < least for n, least in steps):
-                    continue
-                if last[0] != row.b:
-                    last = (row.b, shingle_set(row.text_b, likeness.shingle))
-                mine = shingle_set(row.text_a, likeness.shingle)
-                both = len(np.intersect1d(mine, last[1], assume_unique=True))
-                union = len(mine) + len(last[1]) - both
-                if 100 * both >= likeness.percent * union:
-                    linked.append((row.a, row.b))
+            if not len(batch):
+                continue
+            passed = _passing(_signatures(batch["sig_a"]), _signatures(batch["sig_b"]), steps) >= 0
+            linked = [
+                (a, b)
+                for a, b, x, y in batch.loc[passed, ["a", "b", "set_a", "set_b"]].itertuples(index=False)
+                if _alike(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), likeness.percent)
+            ]
             yield pd.DataFrame(linked, columns=["a", "b"])
 
     return work
@@ -200,45 +225,61 @@ def verified(pairs: DataFrame, classes: DataFrame, likeness: Likeness) -> DataFr
         return classes.select(
             F.col("class_key").alias(name),
             F.col("signature").alias(f"sig_{name}"),
-            F.col("text").alias(f"text_{name}"),
+            F.col("hashes").alias(f"set_{name}"),
         )
 
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    columns = ["a", "b", "sig_a", "sig_b", "text_a", "text_b"]
+    columns = ["a", "b", "sig_a", "sig_b", "set_a", "set_b"]
     return joined.select(*columns).mapInPandas(_verifier(likeness), "a binary, b binary")
 
 
-def _block_pairs(
-    likeness: Likeness, everything: bool
+def _block_links(
+    likeness: Likeness,
 ) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Rows sorted by (bucket, left, right) to surviving pairs across components."""
-    steps = likeness.needed_matches()
+    """Rows sorted by (bucket, left, right) to links that join components."""
+    steps, rows_of_band = likeness.needed_matches(), likeness.rows
 
-    def survivors(group: pd.DataFrame) -> list[tuple[bytes, bytes]]:
+    def candidates(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs across components and blocks that meet in no earlier band, likely first."""
         component = pd.factorize(group["component"])[0]
-        if component.max() == 0:
-            return []
-        values = np.frombuffer(b"".join(group["signature"]), "<u4").reshape(len(group), -1)
-        values = values[:, ::-1]
+        values = _signatures(group["signature"])
         own = (group["block"] == group["left"]).to_numpy()
         same_block = group["left"].iloc[0] == group["right"].iloc[0]
-        i, j = np.triu_indices(len(group), 1)
-        use = component[i] != component[j]
-        if not same_block:
-            use &= own[i] != own[j]
-        i, j = i[use], j[use]
-        matches, done = np.zeros(len(i), dtype=np.int64), 0
-        for n, least in steps:
-            matches += (values[i, done:n] == values[j, done:n]).sum(axis=1)
-            done = n
-            on = matches >= least
-            i, j, matches = i[on], j[on], matches[on]
-        order = np.argsort(-matches, kind="stable")
-        keys, root, out = group["class_key"].tolist(), component.copy(), []
-        for x, y in zip(i[order], j[order], strict=True):
-            if everything or root[x] != root[y]:
-                root[root == root[y]] = root[x]
-                out.append((min(keys[x], keys[y]), max(keys[x], keys[y])))
+        band = int(group["band"].iloc[0])
+        earlier = values[:, : band * rows_of_band]
+        found = []
+        for i in range(len(group) - 1):
+            use = component[i + 1 :] != component[i]
+            if not same_block:
+                use &= own[i + 1 :] != own[i]
+            j = i + 1 + np.flatnonzero(use)
+            if band and len(j):
+                met = (earlier[j] == earlier[i]).reshape(len(j), band, rows_of_band)
+                j = j[~met.all(axis=2).any(axis=1)]
+            if len(j):
+                matches = _passing(np.broadcast_to(values[i], (len(j), values.shape[1])), values[j], steps)
+                on = matches >= 0
+                found.append(np.stack([matches[on], np.full(on.sum(), i), j[on]]))
+        pairs = np.concatenate(found, axis=1) if found else np.zeros((3, 0), dtype=np.int64)
+        order = np.argsort(-pairs[0], kind="stable")
+        return component, pairs[1:, order]
+
+    def links(group: pd.DataFrame) -> list[tuple[bytes, bytes]]:
+        if group["component"].nunique() == 1:
+            return []
+        root, pairs = candidates(group)
+        root = root.copy()
+        keys, sets = group["class_key"].tolist(), {}
+        out = []
+        for i, j in pairs.T:
+            if root[i] == root[j]:
+                continue
+            for n in (i, j):
+                if n not in sets:
+                    sets[n] = np.frombuffer(group["hashes"].iat[n], "<u8")
+            if _alike(sets[i], sets[j], likeness.percent):
+                root[root == root[j]] = root[i]
+                out.append((keys[i], keys[j]))
         return out
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -250,19 +291,19 @@ def _block_pairs(
             starts = np.flatnonzero(changed)
             out = []
             for start, end in zip(starts[:-1], starts[1:], strict=True):
-                out += survivors(rows.iloc[start:end])
+                out += links(rows.iloc[start:end])
             rest = rows.iloc[starts[-1] :] if len(starts) else rows
             yield pd.DataFrame(out, columns=["a", "b"])
         if rest is not None and len(rest):
-            yield pd.DataFrame(survivors(rest), columns=["a", "b"])
+            yield pd.DataFrame(links(rest), columns=["a", "b"])
 
     return work
 
 
-def _open_pairs(
-    members: DataFrame, components: DataFrame, classes: DataFrame, likeness: Likeness, everything: bool
+def _open_links(
+    members: DataFrame, components: DataFrame, classes: DataFrame, likeness: Likeness
 ) -> DataFrame:
-    """Surviving pairs of buckets that hold more than one component."""
+    """Links between components that meet in a bucket."""
     named = members.join(components, "class_key", "left").withColumn(
         "component", F.coalesce("component", "class_key")
     )
@@ -277,13 +318,13 @@ def _open_pairs(
         .select("bucket", F.ceil(F.col("n") / likeness.block).cast("int").alias("blocks"))
     )
     blocks = F.col("blocks")
-    block = F.pmod(F.xxhash64("class_key"), blocks).cast("int")
     dealt = (
         named.join(mixed, "bucket")
-        .withColumn("block", block)
+        .withColumn("block", F.pmod(F.xxhash64("class_key"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select(
             "bucket",
+            "band",
             F.least("block", "other").alias("left"),
             F.greatest("block", "other").alias("right"),
             "block",
@@ -291,18 +332,29 @@ def _open_pairs(
             "component",
         )
     )
-    signed = dealt.join(classes.select("class_key", "signature"), "class_key")
-    sorted_blocks = signed.repartition("bucket", "left", "right").sortWithinPartitions(
+    filled = dealt.join(classes, "class_key")
+    sorted_blocks = filled.repartition("bucket", "left", "right").sortWithinPartitions(
         "bucket", "left", "right", "class_key"
     )
-    return sorted_blocks.mapInPandas(
-        _block_pairs(likeness, everything), "a binary, b binary"
-    ).distinct()
+    return sorted_blocks.mapInPandas(_block_links(likeness), "a binary, b binary").distinct()
+
+
+def _with_sets(likeness: Likeness) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in in_parts(batch):
+                hashes = [shingle_set(t, likeness.shingle).astype("<u8").tobytes() for t in part["text"]]
+                yield part[["class_key", "signature"]].assign(hashes=hashes)
+
+    return work
 
 
 def near_duplicates(docs: DataFrame, likeness: Likeness = Likeness()) -> DataFrame:  # noqa: B008
     """doc_id, n_shingles, class_key, component_id, kept and links of every document.
 
+    ``links`` counts the verified links of the document's class that were needed to find
+    the components.
+
     ``component_id`` is the smallest doc_id that a document reaches by links, its own
     included, and ``kept`` marks the document with this id; ``class_key`` is equal for
     texts with equal sets. Null, empty and blank texts have no set and link with
@@ -322,7 +374,7 @@ def near_duplicates(docs: DataFrame, likeness: Likeness = Likeness()) -> DataFra
         ),
         "near-classes",
     )
-    banded = classes.select("class_key", F.explode("bands").alias("bucket"))
+    banded = classes.select("class_key", F.posexplode("bands").alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(
         F.min("class_key").alias("head"), F.count(F.lit(1)).alias("n")
     ).filter("n > 1")
@@ -333,22 +385,20 @@ def near_duplicates(docs: DataFrame, likeness: Likeness = Likeness()) -> DataFra
     text = F.coalesce(F.col("text"), F.lit(""))
     texts = docs.select(F.sha2(text, 256).alias("blob"), text.alias("text"))
     candidates = stored(
-        texts.join(wanted, "blob").dropDuplicates(["class_key"]).select("class_key", "signature", "text"),
+        texts.join(wanted, "blob")
+        .dropDuplicates(["class_key"])
+        .select("class_key", "signature", "text")
+        .mapInPandas(_with_sets(likeness), "class_key binary, signature binary, hashes binary"),
         "near-candidates",
     )
     stars = members.filter(F.col("class_key") != F.col("head")).select(
         F.col("class_key").alias("a"), F.col("head").alias("b")
     ).distinct()
     links = stored(verified(stars, candidates, likeness), "near-links")
-    buckets = members.select("bucket", "class_key")
-    for everything in (False, True):
-        components = _components(links)
-        pairs = stored(
-            _open_pairs(buckets, components, candidates, likeness, everything), "near-open"
-        )
-        if pairs.isEmpty():
-            break
-        links = links.unionByName(stored(verified(pairs, candidates, likeness), "near-links"))
+    found = _open_links(
+        members.select("bucket", "band", "class_key"), _components(links), candidates, likeness
+    )
+    links = links.unionByName(stored(found, "near-links"))
     components = _components(links)
     reached = classes.select("class_key", "least_id").join(components, "class_key", "left")
     named = reached.withColumn("component", F.coalesce("component", "class_key"))
@@ -357,7 +407,8 @@ def near_duplicates(docs: DataFrame, likeness: Likeness = Likeness()) -> DataFra
         F.col("class_key").alias("_class"), "component_id"
     )
     degree = (
-        links.distinct()
+        links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .distinct()
         .select(F.explode(F.array("a", "b")).alias("_linked"))
         .groupBy("_linked")
         .agg(F.count(F.lit(1)).alias("links"))

@@ -5,7 +5,6 @@ from math import comb
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from eraframe.llm import near_dedup, queries
 from eraframe.llm.components import connected_components
