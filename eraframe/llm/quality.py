@@ -31,8 +31,8 @@ SPREAD = {
 SHARE = 0.75  # of a group that an estimate rests on
 STEPS = 4
 # Squared distance beyond which a vector is rejected: the chi-squared quantile for
-# four statistics at a tail of 1e-12. Clean texts of heavy-tailed lengths stay.
-CUT = 62.0
+# four statistics at a tail of 3e-7.
+CUT = 36.0
 _BIN = 32  # steps per doubling of the squared distance in the h-subset search
 
 
@@ -128,12 +128,15 @@ def text_statistics(docs: DataFrame) -> DataFrame:
 
 
 def _vector() -> dict[str, Column]:
-    n_words, n_lines = F.col("n_words"), F.greatest(F.col("n_lines"), F.lit(1))
+    n_words = F.col("n_words")
+    # Shares as if some more lines and words had no repeat: one repeated line says
+    # little about a text of three.
+    more_lines, more_words = F.col("n_lines") + 10, n_words + 50
     return {
         "x_length": F.log(F.col("word_chars") / n_words),
         "x_symbols": F.sqrt(F.col("n_symbols") / n_words),
-        "x_lines": F.sqrt(F.col("n_dup_lines") / n_lines),
-        "x_repeats": F.sqrt(F.col("n_repeat_words") / n_words),
+        "x_lines": F.sqrt(F.col("n_dup_lines") / more_lines),
+        "x_repeats": F.sqrt(F.col("n_repeat_words") / more_words),
     }
 
 
