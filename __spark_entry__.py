@@ -5,7 +5,7 @@ Every query reads the given tables through ``eraframe.sources.testdata``.
 
 from __future__ import annotations
 
-import importlib.util
+import importlib
 import tempfile
 from collections.abc import Callable
 from dataclasses import replace
@@ -28,10 +28,12 @@ from eraframe.sources.star import Star, read_star, write_star
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# The text operators are an optional part: without their folder the rest works.
-if importlib.util.find_spec("eraframe.llm") and importlib.util.find_spec("corpus_pipeline"):
-    from eraframe.llm import queries as text_queries
-else:
+# The text operators are an optional part: without their files the rest works.
+try:
+    text_queries = importlib.import_module("eraframe.llm.queries")
+except ModuleNotFoundError as missing:
+    if missing.name not in ("eraframe.llm", "eraframe.llm.queries", "corpus_pipeline"):
+        raise
     text_queries = None
 
 _SMOKE_DIR = "/root/testdata/sf0.001"
