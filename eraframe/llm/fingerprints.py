@@ -18,6 +18,9 @@ from .common import let, whole_text, words
 SHINGLE = 5
 K = 128
 _HASHES = 2.0**64
+# Blocks of neighbouring ids at most, which bounds the sample of ids on the driver; of
+# more documents than that, a block has more.
+_MOST_BLOCKS = 100_000
 
 
 def shingle_hashes(text: Column, shingle: int = SHINGLE) -> Column:
@@ -130,7 +133,7 @@ def _id_blocks(docs: DataFrame, per_block: int) -> tuple[list[int], bool, int |
         F.count("doc_id").alias("with_id"),
         F.min("doc_id").alias("least"),
     ).first()
-    blocks = max(1, -(-row.n // per_block))
+    blocks = min(max(1, -(-row.n // per_block)), _MOST_BLOCKS)
     every = max(1, row.with_id // (16 * blocks))
     sampled = docs.select("doc_id").filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
     ids = sorted({r.doc_id for r in sampled.collect() if r.doc_id is not None})

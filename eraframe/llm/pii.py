@@ -213,11 +213,11 @@ def disclosing_terms(
     )
     n_lines = docs.agg(
         F.sum(F.regexp_count(whole_text("text"), F.lit("\n")) + 1).cast("double").alias("n_lines")
-    )
+    ).scalar()
     together = F.col("n_both") * F.col("n_lines") / (F.col("n_term") * F.col("n_entity"))
     return (
         candidates.join(n_terms, "term")
-        .crossJoin(F.broadcast(n_lines))
+        .withColumn("n_lines", n_lines)
         .withColumn("share", F.log(together) / F.log(F.col("n_lines") / F.col("n_entity")))
         .filter(F.col("share") >= disclosure)
         .select("entity", "term", "share")
