@@ -26,7 +26,6 @@ STEPS = 32  # words of a sequence; a text is a run of such sequences
 SAMPLE = 4_000  # labelled documents that the model is fitted on at most
 FOLDS = 5
 _PUNCTUATION = ".,;:!?\"'()[]{}<>*#$%&|-_"
-_EVIDENCE = 30.0  # log-likelihood ratio from which a feature marks tokens
 _REMEMBERED = 1_000_000
 _LIMIT = 30.0
 
@@ -114,9 +113,12 @@ def token_chances(model: ToxicField, flat: np.ndarray, ends: np.ndarray) -> np.n
 
 
 def evidence(chances: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Per text log(1 + expected toxic tokens) and the largest chance."""
+    """Per text log(1 + sum of the chances of rather toxic tokens) and the largest chance.
+
+    Slight chances are left out of the sum: a long text has very many of them.
+    """
     starts = np.concatenate([[0], ends])[:-1]
-    total = np.concatenate([[0.0], np.cumsum(chances)])
+    total = np.concatenate([[0.0], np.cumsum(np.where(chances >= 0.5, chances, 0.0))])
     largest = np.zeros(len(ends))
     filled = ends > starts
     if filled.any():
@@ -125,13 +127,18 @@ def evidence(chances: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _marking_features(texts: Sequence[list[str]], toxic: np.ndarray) -> set[str]:
-    """Features whose share of toxic documents stands out by a likelihood ratio."""
+    """Features whose share of toxic documents stands out by a likelihood ratio.
+
+    The ratio asked for grows with the number of features, so that about one of them
+    would pass by chance however large the vocabulary.
+    """
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     for words, label in zip(texts, toxic, strict=True):
         features = {f for w in set(words) for f in word_features(w)[:3]}
         seen[int(label)].update(features)
     bad, good = int(toxic.sum()), int(len(toxic) - toxic.sum())
     rate = bad / (bad + good)
+    enough = 2 * np.log(max(len(seen[0].keys() | seen[1].keys()), 2))
     marking = set()
     for name, a in seen[1].items():
         b = seen[0][name]
@@ -139,7 +146,7 @@ def _marking_features(texts: Sequence[list[str]], toxic: np.ndarray) -> set[str]
         if p <= rate:
             continue
         gain = a * np.log(p / rate) + (b * np.log((1 - p) / (1 - rate)) if b else 0.0)
-        if 2 * gain >= _EVIDENCE and p >= 0.9:
+        if 2 * gain >= enough and p >= 0.9:
             marking.add(name)
     return marking
 
