@@ -8,8 +8,8 @@ document's score and name the offending places.
 
 from __future__ import annotations
 
-import functools
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -271,9 +271,15 @@ class _Emissions(dict):
         return value
 
 
-@functools.lru_cache(maxsize=1)
-def _emissions(key: str) -> list:
-    return []
+# Word scores of the model that a worker used last.
+_KNOWN: dict[str, _Emissions] = {}
+
+
+def _emissions(name: str, model: ToxicField) -> _Emissions:
+    if name not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[name] = _Emissions(model)
+    return _KNOWN[name]
 
 
 def score_documents(
@@ -286,14 +292,10 @@ def score_documents(
     have equal scores; no rows give no rows.
     """
     columns = [*keep, "text"]
-    # One table of word scores per worker and model.
-    key = f"{hash(tuple(sorted(model.weights.items())))}:{model.bias}"
+    name = uuid.uuid4().hex
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = _emissions(key)
-        if not held:
-            held.append(_Emissions(model))
-        known = held[0]
+        known = _emissions(name, model)
         for batch in batches:
             for part in in_parts(batch):
                 if len(known) > _REMEMBERED:
