@@ -26,10 +26,12 @@ LENGTH = 200
 GRAM = 64
 # Bytes of a shard, and strings of a text that it takes at most. The bytes that a suffix
 # array is made of, a string's length more for each stretch of runs, fit its positions.
-LARGEST = 700_000
-_PART = 500_000
+LARGEST = 500_000
+_PART = 400_000
 _ROWS = 5_000  # rows that a worker gathers before it hands them on
-CROWD = 4096  # runs of one anchor from which their strings are dealt one by one
+# Runs of one anchor that a task merges at most (about a million strings, 100 MB); the
+# strings of more are dealt one by one.
+CROWD = 16_384
 
 _MARK = "kind int, key long, context long, shard long, b0 long, b1 long, start int, size int"
 _RUN = "b0 long, b1 long, start int, size int"

@@ -41,7 +41,7 @@ def test_query_against_all_strings(spark):
     assert {r.doc_id: tuple(r[c] for c in COLUMNS) for r in got} == want
 
 
-@pytest.mark.parametrize("crowd", [4096, 2])
+@pytest.mark.parametrize("crowd", [16_384, 2])
 def test_strings_shared_between_many_small_shards(spark, monkeypatch, crowd):
     """Passages, near copies and overlaps across shards of about a text each."""
     monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
