@@ -65,7 +65,8 @@ HARD = [
     "4785380592391139$$$ 152.143.123.131### x+1-234-567-890@a.bc",
     "a" * 20_000 + " " + "1" * 20_000 + " " + "a." * 9_000 + " b@" + "c." * 9_000 + "d",
     "+1" + "(" * 5_000 + "23456789",
-    "", "no", "\n".join(["x@y.zz"] * 200),
+    "", "no", "\n".join(["x@y.zz"] * 200), "1 2-3 4567 8901  1 " + "4242-4242 4242-4242 4242 4242 4242",
+    "424242424242424242 42 4242-4242-4242-4242 -4242424242424242- 1-2-3-4-5-6-7-8-9-0-1-2",
 ]
 
 
