@@ -1,7 +1,7 @@
 """Personal data: patterns, and terms that give protected values away.
 
-Base kinds are found by pattern. A term that mostly occurs in lines with one
-protected value tells as much as the value itself: by corpus counts of lines its
+Base kinds are found by pattern. A term that mostly occurs in or beside lines with
+one protected value tells as much as the value itself: by corpus counts of lines its
 pointwise mutual information comes close to the value's information content. Such
 terms are removed or generalised where the value is protected. Everything is a
 DataFrame expression.
@@ -31,9 +31,11 @@ HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 KINDS = [*PATTERNS, "term"]
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 
+IN_TERM, NO_TERM = r"[\p{L}\p{M}\p{N}]", r"[^\p{L}\p{M}\p{N}]+"
 _SPANS = "array<struct<start:int,end:int,value:string>>"
-TERM_LETTERS = 4
-SUPPORT = 3  # distinct lines that a value shares with a term at least
+# Distinct lines that a value shares with a term from which counts speak for themselves;
+# counts of fewer are smoothed.
+SUPPORT = 3
 DISCLOSURE = 0.9  # share of a value's information that a term may not reach
 REMOVAL = 0.99  # from here on it is removed, below it is generalised
 
@@ -149,79 +151,118 @@ def _entities(spans: Column) -> Column:
 
 
 def _terms(line: Column) -> Column:
-    """Distinct words of letters of a line, in lower case."""
-    return F.array_distinct(
-        F.filter(F.split(F.lower(line), r"[^\p{L}]+"), lambda w: F.length(w) >= TERM_LETTERS)
-    )
+    """Distinct runs of letters and digits of a line, in lower case."""
+    return F.array_distinct(F.filter(F.split(F.lower(line), NO_TERM), lambda w: w != ""))
 
 
 def _without_values(line: Column) -> Column:
     return reduce(lambda t, p: F.regexp_replace(t, p, " "), PATTERNS.values(), line)
 
 
+def _share(both: Column, n_term: Column, n_value: Column, n_lines: Column) -> Column:
+    """Share of a value's information that a term has, by counts of lines."""
+    return F.log(both * n_lines / (n_term * n_value)) / F.log(n_lines / n_value)
+
+
+def _value_lines(found: DataFrame) -> DataFrame:
+    """(line_hash, entities, near, terms) of the lines in or beside which a value is."""
+
+    def around(values: Column) -> Column:
+        beside = lambda i: F.coalesce(F.get(values, i), F.array().cast("array<string>"))
+        return F.transform(
+            values,
+            lambda own, i: F.struct(
+                own.alias("entities"),
+                F.array_distinct(F.concat(own, beside(i - 1), beside(i + 1))).alias("near"),
+            ),
+        )
+
+    lines = F.split("text", "\n")
+    values = F.transform(lines, lambda line: _entities(base_spans(line)))
+    return (
+        found.select(F.explode(F.arrays_zip(lines.alias("line"), let(values, around).alias("v"))).alias("l"))
+        .select("l.line", "l.v.entities", "l.v.near")
+        .filter(F.size("near") > 0)
+        .select(
+            F.xxhash64("line").alias("line_hash"),
+            "entities",
+            "near",
+            _terms(_without_values(F.col("line"))).alias("terms"),
+        )
+    )
+
+
 def disclosing_terms(
     docs: DataFrame,
     found: DataFrame,
     support: int = SUPPORT,
     disclosure: float = DISCLOSURE,
 ) -> DataFrame:
-    """(entity, term, share): terms that reach ``disclosure`` of a value's information.
+    """(entity, term, share, sure): terms that reach ``disclosure`` of a value's information.
 
     ``docs`` are all documents, ``found`` the texts with protected values.
-    Lines are the contexts. With N lines, a value in n(a), a term in n(t) and both in
-    n(t,a), the share is log(n(t,a) N / n(t) n(a)) / log(N / n(a)): 1 if the term occurs
-    with this value only. Values and terms that share fewer than ``support`` different
-    lines say nothing about the corpus and are left alone. n(t) also counts lines in
-    which a value itself has the word, so a common part of values is not disclosing.
+    A term's contexts are its lines; the value is in the line, or else in the line or
+    one beside it, whichever tells more. With N lines, n(a) with the value so placed,
+    a term in n(t) and both in n(t,a), the share is
+    log(n(t,a) N / n(t) n(a)) / log(N / n(a)): 1 if the term occurs with this value only.
+
+    ``sure`` is the share that decides. Fewer than ``support`` different lines may be
+    chance, so there n(t,a) / n(t) is smoothed by one more line with the term, in which
+    the value is as likely as anywhere. What that takes off shrinks with the value's
+    share of the corpus. n(t) also counts lines in which a value itself has the word,
+    so a common part of values is not disclosing.
     """
-    lines = (
-        found.select(F.explode(F.split("text", "\n")).alias("line"))
-        .withColumn("entities", _entities(base_spans(F.col("line"))))
-        .filter(F.size("entities") > 0)
-        .select(
-            F.xxhash64("line").alias("line_hash"),
-            "entities",
-            _terms(_without_values(F.col("line"))).alias("terms"),
-        )
-    )
-    held = stored(lines, "pii-lines")
+    held = stored(_value_lines(found), "pii-lines")
+    near = F.explode("near").alias("entity")
+    own = F.array_contains("entities", F.col("entity")).cast("long")
     by_entity = (
-        held.select(F.explode("entities").alias("entity"), "line_hash")
-        .groupBy("entity", "line_hash")
-        .agg(F.count(F.lit(1)).alias("n"))
+        held.select(near, "entities")
+        .select("entity", own.alias("own"))
         .groupBy("entity")
-        .agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("lines"))
-        .filter(F.col("lines") >= support)
-        .select("entity", "n_entity")
+        .agg(F.sum("own").alias("n_own"), F.count(F.lit(1)).alias("n_near"))
     )
     pairs = (
-        held.select(F.explode("entities").alias("entity"), "line_hash", "terms")
-        .join(by_entity, "entity")
-        .select("entity", "n_entity", "line_hash", F.explode("terms").alias("term"))
-        .groupBy("entity", "n_entity", "term", "line_hash")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("entity", "n_entity", "term")
-        .agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("lines"))
-        .filter(F.col("lines") >= support)
+        held.select(near, "entities", "line_hash", "terms")
+        .select("entity", own.alias("own"), "line_hash", F.explode("terms").alias("term"))
+        .groupBy("entity", "term", "line_hash")
+        .agg(F.sum("own").alias("own"), F.count(F.lit(1)).alias("near"))
+        .groupBy("entity", "term")
+        .agg(
+            F.sum("own").alias("own_both"),
+            F.sum("near").alias("near_both"),
+            F.count(F.when(F.col("own") > 0, 1)).alias("own_lines"),
+            F.count(F.lit(1)).alias("near_lines"),
+        )
     )
     candidates = stored(pairs, "pii-pairs")
     every_line = docs.select(F.explode(F.split(whole_text("text"), "\n")).alias("line"))
+    # Counted before the join, so that a word moves once per task and not once per line.
     n_terms = (
         every_line.select(F.explode(_terms(F.col("line"))).alias("term"))
-        .join(candidates.select("term").distinct(), "term", "left_semi")
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("n_term"))
+        .join(candidates.select("term").distinct(), "term", "left_semi")
     )
     n_lines = docs.agg(
         F.sum(F.regexp_count(whole_text("text"), F.lit("\n")) + 1).cast("double").alias("n_lines")
     ).scalar()
-    together = F.col("n_both") * F.col("n_lines") / (F.col("n_term") * F.col("n_entity"))
+
+    def shares(at: str) -> list[Column]:
+        both, value, lines = F.col(f"{at}_both"), F.col(f"n_{at}"), F.col("n_lines")
+        plain = _share(both, F.col("n_term"), value, lines)
+        smooth = _share(both + value / lines, F.col("n_term") + 1, value, lines)
+        sure = F.when(F.col(f"{at}_lines") >= support, plain).otherwise(smooth)
+        return [F.when(both > 0, plain), F.when(both > 0, sure)]
+
+    (own_share, own_sure), (near_share, near_sure) = shares("own"), shares("near")
     return (
         candidates.join(n_terms, "term")
+        .join(by_entity, "entity")
         .withColumn("n_lines", n_lines)
-        .withColumn("share", F.log(together) / F.log(F.col("n_lines") / F.col("n_entity")))
-        .filter(F.col("share") >= disclosure)
-        .select("entity", "term", "share")
+        .withColumn("share", F.greatest(own_share, near_share))
+        .withColumn("sure", F.greatest(own_sure, near_sure))
+        .filter(F.col("sure") >= disclosure)
+        .select("entity", "term", "share", "sure")
     )
 
 
@@ -254,13 +295,15 @@ def find_private(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
         .distinct()
         .join(risky, "entity")
         .groupBy("blob", "term")
-        .agg(F.max("share").alias("share"))
+        .agg(F.max("sure").alias("sure"))
         .groupBy("blob")
-        .agg(F.collect_list(F.struct("term", "share")).alias("told"))
+        .agg(F.collect_list(F.struct("term", "sure")).alias("told"))
     )
     words = F.transform("told", lambda t: t["term"])
     pattern = F.concat(
-        F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.array_sort(words), "|"), F.lit(r")(?!\p{L})")
+        F.lit(rf"(?iu)(?<!{IN_TERM})(?:"),
+        F.array_join(F.array_sort(words), "|"),
+        F.lit(rf")(?!{IN_TERM})"),
     )
     shares = F.map_from_entries("told")
     terms = (

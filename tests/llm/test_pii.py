@@ -128,3 +128,22 @@ def test_odd_rows(spark):
     changed = [r for r in clean.collect() if r.doc_id == 8][0]
     assert changed.text == "mail [EMAIL] now [PHONE] \U0001f600 [IP]"
     assert changed.n_chars == len(changed.text)
+
+
+def rare_corpus():
+    """Names that come with a value in one or two lines of many, short or with digits."""
+    docs = [f"common words about the matter of day number {i % 50}" for i in range(6_000)]
+    docs += ["common words about Ann of ann@once.example", "the matter\nof 李明\nli@once.example\nwords"]
+    docs += ["common agent K9x and jo@twice.example", "the agent K9x has jo@twice.example"]
+    return docs
+
+
+def test_rare_values_have_terms_in_and_beside_their_lines(spark):
+    texts = rare_corpus()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r.spans for r in pii.find_private(docs).collect()}
+    terms = [{s.value for s in rows[i] if s.kind == "term"} for i in range(len(texts))]
+    assert not any(terms[:6_000])
+    assert "Ann" in terms[6_000] and "李明" in terms[6_001]
+    assert "K9x" in terms[6_002] and "K9x" in terms[6_003]
+    assert not set().union(*terms) & {"common", "words", "about", "the", "matter", "of"}
