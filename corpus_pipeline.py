@@ -25,7 +25,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Private spans are replaced in the texts."""
-    return pii.sanitise_documents(docs)
+    return pii.sanitise_documents(docs, everywhere=True)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,6 +36,7 @@ _SPANS = "array<struct<start:int,end:int,value:string>>"
 # Distinct lines that a value shares with a term from which counts speak for themselves;
 # counts of fewer are smoothed.
 SUPPORT = 3
+FILTER_WORDS = 65_536  # of 64 bits, in the filter of words before they are joined with terms
 DISCLOSURE = 0.9  # share of a value's information that a term may not reach
 REMOVAL = 0.99  # from here on it is removed, below it is generalised
 
@@ -198,7 +199,8 @@ def disclosing_terms(
     support: int = SUPPORT,
     disclosure: float = DISCLOSURE,
 ) -> DataFrame:
-    """(entity, term, share, sure): terms that reach ``disclosure`` of a value's information.
+    """(entity, term, share, sure, spread): terms that reach ``disclosure`` of a value's
+    information. ``spread`` ones are in lines, too, that are not in or beside the value's.
 
     ``docs`` are all documents, ``found`` the texts with protected values.
     A term's contexts are its lines; the value is in the line, or else in the line or
@@ -262,14 +264,41 @@ def disclosing_terms(
         .withColumn("share", F.greatest(own_share, near_share))
         .withColumn("sure", F.greatest(own_sure, near_sure))
         .filter(F.col("sure") >= disclosure)
-        .select("entity", "term", "share", "sure")
+        .select(
+            "entity", "term", "share", "sure", (F.col("n_term") > F.col("near_both")).alias("spread")
+        )
+    )
+
+
+def _may_hold(terms: DataFrame, term: Column) -> Column:
+    """A test that all of ``terms`` pass and few other words: their bits in one array.
+
+    Its size is fixed; more terms only let more words pass.
+    """
+    spark = terms.sparkSession
+    at = lambda word: F.pmod(F.xxhash64(word), F.lit(64 * FILTER_WORDS))
+    own = terms.select(at(F.col("term")).alias("at")).selectExpr(
+        "at div 64 AS word", "shiftleft(1L, int(at % 64)) AS bits"
+    )
+    none = spark.range(FILTER_WORDS).selectExpr("id AS word", "0L AS bits")
+    bits = (
+        own.unionByName(none)
+        .groupBy("word")
+        .agg(F.bit_or("bits").alias("bits"))
+        .agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("all"))
+        .select(F.transform("all", lambda x: x["bits"]))
+        .scalar()
     )
+    word = F.floor(at(term) / 64).cast("int")
+    return F.getbit(F.get(bits, word), F.pmod(at(term), F.lit(64)).cast("int")) == 1
 
 
-def find_private(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def find_private(
+    docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), everywhere: bool = False
+) -> DataFrame:
     """Columns ``keep`` of every document, its ``blob`` digest, and ``spans``: structs
     (start, nth, end, kind, value, gone), base kinds and disclosing terms, by start and
-    then kind.
+    then kind. Terms are marked in texts that hold their value, or ``everywhere``.
 
     Null texts are empty and have no spans; equal texts have equal spans; repeated
     rows give a row each, and no rows none.
@@ -290,11 +319,28 @@ def find_private(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
         disclosing_terms(docs, found.select(F.col("_text").alias("text"))),
         "pii-risky",
     )
-    told = (
+    pairs = (
         found.select("blob", F.explode(_entities(F.col("base"))).alias("entity"))
         .distinct()
         .join(risky, "entity")
-        .groupBy("blob", "term")
+        .select("blob", "term", "sure")
+    )
+    texts = found.select("blob", "_text")
+    if everywhere:
+        # Terms that are not spread have no line in other texts.
+        spread = stored(
+            risky.filter("spread").groupBy("term").agg(F.max("sure").alias("sure")), "pii-spread"
+        )
+        texts = docs.select(F.sha2(text, 256).alias("blob"), text.alias("_text"))
+        others = texts.select("blob", F.explode(_terms(F.col("_text"))).alias("term")).filter(
+            _may_hold(spread, F.col("term"))
+        )
+        pairs = stored(
+            pairs.unionByName(others.join(spread, "term").select("blob", "term", "sure")),
+            "pii-told",
+        )
+    told = (
+        pairs.groupBy("blob", "term")
         .agg(F.max("sure").alias("sure"))
         .groupBy("blob")
         .agg(F.collect_list(F.struct("term", "sure")).alias("told"))
@@ -307,8 +353,7 @@ def find_private(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
     )
     shares = F.map_from_entries("told")
     terms = (
-        found.select("blob", "_text")
-        .join(told, "blob")
+        texts.join(told, "blob")
         .dropDuplicates(["blob"])
         .select(
             F.col("blob").alias("_blob"),
@@ -362,14 +407,15 @@ def sanitised(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, zero, step, finish)
 
 
-def sanitise_documents(docs: DataFrame) -> DataFrame:
+def sanitise_documents(docs: DataFrame, everywhere: bool = False) -> DataFrame:
     """The documents, with the columns they have, with private spans replaced in text.
+    Disclosing terms go from texts that hold their value, or ``everywhere``.
 
     Texts without spans, null ones included, stay as they are.
     """
     keyed = docs.withColumn(ROW_KEY, row_key(docs))
     private = (
-        find_private(keyed, keep=(ROW_KEY,))
+        find_private(keyed, keep=(ROW_KEY,), everywhere=everywhere)
         .filter(F.size("spans") > 0)
         .select(ROW_KEY, F.col("spans").alias("_spans"))
         .dropDuplicates([ROW_KEY])

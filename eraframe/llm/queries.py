@@ -126,7 +126,7 @@ def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find_private(read_table(spark, sf_dir, "documents"))
+    found = pii.find_private(read_table(spark, sf_dir, "documents"), everywhere=True)
     return found.select("doc_id", *span_columns(F.col("spans"), list(pii.PATTERNS)))
 
 

@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from eraframe.llm import pii, queries
 from tests.conftest import SMALL
 from tests.llm.cases import no_documents, odd_documents, odd_rows, small_documents
@@ -147,3 +148,18 @@ def test_rare_values_have_terms_in_and_beside_their_lines(spark):
     assert "Ann" in terms[6_000] and "李明" in terms[6_001]
     assert "K9x" in terms[6_002] and "K9x" in terms[6_003]
     assert not set().union(*terms) & {"common", "words", "about", "the", "matter", "of"}
+
+
+def test_queries_mark_disclosing_terms_in_all_texts(spark, tmp_path):
+    texts = disclosing_corpus()
+    texts[10] = "THORNFIELD, not Thornfields: " + texts[10]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r.spans for r in pii.find_private(docs, everywhere=True).collect()}
+    assert [s.value for s in rows[66]] == ["Thornfield"]
+    assert [s.value for s in rows[10]] == ["THORNFIELD"]
+    assert all(not rows[i] for i in range(6, 66) if i != 10)
+    got = {r.doc_id: r.spans for r in queries.queries()["op10_pii"](spark, str(tmp_path)).collect()}
+    assert got[66] == "term:13:23"
+    clean = corpus_pipeline.private_data(spark, docs, str(tmp_path))
+    assert not any(re.search(r"(?i)\bthornfield\b", r.text) for r in clean.collect())
