@@ -30,9 +30,12 @@ SPREAD = {
 }
 SHARE = 0.75  # of a group that an estimate rests on
 STEPS = 4
+# Variances of the nearest share of normal vectors are too small by this factor: the share
+# over the chi-squared probability, with two statistics more, of the share's quantile.
+CONSISTENCY = 1.486
 # Squared distance beyond which a vector is rejected: the chi-squared quantile for
-# four statistics at a tail of 3e-7.
-CUT = 36.0
+# four statistics at a tail of 1e-5.
+CUT = 28.473
 _BIN = 32  # steps per doubling of the squared distance in the h-subset search
 
 
@@ -144,24 +147,24 @@ NAMES = tuple(SPREAD)
 _PAIRS = [(a, b) for i, a in enumerate(NAMES) for b in NAMES[i:]]
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """Per group the mean and the lower triangle of the spread, with the least spread
-    added to its diagonal, and that triangle's Cholesky factor inverted by rows."""
+def _moments(rows: DataFrame, final: bool = False) -> DataFrame:
+    """Per group the mean and the Cholesky factor of the spread. The search adds the least
+    spread to its diagonal; the ``final`` one is made consistent and has it as a minimum."""
     sums = [F.sum(x).alias(f"s_{x}") for x in NAMES]
     products = [F.sum(F.col(a) * F.col(b)).alias(f"s_{a}_{b}") for a, b in _PAIRS]
     grouped = rows.groupBy("lang", "source").agg(
         F.count(F.lit(1)).alias("n"), *sums, *products
     )
     means = grouped.withColumns({f"m_{x}": F.round(F.col(f"s_{x}") / F.col("n"), 9) for x in NAMES})
-    spread = means.withColumns(
-        {
-            f"v_{a}_{b}": F.round(
-                F.col(f"s_{a}_{b}") / F.col("n") - F.col(f"m_{a}") * F.col(f"m_{b}"), 9
-            )
-            + F.lit(SPREAD[a] ** 2 if a == b else 0.0)
-            for a, b in _PAIRS
-        }
-    )
+
+    def value(a: str, b: str) -> Column:
+        plain = F.round(F.col(f"s_{a}_{b}") / F.col("n") - F.col(f"m_{a}") * F.col(f"m_{b}"), 9)
+        least = F.lit(SPREAD[a] ** 2 if a == b else 0.0)
+        if not final:
+            return plain + least
+        return F.greatest(plain * CONSISTENCY, least) if a == b else plain * CONSISTENCY
+
+    spread = means.withColumns({f"v_{a}_{b}": value(a, b) for a, b in _PAIRS})
     return _factored(spread).select(
         "lang",
         "source",
@@ -277,6 +280,12 @@ def robust_moments(rows: DataFrame, share: float = SHARE, steps: int = STEPS) ->
     return moments
 
 
+def final_moments(rows: DataFrame, share: float = SHARE) -> DataFrame:
+    """The moments that rows are judged by, of the share nearest by the robust ones."""
+    nearest = _nearest(_distance(rows, robust_moments(rows, share)), share)
+    return stored(_moments(nearest, final=True), "quality-moments-final")
+
+
 def judge_quality(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed, kept and distance (squared) of every document.
 
@@ -288,7 +297,7 @@ def judge_quality(docs: DataFrame) -> DataFrame:
     """
     counted = stored(text_statistics(docs), "quality-counts")
     rows = counted.filter(~F.col("base_failed")).withColumns(_vector())
-    moments = robust_moments(rows.select(*NAMES, "lang", "source"))
+    moments = final_moments(rows.select(*NAMES, "lang", "source"))
     judged = _distance(rows, moments).select(*counted.columns, F.col("d2").alias("distance"))
     failed = counted.filter("base_failed").withColumn("distance", F.lit(None).cast("double"))
     kept = ~F.col("base_failed") & (F.col("distance") <= CUT)

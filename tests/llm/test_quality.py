@@ -88,3 +88,23 @@ def test_a_cluster_of_junk_is_rejected_and_the_rest_stays(spark):
     )
     kept = {r.doc_id for r in quality.judge_quality(docs).filter("kept").collect()}
     assert kept == set(range(60))
+
+
+def test_each_statistic_alone_rejects(spark):
+    rng = np.random.default_rng(7)
+    new = lambda n: [f"word{rng.integers(10**9):09d}" for _ in range(n)]
+    lines = lambda w: "\n".join(" ".join(w[i : i + 20]) for i in range(0, len(w), 20))
+    plain = [lines(new(2_000)) for _ in range(40)]
+    long_words = lines([w * 2 for w in new(2_000)])
+    symbols = lines([w + "#" if i % 3 == 0 else w for i, w in enumerate(new(2_000))])
+    again = lines(new(2_000)) + "\nsame" * 100
+    part = new(490)
+    repeats = " ".join([*part, *new(1_020), *part])
+    texts = [*plain, long_words, symbols, again, repeats]
+    docs = spark.createDataFrame(
+        [(i, t, "en", "s") for i, t in enumerate(texts)],
+        "doc_id long, text string, lang string, source string",
+    )
+    rows = quality.judge_quality(docs).collect()
+    assert not any(r.base_failed for r in rows)
+    assert {r.doc_id for r in rows if r.kept} == set(range(40))
