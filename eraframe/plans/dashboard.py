@@ -51,16 +51,11 @@ def runtime_premium(runtimes: DataFrame) -> DataFrame:
     ).orderBy("release_year")
 
 
-def _ranked_genres(shares: DataFrame) -> DataFrame:
-    """Shares with the ``place`` of their genre by summed share; null is a genre too."""
+def _top_genres(shares: DataFrame, k: int) -> DataFrame:
+    """The ``k`` genres with the largest summed share, in order; null is a genre too."""
     exact = F.col("genre_share_pct").cast("decimal(20,2)")
-    summed = F.sum("share").over(Window.partitionBy("genre"))
-    by_share = Window.orderBy(F.desc("summed"), "genre")
-    return (
-        shares.select("decade", "genre", exact.alias("share"))
-        .withColumn("summed", summed)
-        .withColumn("place", F.dense_rank().over(by_share))
-    )
+    summed = shares.groupBy("genre").agg(F.sum(exact).alias("summed"))
+    return summed.orderBy(F.desc("summed"), "genre").limit(k).select("genre")
 
 
 def top_genres_other(shares: DataFrame, k: int = K.TOP_GENRES) -> DataFrame:
@@ -69,9 +64,12 @@ def top_genres_other(shares: DataFrame, k: int = K.TOP_GENRES) -> DataFrame:
     Long form, one row per decade and label, 0 where a decade lacks the genre. A
     genre that has the name of the rest is counted with it.
     """
-    label = F.when(F.col("place") <= k, F.col("genre")).otherwise(K.OTHER_GENRES)
+    top = _top_genres(shares, k).select(F.col("genre").alias("top"), F.lit(True).alias("is_top"))
+    label = F.when(F.col("is_top"), F.col("genre")).otherwise(K.OTHER_GENRES)
+    exact = F.col("genre_share_pct").cast("decimal(20,2)")
     labelled = (
-        _ranked_genres(shares)
+        shares.select("decade", "genre", exact.alias("share"))
+        .join(top, F.col("genre").eqNullSafe(F.col("top")), "left")
         .groupBy("decade", label.alias("label"))
         .agg(F.sum("share").cast("double").alias("share_pct"))
     )
@@ -102,8 +100,7 @@ def decade_genre_matrix(shares: DataFrame, k: int = K.TOP_GENRES) -> DataFrame:
 
     Column names come from the data, so the ``k`` top names are looked up first.
     """
-    top = _ranked_genres(shares).filter(F.col("place") <= k).select("genre", "place").distinct()
-    named = [row["genre"] for row in top.orderBy("place").collect()]
+    named = [row["genre"] for row in _top_genres(shares, k).collect()]
     columns = dict.fromkeys([*("null" if n is None else n for n in named), K.OTHER_GENRES])
     return (
         top_genres_other(shares, k)

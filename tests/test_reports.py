@@ -239,3 +239,15 @@ def test_executive_kpis_of_nothing(star):
 def test_catalog(spark):
     rows = describe_reports(spark).collect()
     assert len(rows) == 22 and all(r["description"] for r in rows)
+
+
+def test_top_genres_are_cut_without_a_window_over_all_rows(spark):
+    shares = spark.createDataFrame(
+        [(1980, "A", 5.0), (1980, None, 9.0), (1990, "B", 7.0)],
+        "decade int, genre string, genre_share_pct double",
+    )
+    top = dashboard.top_genres_other(shares, 2)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "dense_rank" not in plan and "TakeOrderedAndProject" in plan
+    got = {(r["decade"], r["label"]): r["share_pct"] for r in top.collect()}
+    assert got[1980, None] == 9.0 and got[1990, "B"] == 7.0 and got[1980, "Other"] == 5.0
