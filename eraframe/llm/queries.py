@@ -11,13 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    alignment,
     fingerprints,
+    merkle,
     mixing,
     near_dedup,
     packing,
+    phrase_index,
     pii,
     quality,
     secrets,
+    sql,
     suffix_dedup,
     toxicity,
     url_filter,
@@ -27,6 +31,8 @@ from .common import read_table
 Query = Callable[[SparkSession, str], DataFrame]
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
+PIECE_TOKENIZER = "piece_bpe_32k.model"
 # Host, path and verdict of the rules that pages are judged by.
 URL_RULES = [
     ("com", "/", "allow"),
@@ -130,6 +136,30 @@ def pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *span_columns(F.col("spans"), list(pii.PATTERNS)))
 
 
+def leak_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (read_table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return phrase_index.contamination(docs, items).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def manifest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_manifest(read_table(spark, sf_dir, "documents"))
+
+
+def alignment_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.compare_tokens(
+        read_table(spark, sf_dir, "documents"),
+        public_tokenizers.path(BYTE_TOKENIZER),
+        public_tokenizers.path(PIECE_TOKENIZER),
+    )
+
+
 URL_SQL = """
 WITH rest AS (
   SELECT page_id,
@@ -179,6 +209,9 @@ def queries() -> dict[str, Query]:
         "op8_source_mixing": mixing_query,
         "op9_toxicity": toxicity_query,
         "op10_pii": pii_query,
+        "op11_benchmark_decontamination": leak_query,
+        "op12_merkle_manifest": manifest_query,
+        "op13_token_alignment": alignment_query,
         "pipeline": corpus_pipeline.run,
     }
     return {name: _importable(query) for name, query in registered.items()}
@@ -186,5 +219,10 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express."""
-    known = {"op6_url_filters": URL_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    known = {
+        "op6_url_filters": URL_SQL,
+        "op11_benchmark_decontamination": sql.LEAKS,
+        "op12_merkle_manifest": sql.MANIFEST,
+        "pipeline": corpus_pipeline.ORACLE_SQL,
+    }
     return {name: sql for name, sql in known.items() if sql}
