@@ -13,17 +13,17 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eraframe import run_report
+from eraframe import run_report, schemas
 from eraframe.constants import INDICATOR_CODES
 from eraframe.functions import classify
 from eraframe.functions.rounding import round_half_up
 from eraframe.functions.text import format_currency, mentions_genre, primary_genre
 from eraframe.operators import quality
 from eraframe.operators.era import calendar
-from eraframe.plans import checks, clean, dashboard, load, macro, reports, stage
+from eraframe.plans import checks, clean, dashboard, load, macro, reload, reports, stage
 from eraframe.plans.catalog import REPORTS, applies_era
 from eraframe.schemas import TITLE_BASICS, TITLE_RATINGS
-from eraframe.sources import readers, sinks, testdata
+from eraframe.sources import commits, readers, sinks, testdata
 from eraframe.sources.star import Star, read_star, write_star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -242,17 +242,49 @@ def _dim_movies_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An earlier load, then the full one adding what is new."""
     staged = _stored_stage(spark, sf_dir)
     path = sinks.scratch_path(spark, "dim-movies")
-    sinks.append_new(_known_films(staged), path, "movie_id")
-    sinks.append_new(load.dim_movies(staged), path, "movie_id")
-    return spark.read.schema(load.dim_movies(staged).schema).parquet(path)
+    commits.append_absent(_known_films(staged), path, "dim_movies", "movie_id")
+    commits.append_absent(load.dim_movies(staged), path, "dim_movies", "movie_id")
+    return commits.read_rows(spark, path, "dim_movies", load.dim_movies(staged).schema)
 
 
 def _grown(spark: SparkSession, earlier: DataFrame, later: DataFrame, key: str) -> DataFrame:
     """A dimension after an earlier and a later load."""
     path = sinks.scratch_path(spark, f"dim-{key}")
-    sinks.append_new(earlier, path, key)
-    sinks.append_new(later, path, key)
-    return spark.read.schema(later.schema).parquet(path)
+    commits.append_absent(earlier, path, "dimension", key)
+    commits.append_absent(later, path, "dimension", key)
+    return commits.read_rows(spark, path, "dimension", later.schema)
+
+
+def _dim_movies_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Films under generated keys: releases before 1998 first, then all."""
+    staged = _stored_stage(spark, sf_dir)
+    path = sinks.scratch_path(spark, "keyed-films")
+    load.append_movies(spark, path, staged.filter("year < 1998"))
+    load.append_movies(spark, path, staged)
+    return commits.read_rows(spark, path, "dim_movies", schemas.DIM_MOVIES)
+
+
+def _fact_box_office_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact of a star that was loaded in two increments, with generated film keys."""
+    staged = _stored_stage(spark, sf_dir)
+    path = sinks.scratch_path(spark, "keyed-star")
+    load.load_increment(spark, path, staged.filter("year < 1998"), _macro(spark, sf_dir))
+    load.load_increment(spark, path, staged, _macro(spark, sf_dir))
+    return read_star(spark, path).fact
+
+
+def _fact_reload_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A star reloaded: even years had other votes, 1999 was missing, 1900 is gone."""
+    star = testdata.star(spark, sf_dir)
+    fact = sinks.hand_off(star.fact, "fact")
+    even = F.col("date_key") % 2 == 0
+    votes = F.when(even, F.col("vote_count") + 1).otherwise(F.col("vote_count"))
+    before = fact.filter("date_key <> 1999").withColumn("vote_count", votes)
+    gone = fact.filter("date_key = 1997").withColumn("date_key", F.lit(1900))
+    path = sinks.scratch_path(spark, "reloaded-star")
+    first = reload.reload_star(spark, path, replace(star, fact=before.unionByName(gone)))
+    reload.reload_star(spark, path, replace(star, fact=fact))
+    return reload.fact_origin(spark, path, first.version)
 
 
 def _dim_date_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -375,6 +407,9 @@ def queries() -> dict[str, Query]:
         ),
         "dim_geopolitical_events": lambda spark, sf_dir: load.dim_events(_macro(spark, sf_dir)),
         "dim_movies_incremental": _dim_movies_incremental,
+        "dim_movies_keyed": _dim_movies_keyed,
+        "fact_box_office_keyed": _fact_box_office_keyed,
+        "fact_reload_changed": _fact_reload_changed,
         "dim_date_incremental": _dim_date_incremental,
         "dim_macroeconomics_incremental": _dim_macro_incremental,
         "dim_events_incremental": _dim_events_incremental,

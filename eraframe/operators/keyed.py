@@ -17,5 +17,6 @@ def keep_first(df: DataFrame, key: str, *order: str | Column) -> DataFrame:
 
 
 def only_new(df: DataFrame, existing: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is not in ``existing`` yet."""
-    return df.join(existing.select(key), key, "left_anti")
+    """Rows whose key is not in ``existing`` yet; a null is a key like any other."""
+    known = existing.select(F.col(key).alias("known_key"))
+    return df.join(known, df[key].eqNullSafe(known["known_key"]), "left_anti")

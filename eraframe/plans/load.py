@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eraframe import constants as K
+from eraframe import schemas
 from eraframe.functions.classify import decade_label
 from eraframe.functions.rounding import round_half_even
-from eraframe.operators.keyed import keep_first
-from eraframe.sources.star import Star
+from eraframe.operators.keyed import keep_first, only_new
+from eraframe.operators.numbering import numbered
+from eraframe.plans.reload import Reload, reload_star
+from eraframe.sources import commits, sinks
+from eraframe.sources.star import TABLES, Star
 
 
 def loadable(staged: DataFrame) -> DataFrame:
@@ -130,3 +134,47 @@ def load_star(staged: DataFrame, macro: DataFrame) -> Star:
         macro=dim_macroeconomics(macro),
         events=dim_events(macro),
     )
+
+
+_MOVIES = TABLES["movies"][0]
+
+
+def append_movies(spark: SparkSession, path: str, staged: DataFrame) -> commits.Version:
+    """Adds the films that a stored dimension lacks, under generated keys.
+
+    Keys go on without gaps after the greatest stored one, in the order of the film ids; a
+    film that is there keeps its key and its row. An unknown id is one film. A load that comes
+    second looks again at what the first has added, so no key is given twice.
+    """
+    films = dim_movies(staged).drop("movie_key")
+
+    def make(base: commits.Version) -> commits.Change | None:
+        there = commits.read_rows(spark, path, _MOVIES, schemas.DIM_MOVIES, base)
+        greatest = there.agg(F.coalesce(F.max("movie_key"), F.lit(0)))
+        new = only_new(films, there, "movie_id")
+        keyed = numbered(new, ["movie_id"], "movie_key", after=greatest)
+        load = commits.write_rows(keyed.select(*schemas.DIM_MOVIES.fieldNames()), path, _MOVIES)
+        notes = {"added": str(load.rows)}
+        return ({_MOVIES: [*base.folders(_MOVIES), *load.folders]}, notes) if load.rows else None
+
+    return commits.retried(spark, path, make)
+
+
+def load_increment(
+    spark: SparkSession, path: str, staged: DataFrame, macro: DataFrame
+) -> Reload:
+    """Brings a stored star with generated film keys to the state of the staged films.
+
+    New films are added first, then the fact looks up its keys and the years that changed are
+    written again. Hand in a stored ``staged``: it is read several times.
+    """
+    append_movies(spark, path, staged)
+    movies = commits.read_rows(spark, path, _MOVIES, schemas.DIM_MOVIES)
+    star = load_star(staged, macro)
+    fact = sinks.hand_off(fact_box_office(staged, movies), "fact")
+    return reload_star(
+        spark,
+        path,
+        Star(fact, movies, star.dates, star.macro, star.events),
+        untouched=("movies",),
+    )

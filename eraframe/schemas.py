@@ -79,3 +79,6 @@ FACT_BOX_OFFICE = _schema(
     ("vote_count", _INT),
     ("popularity", _REAL),
 )
+FACT_DIGESTS = _schema(
+    ("date_key", _INT), ("row_count", _LONG), ("digest_1", _TEXT), ("digest_2", _TEXT)
+)

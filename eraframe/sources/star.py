@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from eraframe import schemas
+from eraframe.sources import commits
 
 
 @dataclass(frozen=True)
@@ -26,7 +26,7 @@ class Star:
     events: DataFrame
 
 
-_TABLES = {
+TABLES = {
     "fact": ("fact_box_office", schemas.FACT_BOX_OFFICE),
     "movies": ("dim_movies", schemas.DIM_MOVIES),
     "dates": ("dim_date", schemas.DIM_DATE),
@@ -35,37 +35,33 @@ _TABLES = {
 }
 
 
-_CURRENT = "current"
-
-
-def read_star(spark: SparkSession, path: str) -> Star:
-    """Open the last star schema that was stored completely."""
-    version = spark.read.schema("version string").text(f"{path}/{_CURRENT}").first()[0]
+def read_star(spark: SparkSession, path: str, version: commits.Version | None = None) -> Star:
+    """Open a published version of a stored star, the last one by default."""
+    version = version or commits.latest(spark, path)
+    if not version.number:
+        raise FileNotFoundError(f"no star in {path}")
     tables = {
-        field: spark.read.schema(schema).parquet(f"{path}/{version}/{table}")
-        for field, (table, schema) in _TABLES.items()
+        field: commits.read_rows(spark, path, table, schema, version)
+        for field, (table, schema) in TABLES.items()
     }
     return Star(**tables)
 
 
-def write_star(star: Star, path: str) -> None:
+def write_star(star: Star, path: str) -> commits.Version:
     """Store a star schema as Parquet, replacing what is there.
 
-    All tables go to a new folder, and the pointer to it is written last, so a reader
-    never meets a new fact beside old dimensions. The fact is partitioned by year.
+    All tables become visible by one commit, so a reader never meets a new fact beside
+    old dimensions, and a load that fails changes nothing. The fact is partitioned by year.
     ``rebalance`` lets the engine split a year that holds much of the data and merge
     the small ones into one file.
     """
-    version = f"v-{uuid.uuid4().hex}"
-    for field, (table, _) in _TABLES.items():
+    frames: dict[str, tuple[DataFrame, str | None]] = {}
+    for field, (table, _) in TABLES.items():
         frame: DataFrame = getattr(star, field)
-        target = f"{path}/{version}/{table}"
         if field == "fact":
-            frame = frame.hint("rebalance", "date_key")
-            frame.write.partitionBy("date_key").parquet(target)
+            frames[table] = (frame.hint("rebalance", "date_key"), "date_key")
         elif field == "movies":
-            frame.write.parquet(target)
+            frames[table] = (frame, None)
         else:
-            frame.coalesce(1).write.parquet(target)
-    pointer = star.fact.sparkSession.createDataFrame([(version,)], "version string")
-    pointer.coalesce(1).write.mode("overwrite").text(f"{path}/{_CURRENT}")
+            frames[table] = (frame.coalesce(1), None)
+    return commits.replace_tables(star.fact.sparkSession, path, frames)

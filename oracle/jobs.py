@@ -119,6 +119,18 @@ dim_movies AS (
   FROM loaded
 )"""
 
+# Films under generated keys after a load of the releases before 1998 and one of all.
+KEYED = f"""{LOADED}, early AS (
+  SELECT id AS movie_id, title, genres AS genre, runtime, coalesce(overview, '') AS overview
+  FROM loaded WHERE year < 1998 QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1
+), both_loads AS (
+  SELECT 1 AS load_no, * FROM early UNION ALL
+  SELECT 2, * EXCLUDE (movie_key) FROM dim_movies WHERE movie_id NOT IN (SELECT movie_id FROM early)
+), keyed AS (
+  SELECT row_number() OVER (ORDER BY load_no, movie_id) AS movie_key, * EXCLUDE (load_no)
+  FROM both_loads
+)"""
+
 EVENTS = "events(seq, year, event_name, event_type) AS (VALUES {})".format(
     ", ".join(
         f"({seq}, {year}, '{name}', '{kind}')"
@@ -212,6 +224,13 @@ SELECT count(*) FILTER (id IN (FROM known)) AS inserted,
     coalesce(overview, '') AS overview
   FROM loaded WHERE year < 1998 QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1)
 FROM early UNION ALL FROM dim_movies WHERE movie_id NOT IN (SELECT movie_id FROM early)""",
+        "dim_movies_keyed": f"""WITH {KEYED} SELECT * FROM keyed""",
+        "fact_box_office_keyed": f"""WITH {KEYED}
+SELECT b.* REPLACE (k.movie_key AS movie_key)
+FROM box_office b JOIN keyed k ON k.movie_id = b.movie_key""",
+        "fact_reload_changed": f"""{star()}
+SELECT movie_key, date_key, budget, revenue, roi, vote_average, vote_count, popularity,
+  date_key % 2 = 0 OR date_key = 1999 AS reloaded FROM fact""",
         "loaded_star_trends": f"""WITH {LOADED}, {FILLED}, cal AS (
   SELECT year, any_value(gdp_growth) AS gdp, any_value(unemployment_rate) AS unemp,
     bool_or(event_type = 'Economic Crisis') AS crisis FROM enriched GROUP BY year)
