@@ -236,7 +236,9 @@ def group_texts(
     return [texts[k] for k in code.tolist()]
 
 
-def _aligned(number: int, table: pa.Table, both: tuple[_Chunks, _Chunks]) -> pa.RecordBatch:
+def _aligned(
+    number: int, table: pa.Table, both: tuple[_Chunks, _Chunks], lane: int = LANE
+) -> pa.RecordBatch:
     """Rows of a shard: one per document, and one per distinct id pair (without ``n_a``)."""
     texts = [" " + t if t else "" for t in table["text"].to_pylist()]
     found = [chunks.tokens(texts) for chunks in both]
@@ -254,6 +256,7 @@ def _aligned(number: int, table: pa.Table, both: tuple[_Chunks, _Chunks]) -> pa.
         np.cumsum(both[0].lengths[ids_a], dtype=np.int64),
         np.cumsum(both[1].lengths[ids_b], dtype=np.int64),
         stops_a,
+        lane,
     )
     doc_of_a = np.repeat(np.arange(len(texts)), n_a)
     doc_of_link = doc_of_a[link_a]
@@ -313,7 +316,9 @@ _NAMES = [
 ]
 
 
-def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+def align(
+    docs: DataFrame, path_a: str, path_b: str, shard: int = SHARD, lane: int = LANE
+) -> DataFrame:
     """The stored alignment, shard by shard.
 
     Document rows have ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``groups_sha256`` and the linked
@@ -323,8 +328,8 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = tokenizers(path_a, path_b)
-        for number, table in dealt(batches, "text", SHARD):
-            yield _aligned(number, table, both)
+        for number, table in dealt(batches, "text", shard):
+            yield _aligned(number, table, both, lane)
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
     made = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
@@ -370,13 +375,15 @@ def _scored(left: pa.Table, right: pa.Table) -> pa.Table:
     ).append_column("count_sum", summed(often * count[pair]))
 
 
-def compare_tokens(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+def compare_tokens(
+    docs: DataFrame, path_a: str, path_b: str, shard: int = SHARD, lane: int = LANE
+) -> DataFrame:
     """Per document the tokens, groups and links of both tokenizers, with corpus-wide counts.
 
     ``count_sum`` adds up, over the links of the document, how many documents hold the pair
     linked; ``n_best`` are the links whose pair has the highest such count of its A id.
     """
-    aligned = align(docs, path_a, path_b)
+    aligned = align(docs, path_a, path_b, shard, lane)
     kind = aligned.schema["doc_id"].dataType.simpleString()
     counts = stored(pair_counts(aligned), "pair-counts")
     told = (

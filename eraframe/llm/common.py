@@ -19,6 +19,8 @@ BLANK_CHARS = " \t\n\x0b\x0c\r"
 # Name of the column that holds a row's digest inside operators.
 ROW_KEY = "__row_key__"
 
+FILTER_WORDS = 65_536  # of 64 bits, in the filter of words before they are joined with terms
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -62,11 +64,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` written to the shared folder and read back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -126,3 +128,26 @@ def map_carrying(df: DataFrame, carried: Sequence[str], work, made: str) -> Data
     schema = ", ".join([*[f"`{c}` string" for c in carried], made])
     done = as_text.mapInPandas(work, schema)
     return done.withColumns({c: F.col(c).cast(kind) for c, kind in kinds.items()})
+
+
+def may_hold(terms: DataFrame, term: Column) -> Column:
+    """A test that all of ``terms`` pass and few other words: their bits in one array.
+
+    Its size is fixed; more terms only let more words pass.
+    """
+    spark = terms.sparkSession
+    at = lambda word: F.pmod(F.xxhash64(word), F.lit(64 * FILTER_WORDS))
+    own = terms.select(at(F.col("term")).alias("at")).selectExpr(
+        "at div 64 AS word", "shiftleft(1L, int(at % 64)) AS bits"
+    )
+    none = spark.range(FILTER_WORDS).selectExpr("id AS word", "0L AS bits")
+    bits = (
+        own.unionByName(none)
+        .groupBy("word")
+        .agg(F.bit_or("bits").alias("bits"))
+        .agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("all"))
+        .select(F.transform("all", lambda x: x["bits"]))
+        .scalar()
+    )
+    word = F.floor(at(term) / 64).cast("int")
+    return F.getbit(F.get(bits, word), F.pmod(at(term), F.lit(64)).cast("int")) == 1

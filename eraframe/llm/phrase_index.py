@@ -22,17 +22,16 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored, whole_text
+from .common import ascii_lower, may_hold, stored, whole_text
 from .shards import dealt
 
 WINDOW = 10
 # Bytes of texts in a shard, and phrases of a block.
-SHARD = 4_000_000
+SHARD = 8_000_000
 BLOCK = 20_000
 # Parts that the postings of a term are dealt to in joins.
 SALTS = 32
@@ -91,20 +90,20 @@ def _postings(number: int, table: pa.Table) -> pa.RecordBatch:
     )
 
 
-def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def build_index(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     """The stored index: posting rows (``term``, ``places``) and document rows (``first``,
     ``n_words``, ``doc_id``), both with their ``shard``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, table in dealt(batches, "text", SHARD):
+        for number, table in dealt(batches, "text", shard):
             yield _postings(number, table)
 
-    kind = docs.select(F.col(key)).schema[0].dataType.simpleString()
-    made = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    made = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
         work,
         f"shard long, term string, places array<int>, first long, n_words long, doc_id {kind}",
     )
-    return stored(made, "phrase-index")
+    return stored(made, "phrase-index", "zstd")
 
 
 def term_list(text: Column) -> Column:
@@ -134,20 +133,27 @@ def _with_salts(terms: DataFrame) -> DataFrame:
     return terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
-def plan_phrases(phrases: DataFrame, postings: DataFrame) -> DataFrame:
+def matched_postings(phrases: DataFrame, index: DataFrame) -> DataFrame:
+    """Postings of the terms that occur in phrases, stored: all that the search reads.
+
+    Terms pass a filter of bits before the join, so that few others are moved.
+    """
+    wanted = phrases.select(F.explode(F.split("phrase", " ")).alias("term")).distinct()
+    wanted = stored(wanted, "phrase-terms")
+    postings = index.filter("term IS NOT NULL").select("shard", "term", "places", _salt("shard"))
+    likely = postings.filter(may_hold(wanted, F.col("term")))
+    return stored(likely.join(_with_salts(wanted), ["term", "salt"], "left_semi"), "postings")
+
+
+def plan_phrases(phrases: DataFrame, postings: DataFrame, block: int = BLOCK) -> DataFrame:
     """Phrases with their terms from the rarest on, each with its offset.
 
-    A phrase with a term that the index lacks is left out, for it cannot match.
+    A phrase with a term that the postings lack is left out, for it cannot match.
     ``terms`` is an array of (``n``, ``offset``, ``term``), ``block`` a bounded share of the phrases.
     """
     words = phrases.select("phrase", F.posexplode(F.split("phrase", " ")).alias("offset", "term"))
-    wanted = words.select("term").distinct()
-    counted = (
-        postings.join(_with_salts(wanted), ["term", "salt"], "left_semi")
-        .groupBy("term")
-        .agg(F.sum(F.size("places")).alias("n"))
-    )
-    blocks = max(1, -(-phrases.count() // BLOCK))
+    counted = postings.groupBy("term").agg(F.sum(F.size("places")).alias("n"))
+    blocks = max(1, -(-phrases.count() // block))
     return (
         words.join(counted, "term")
         .groupBy("phrase")
@@ -265,7 +271,9 @@ _FOUND = (
 )
 
 
-def search(index: DataFrame, phrases: DataFrame, within: int = 0) -> DataFrame:
+def search(
+    index: DataFrame, phrases: DataFrame, within: int = 0, block: int = BLOCK
+) -> DataFrame:
     """Documents of the index (``shard``, ``first``) with matches of ``phrases``.
 
     ``spans`` are the places, in words of the document, that exact matches cover, merged per
@@ -274,9 +282,9 @@ def search(index: DataFrame, phrases: DataFrame, within: int = 0) -> DataFrame:
     """
     if within > GAP:
         raise ValueError(f"a proximity span has at most {GAP} words")
-    postings = index.filter("term IS NOT NULL").select("shard", "term", "places", _salt("shard"))
+    postings = matched_postings(phrases, index)
     documents = index.filter("term IS NULL")
-    planned = stored(plan_phrases(phrases, postings), "phrase-plan")
+    planned = stored(plan_phrases(phrases, postings, block), "phrase-plan")
 
     rarest = planned.select("phrase", "terms", "block", F.col("terms")[0]["term"].alias("term"))
     candidates = _with_salts(rarest).join(postings.select("shard", "term", "salt"), ["term", "salt"])
@@ -325,16 +333,18 @@ def covered(spans: Column) -> Column:
     )
 
 
-def contamination(docs: DataFrame, items: DataFrame, within: int = 0) -> DataFrame:
+def contamination(
+    docs: DataFrame, items: DataFrame, within: int = 0, shard: int = SHARD, block: int = BLOCK
+) -> DataFrame:
     """Every document with what of the items it holds.
 
     Returns ``doc_id``, ``n_words``, ``n_hit`` (words inside matches), ``spans``, ``items`` (sorted
     names of the items with an exact match) and ``near_items`` (those with proximity matches alone).
     """
-    index = build_index(docs)
+    index = build_index(docs, shard)
     phrases = stored(phrases_of(items), "phrases")
     found = stored(
-        search(index, phrases.select("phrase").distinct(), within), "phrase-matches"
+        search(index, phrases.select("phrase").distinct(), within, block), "phrase-matches"
     )
     rows = ["shard", "first"]
 

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW_KEY, let, row_key, stored, whole_text
+from .common import ROW_KEY, let, may_hold, row_key, stored, whole_text
 
 # Kinds in their order, each with its pattern. A match can only start
 # where a run of its characters starts or the last match ended, and takes all it can;
@@ -36,7 +36,6 @@ _SPANS = "array<struct<start:int,end:int,value:string>>"
 # Distinct lines that a value shares with a term from which counts speak for themselves;
 # counts of fewer are smoothed.
 SUPPORT = 3
-FILTER_WORDS = 65_536  # of 64 bits, in the filter of words before they are joined with terms
 DISCLOSURE = 0.9  # share of a value's information that a term may not reach
 REMOVAL = 0.99  # from here on it is removed, below it is generalised
 
@@ -270,29 +269,6 @@ def disclosing_terms(
     )
 
 
-def _may_hold(terms: DataFrame, term: Column) -> Column:
-    """A test that all of ``terms`` pass and few other words: their bits in one array.
-
-    Its size is fixed; more terms only let more words pass.
-    """
-    spark = terms.sparkSession
-    at = lambda word: F.pmod(F.xxhash64(word), F.lit(64 * FILTER_WORDS))
-    own = terms.select(at(F.col("term")).alias("at")).selectExpr(
-        "at div 64 AS word", "shiftleft(1L, int(at % 64)) AS bits"
-    )
-    none = spark.range(FILTER_WORDS).selectExpr("id AS word", "0L AS bits")
-    bits = (
-        own.unionByName(none)
-        .groupBy("word")
-        .agg(F.bit_or("bits").alias("bits"))
-        .agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("all"))
-        .select(F.transform("all", lambda x: x["bits"]))
-        .scalar()
-    )
-    word = F.floor(at(term) / 64).cast("int")
-    return F.getbit(F.get(bits, word), F.pmod(at(term), F.lit(64)).cast("int")) == 1
-
-
 def find_private(
     docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), everywhere: bool = False
 ) -> DataFrame:
@@ -333,7 +309,7 @@ def find_private(
         )
         texts = docs.select(F.sha2(text, 256).alias("blob"), text.alias("_text"))
         others = texts.select("blob", F.explode(_terms(F.col("_text"))).alias("term")).filter(
-            _may_hold(spread, F.col("term"))
+            may_hold(spread, F.col("term"))
         )
         pairs = stored(
             pairs.unionByName(others.join(spread, "term").select("blob", "term", "sure")),
