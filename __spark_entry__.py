@@ -6,7 +6,9 @@ Every query reads the given tables through ``eraframe.sources.testdata``.
 from __future__ import annotations
 
 import importlib
+import inspect
 import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -18,13 +20,30 @@ from eraframe.constants import INDICATOR_CODES
 from eraframe.functions import classify
 from eraframe.functions.rounding import round_half_up
 from eraframe.functions.text import format_currency, mentions_genre, primary_genre
-from eraframe.operators import quality
+from eraframe.operators import quality, radix
 from eraframe.operators.era import calendar
-from eraframe.plans import checks, clean, dashboard, load, macro, reload, reports, stage
+from eraframe.plans import (
+    checks,
+    clean,
+    dashboard,
+    load,
+    macro,
+    partials,
+    quarantine,
+    reload,
+    reports,
+    stage,
+)
 from eraframe.plans.catalog import REPORTS, applies_era
 from eraframe.schemas import TITLE_BASICS, TITLE_RATINGS
 from eraframe.sources import commits, readers, sinks, testdata
-from eraframe.sources.star import Star, read_star, write_star
+from eraframe.sources.star import (
+    Star,
+    read_bucketed_star,
+    read_star,
+    write_bucketed_star,
+    write_star,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -338,6 +357,80 @@ def _dq_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged.unionByName(checks.repeated_keys(testdata.star(spark, sf_dir)))
 
 
+def _load_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A star without some films and years, loaded under its constraints: all fact rows, those
+    that were let in without reasons."""
+    path = sinks.scratch_path(spark, "checked-star")
+    quarantine.load_checked(spark, path, _known_genres(spark, sf_dir))
+    rejected = quarantine.read_rejected(spark, path, "fact")
+    valid = read_star(spark, path).fact.withColumn("reasons", F.array().cast("array<string>"))
+    return valid.unionByName(rejected).withColumn("reasons", F.array_join("reasons", "; "))
+
+
+def _quarantine_films(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Staged films as a dimension: one row per id is let in, the others wait."""
+    films = _staged(spark, sf_dir).select(
+        F.col("id").alias("movie_key"), F.col("id").alias("movie_id"), "title", "seq"
+    )
+    checked = quarantine.checked_dimension(films, "movies", ["seq"])
+    return checked.withColumn("reasons", F.array_join("reasons", "; "))
+
+
+def _bucketed_genres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returns by genre from a star whose fact and films are stored in buckets."""
+    name = f"star_{uuid.uuid4().hex}"
+    path = sinks.scratch_path(spark, "bucketed-star")
+    write_bucketed_star(testdata.star(spark, sf_dir), name, path, buckets=8)
+    return reports.genre_baselines(read_bucketed_star(spark, name))
+
+
+def _partial(name: str, era: str = "All") -> Query:
+    """A report from the partials of two loads, of odd and of even films."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        star = testdata.star(spark, sf_dir)
+        odd = F.col("movie_key") % 2 == 1
+        loads = [replace(star, fact=star.fact.filter(half)) for half in (odd, ~odd)]
+        both = partials.together(*[partials.build_partials(load) for load in loads])
+        report = partials.REPORTS[name](both, *([era] if era != "All" else []))
+        if name == "vote_statistics":
+            return report.withColumn("global_mean", round_half_up(F.col("global_mean"), 6))
+        return report
+
+    return query
+
+
+def _partials_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partials of two loads, stored one after the other and read back."""
+    star = testdata.star(spark, sf_dir)
+    path = sinks.scratch_path(spark, "partials")
+    early = F.col("date_key") < 1998
+    for part in (early, ~early):
+        load = partials.build_partials(replace(star, fact=star.fact.filter(part)))
+        partials.add_partials(spark, path, load)
+    return partials.runtime_paradox(partials.read_partials(spark, path, star))
+
+
+def _votes_by_decade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three quantiles per decade: of whole numbers, of large ones and of real ones."""
+    star = testdata.star(spark, sf_dir)
+    rows = star.fact.join(star.dates.select("date_key", "decade"), "date_key")
+    rows = sinks.hand_off(rows.select("decade", "vote_count", "revenue", "roi"), "decades")
+    found = radix.quantile_by(rows, ["decade"], "vote_count", 0.6, "vote_quantile")
+    for column, q in (("revenue", 0.25), ("roi", 0.9)):
+        found = found.join(
+            radix.quantile_by(rows, ["decade"], column, q, f"{column}_quantile"), "decade"
+        )
+    return found
+
+
+def _roi_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median return per year and budget tier."""
+    fact = testdata.star(spark, sf_dir).fact
+    tiers = fact.withColumn("budget_tier", classify.budget_tier(F.col("budget")))
+    return radix.quantile_by(tiers, ["date_key", "budget_tier"], "roi", 0.5, "median_roi")
+
+
 def _dq_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Required columns, and the optional ones that do have nulls."""
     star = testdata.star(spark, sf_dir, overviews=True)
@@ -420,6 +513,12 @@ def queries() -> dict[str, Query]:
         "load_counters_known_films": _load_counters_known,
         "loaded_star_trends": _loaded_star_trends,
         "stored_star_trends": _stored_star_trends,
+        "load_quarantine": _load_quarantine,
+        "quarantine_films": _quarantine_films,
+        "bucketed_genre_baselines": _bucketed_genres,
+        "partials_stored_runtime": _partials_stored,
+        "vote_statistics_by_decade": _votes_by_decade,
+        "median_roi_by_tier": _roi_quantile,
         "dq_duplicate_keys": _dq_duplicate_keys,
         "dq_nulls": _dq_nulls,
         "dq_orphans_partial": lambda spark, sf_dir: checks.broken_references(
@@ -427,6 +526,10 @@ def queries() -> dict[str, Query]:
         ),
         "dq_orphans": lambda spark, sf_dir: checks.broken_references(testdata.star(spark, sf_dir)),
     }
+    for name, report in partials.REPORTS.items():
+        registered[f"partials_{name}"] = _partial(name)
+        if "era" in inspect.signature(report).parameters:
+            registered[f"partials_{name}_crisis"] = _partial(name, "Crisis")
     if text_queries:
         registered |= text_queries.queries()
     return {name: _with_folder(query) for name, query in registered.items()}

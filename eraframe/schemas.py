@@ -10,6 +10,7 @@ def _schema(*fields: tuple[str, T.DataType]) -> T.StructType:
 
 
 _LONG, _INT, _TEXT, _REAL = T.LongType(), T.IntegerType(), T.StringType(), T.DoubleType()
+_FLAG = T.BooleanType()
 
 RAW_FILMS = _schema(
     ("id", _LONG),
@@ -82,3 +83,42 @@ FACT_BOX_OFFICE = _schema(
 FACT_DIGESTS = _schema(
     ("date_key", _INT), ("row_count", _LONG), ("digest_1", _TEXT), ("digest_2", _TEXT)
 )
+
+
+def _sums(*measures: str, totals: tuple[str, ...] = ("budget", "revenue")) -> list:
+    """Fields of partial sums: whole totals, real sums, and the counts of known values."""
+    return [
+        *[(f"{m}_total", _LONG) for m in totals],
+        *[(f"{m}_sum", _REAL) for m in measures],
+        *[(f"{m}_known", _LONG) for m in measures],
+    ]
+
+
+PARTIAL_YEARLY = _schema(
+    ("date_key", _INT),
+    ("has_revenue", _FLAG),
+    ("has_budget", _FLAG),
+    ("profitability_tier", _TEXT),
+    ("budget_tier", _TEXT),
+    ("films", _LONG),
+    ("movies", _LONG),
+    ("high_roi", _LONG),
+    *_sums("budget", "revenue", "roi", "vote_average", "popularity"),
+)
+PARTIAL_GENRES = _schema(
+    ("date_key", _INT),
+    ("has_revenue", _FLAG),
+    ("has_budget", _FLAG),
+    ("genre", _TEXT),
+    ("is_comedy", _FLAG),
+    ("analyzed_genre", _TEXT),
+    ("films", _LONG),
+    *_sums("budget", "revenue", "roi", "vote_average"),
+)
+PARTIAL_RUNTIMES = _schema(("date_key", _INT), ("minutes", _LONG), ("films", _LONG))
+PARTIAL_LEADERS = _schema(
+    ("movie_key", _LONG), ("date_key", _INT), ("revenue", _LONG), ("runtime", _INT)
+)
+PARTIAL_VOTES = _schema(
+    ("vote_count", _INT), ("films", _LONG), ("rating_sum", _REAL), ("rated", _LONG)
+)

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
@@ -128,10 +128,12 @@ class Load:
     rows: int
 
 
-def write_rows(rows: DataFrame, path: str, table: str, by: str | None = None) -> Load:
-    """Writes rows of a table as a load of its own, one folder per value of ``by``.
+def write_rows(
+    rows: DataFrame, path: str, table: str, by: str | Sequence[str] | None = None
+) -> Load:
+    """Writes rows of a table as a load of its own, partitioned by ``by``.
 
-    The rows are counted by the write itself. Nobody reads the folders before a
+    There is one folder per value of its (first) column. The rows are counted by the write itself. Nobody reads the folders before a
     :func:`publish` that names them; there are none if there are no rows.
     """
     load = f"{_LOAD}={uuid.uuid4().hex}"
@@ -141,18 +143,27 @@ def write_rows(rows: DataFrame, path: str, table: str, by: str | None = None) ->
     if by is None:
         rows.write.parquet(target)
         return Load([load] if written.get["rows"] else [], written.get["rows"])
-    rows.write.partitionBy(by).parquet(target)
+    columns = [by] if isinstance(by, str) else list(by)
+    rows.write.partitionBy(*columns).parquet(target)
     files, make = _files(rows.sparkSession, path)
     names = (s.getPath().getName() for s in files.listStatus(make(target)) if s.isDirectory())
-    folders = sorted(f"{load}/{name}" for name in names if name.startswith(f"{by}="))
+    folders = sorted(f"{load}/{name}" for name in names if name.startswith(f"{columns[0]}="))
     return Load(folders, written.get["rows"])
 
 
 def read_rows(
-    spark: SparkSession, path: str, table: str, schema: T.StructType, version: Version | None = None
+    spark: SparkSession,
+    path: str,
+    table: str,
+    schema: T.StructType,
+    version: Version | None = None,
+    listed: str | None = None,
 ) -> DataFrame:
-    """Rows of a table as of a version, the last one if none is given."""
-    folders = (version or latest(spark, path)).folders(table)
+    """Rows of a table as of a version, the last one if none is given.
+
+    ``listed`` is the name under which the manifest has the folders, if it is not the table's.
+    """
+    folders = (version or latest(spark, path)).folders(listed or table)
     base = f"{path}/{table}"
     if not folders:
         return spark.createDataFrame([], schema)

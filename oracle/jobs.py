@@ -245,6 +245,27 @@ SELECT 'master_staging' AS table_name, 'movie_id' AS key_column, CAST(id AS VARC
 UNION ALL
 SELECT 'dim_movies', 'movie_key', CAST(p_partkey AS VARCHAR), count(*) FROM part
 GROUP BY p_partkey HAVING count(*) > 1""",
+        "load_quarantine": f"""{star()}, accepted AS (
+  SELECT DISTINCT movie_key FROM movies WHERE genre <> 'Unknown')
+SELECT fact.* EXCLUDE (l_orderkey), concat_ws('; ',
+  if(movie_key NOT IN (FROM accepted), 'movie_key not in dim_movies', NULL),
+  if(date_key >= 2000, 'date_key not in dim_date', NULL),
+  if(date_key NOT IN (SELECT year FROM macro), 'date_key not in dim_macroeconomics', NULL),
+  if(date_key NOT IN (SELECT year FROM events), 'date_key not in dim_geopolitical_events', NULL)
+  ) AS reasons FROM fact""",
+        "quarantine_films": f"""WITH {STAGED}
+SELECT id AS movie_key, id AS movie_id, title, seq,
+  if(row_number() OVER (PARTITION BY id ORDER BY seq) > 1, 'movie_key repeated; movie_id repeated', '')
+    AS reasons FROM staged""",
+        "vote_statistics_by_decade": f"""{star()}
+SELECT concat(CAST(date_key // 10 AS VARCHAR), '0s') AS decade,
+  quantile_cont(CAST(vote_count AS DOUBLE), 0.6) AS vote_quantile,
+  quantile_cont(CAST(revenue AS DOUBLE), 0.25) AS revenue_quantile,
+  quantile_cont(roi, 0.9) AS roi_quantile FROM fact GROUP BY 1""",
+        "median_roi_by_tier": f"""{star()}
+SELECT date_key, CASE WHEN budget < 20000000 THEN 'Low (< $20M)'
+    WHEN budget < 100000000 THEN 'Medium ($20M–$100M)' ELSE 'High (>= $100M)' END AS budget_tier,
+  quantile_cont(roi, 0.5) AS median_roi FROM fact GROUP BY ALL""",
         "dq_nulls": f"""{star()}, full_movies AS (
   SELECT m.*, movie_key AS movie_id, text AS overview
   FROM movies m LEFT JOIN documents ON doc_id = movie_key),
