@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -163,12 +164,11 @@ def plan_phrases(phrases: DataFrame, postings: DataFrame, block: int = BLOCK) ->
     )
 
 
-def _near(lists: dict[str, np.ndarray], terms: list[str], within: int) -> np.ndarray:
-    """Places of the first term with all others in one span of ``within`` words around them."""
-    places = lists[terms[0]]
+def _near(lists: list[np.ndarray], within: int) -> np.ndarray:
+    """Places of the first list with one of every other in one span of ``within`` words around them."""
+    places = lists[0]
     back, ahead = [], []
-    for term in terms[1:]:
-        others = lists[term]
+    for others in lists[1:]:
         at = np.searchsorted(others, places)
         before = np.where(at > 0, places - others[at - 1], within)
         after = np.where(at < len(others), others[np.minimum(at, len(others) - 1)] - places, within)
@@ -192,13 +192,10 @@ def _near(lists: dict[str, np.ndarray], terms: list[str], within: int) -> np.nda
     return places[fits]
 
 
-def _exact(lists: dict[str, np.ndarray], terms: list[tuple[int, str]]) -> np.ndarray:
-    """Places where a phrase begins: the lists less their offsets, intersected from the shortest on."""
-    terms = sorted(terms, key=lambda t: len(lists[t[1]]))
-    offset, term = terms[0]
-    begins = lists[term] - offset
-    for offset, term in terms[1:]:
-        places = lists[term]
+def _exact(lists: list[np.ndarray], offsets: list[int]) -> np.ndarray:
+    """Places where a phrase begins: lists, the shortest first, less their offsets, intersected."""
+    begins = lists[0] - offsets[0]
+    for places, offset in zip(lists[1:], offsets[1:], strict=True):
         at = np.searchsorted(places, begins + offset)
         begins = begins[places[np.minimum(at, len(places) - 1)] == begins + offset]
         if not len(begins):
@@ -209,33 +206,40 @@ def _exact(lists: dict[str, np.ndarray], terms: list[tuple[int, str]]) -> np.nda
 def _match(left: pa.Table, right: pa.Table, within: int) -> pa.Table:
     """Matches of a block's phrases in a shard, one row per document that has any."""
     is_doc = np.asarray(left["term"].is_null())
-    firsts = np.sort(np.asarray(left["first"].filter(pa.array(is_doc))).astype(np.int64))
+    firsts = np.sort(np.asarray(left["first"].filter(pa.array(is_doc))))
     posted = left.filter(pa.array(~is_doc)).combine_chunks()
-    lists: dict[str, np.ndarray] = {}
-    if posted.num_rows:
-        column = posted["places"].combine_chunks()
-        flat, stops = np.asarray(column.values), np.asarray(column.offsets)
-        for i, term in enumerate(posted["term"].to_pylist()):
-            lists[term] = flat[stops[i] : stops[i + 1]].astype(np.int64)
+    column, names = posted["places"].combine_chunks(), posted["term"].combine_chunks()
+    flat, stops = np.asarray(column.values), np.asarray(column.offsets)
+    sizes = np.diff(stops)
+
+    terms = right["terms"].combine_chunks()
+    bounds = np.asarray(terms.offsets)
+    number = pc.index_in(terms.values.field("term"), value_set=names)
+    number = np.asarray(pc.fill_null(number, -1))
+    offset = np.asarray(terms.values.field("offset"))
     spans: dict[int, list[tuple[int, int]]] = {}
     exact: dict[int, list[str]] = {}
     near: dict[int, list[str]] = {}
-    for phrase, terms in zip(right["phrase"].to_pylist(), right["terms"].to_pylist(), strict=True):
-        if any(t["term"] not in lists for t in terms):
-            continue
-        begins = _exact(lists, [(t["offset"], t["term"]) for t in terms])
-        docs = np.searchsorted(firsts, begins, side="right") - 1
-        for doc, begin in zip(docs.tolist(), begins.tolist(), strict=True):
-            spans.setdefault(doc, []).append((begin, begin + len(terms)))
-        hit = np.unique(docs)
-        for doc in hit.tolist():
-            exact.setdefault(doc, []).append(phrase)
+    # Phrases with a term that the shard lacks cannot match in it.
+    for row in np.flatnonzero(np.minimum.reduceat(number, bounds[:-1]) >= 0).tolist():
+        own = number[bounds[row] : bounds[row + 1]]
+        order = np.argsort(sizes[own], kind="stable")
+        lists = [flat[stops[n] : stops[n + 1]] for n in own[order]]
+        begins = _exact(lists, offset[bounds[row] : bounds[row + 1]][order])
+        hit: list[int] = []
+        if len(begins):
+            docs = (np.searchsorted(firsts, begins, side="right") - 1).tolist()
+            for doc, begin in zip(docs, begins.tolist(), strict=True):
+                spans.setdefault(doc, []).append((begin, begin + len(own)))
+            hit = sorted(set(docs))
+            for doc in hit:
+                exact.setdefault(doc, []).append(right["phrase"][row].as_py())
         if within:
-            distinct = list(dict.fromkeys(t["term"] for t in terms))
-            places = _near(lists, distinct, within)
-            beside = np.unique(np.searchsorted(firsts, places, side="right") - 1)
-            for doc in np.setdiff1d(beside, hit).tolist():
-                near.setdefault(doc, []).append(phrase)
+            distinct = dict(zip(own[order].tolist(), lists, strict=True))
+            beside = _near(list(distinct.values()), within)
+            docs = np.unique(np.searchsorted(firsts, beside, side="right") - 1)
+            for doc in np.setdiff1d(docs, hit).tolist():
+                near.setdefault(doc, []).append(right["phrase"][row].as_py())
     found = sorted(exact.keys() | near.keys())
     merged = [_merged(spans.get(doc, [])) for doc in found]
     return pa.table(
