@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -151,3 +152,62 @@ def may_hold(terms: DataFrame, term: Column) -> Column:
     )
     word = F.floor(at(term) / 64).cast("int")
     return F.getbit(F.get(bits, word), F.pmod(at(term), F.lit(64)).cast("int")) == 1
+
+
+def with_any_columns(*own: str):
+    """Makes a function from documents to documents safe for any other columns.
+
+    Columns but the ``own`` ones travel under numbered names, so none can clash with the names
+    that operators use inside, and get their names back at the end, dots and all.
+    """
+
+    def around(work):
+        @functools.wraps(work)
+        def run(docs: DataFrame, *args, **parameters) -> DataFrame:
+            names = [c if c in own else f"carried_{i}" for i, c in enumerate(docs.columns)]
+            return work(docs.toDF(*names), *args, **parameters).toDF(*docs.columns)
+
+        return run
+
+    return around
+
+
+_CHUNK = 256
+
+
+def before_each(values: Column, merge, zero: Column) -> Column:
+    """For each element of an array, what merging all elements before it gives.
+
+    ``merge`` is associative, ``zero`` its neutral element. Arrays are worked on in
+    runs of 256 elements, because appending to an array copies it: the cost of a step
+    depends on a run and on the number of runs, not on all elements.
+    """
+
+    def scanned(short: Column) -> Column:
+        """One element more than given: the last is the merge of all."""
+        return F.aggregate(
+            short, F.array(zero), lambda done, x: F.concat(done, F.array(merge(F.element_at(done, -1), x)))
+        )
+
+    def of_runs(runs: Column) -> Column:
+        totals = F.transform(runs, lambda run: F.aggregate(run, zero, merge))
+        begins = let(totals, scanned)
+        return F.flatten(
+            F.zip_with(
+                runs,
+                F.slice(begins, F.lit(1), F.size(runs)),
+                lambda run, begin: F.transform(
+                    F.slice(scanned(run), F.lit(1), F.size(run)), lambda x: merge(begin, x)
+                ),
+            )
+        )
+
+    def all_of(values: Column) -> Column:
+        last = F.floor((F.size(values) - 1) / _CHUNK).cast("int")
+        runs = F.transform(
+            F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+            lambda i: F.slice(values, i * _CHUNK + 1, F.lit(_CHUNK)),
+        )
+        return let(runs, of_runs)
+
+    return let(values, all_of)

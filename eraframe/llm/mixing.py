@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW_KEY, WORD, ranked, row_key, stored, whole_text
+from .common import ROW_KEY, WORD, ranked, row_key, stored, whole_text, with_any_columns
 
 _MAX_COPIES = 3
 _PLAN = "source string, size long, copies long, extra long, docs long"
@@ -214,6 +214,7 @@ def mix_sources(
     return drawn.select(*shape).unionByName(rest.select(*shape))
 
 
+@with_any_columns("text", "source")
 def repeat_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1)) -> DataFrame:
     """The documents as often as the mix takes them, with the columns they have.
 

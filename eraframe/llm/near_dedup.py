@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW_KEY, map_carrying, row_key, stored
+from .common import ROW_KEY, map_carrying, row_key, stored, with_any_columns
 from .components import connected_components
 from .tokens import in_parts
 
@@ -436,6 +436,7 @@ def _components(links: DataFrame) -> DataFrame:
     return connected_components(links).withColumnRenamed("node", "class_key")
 
 
+@with_any_columns("doc_id", "text")
 def drop_near_duplicates(docs: DataFrame, likeness: Likeness = Likeness()) -> DataFrame:  # noqa: B008
     """One document of each group of near-duplicates, with the columns it has.
 

@@ -14,7 +14,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW_KEY, let, may_hold, row_key, stored, whole_text
+from .common import (
+    ROW_KEY,
+    before_each,
+    let,
+    may_hold,
+    row_key,
+    stored,
+    whole_text,
+    with_any_columns,
+)
 
 # Kinds in their order, each with its pattern. A match can only start
 # where a run of its characters starts or the last match ended, and takes all it can;
@@ -32,10 +41,9 @@ KINDS = [*PATTERNS, "term"]
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 
 IN_TERM, NO_TERM = r"[\p{L}\p{M}\p{N}]", r"[^\p{L}\p{M}\p{N}]+"
-_SPANS = "array<struct<start:int,end:int,value:string>>"
-# Distinct lines that a value shares with a term from which counts speak for themselves;
-# counts of fewer are smoothed.
-SUPPORT = 3
+_RUN = 1024  # code points of a text that are cut out of at a time
+# Part of the lines with a term that must have the value for a disclosure.
+CERTAINTY = 0.75
 DISCLOSURE = 0.9  # share of a value's information that a term may not reach
 REMOVAL = 0.99  # from here on it is removed, below it is generalised
 
@@ -47,26 +55,25 @@ def located(text: Column, pattern: str | Column) -> Column:
     """
     expression = F.lit(pattern) if isinstance(pattern, str) else pattern
 
-    def step(done: Column, part: Column) -> Column:
-        start = done["at"] + part["gap"]
-        end = start + F.coalesce(F.length(part["value"]), F.lit(0))
-        span = F.struct(start.alias("start"), end.alias("end"), part["value"].alias("value"))
-        more = F.concat(done["spans"], F.array(span)).cast(_SPANS)
-        return F.struct(
-            end.alias("at"),
-            F.when(part["value"].isNull(), done["spans"]).otherwise(more).alias("spans"),
+    def spans(parts: Column) -> Column:
+        lengths = F.transform(parts, lambda p: p["gap"] + F.coalesce(F.length(p["value"]), F.lit(0)))
+        placed = F.zip_with(
+            parts,
+            before_each(lengths, lambda a, b: a + b, F.lit(0)),
+            lambda p, at: F.struct(
+                (at + p["gap"]).alias("start"),
+                (at + p["gap"] + F.length(p["value"])).alias("end"),
+                p["value"].alias("value"),
+            ),
         )
-
-    def walk(parts: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
-        return F.aggregate(parts, zero, step, lambda done: done["spans"])
+        return F.filter(placed, lambda s: s["value"].isNotNull())
 
     parts = F.zip_with(
         F.split(text, expression, -1),
         F.regexp_extract_all(text, expression, F.lit(0)),
         lambda piece, value: F.struct(F.length(piece).alias("gap"), value.alias("value")),
     )
-    return let(parts, walk)
+    return let(parts, spans)
 
 
 def _digits(value: Column) -> Column:
@@ -160,12 +167,30 @@ def _without_values(line: Column) -> Column:
 
 
 def _share(both: Column, n_term: Column, n_value: Column, n_lines: Column) -> Column:
-    """Share of a value's information that a term has, by counts of lines."""
-    return F.log(both * n_lines / (n_term * n_value)) / F.log(n_lines / n_value)
+    """Share of a value's information that a term has, by counts of lines; null where the value
+    is in all lines and so has none."""
+    return F.try_divide(
+        F.log(both * n_lines / (n_term * n_value)), F.log(n_lines / n_value)
+    )
+
+
+def _sure_share(both: Column, n_term: Column, n_value: Column, n_lines: Column) -> Column:
+    """The share that decides, or 0.
+
+    Part of a line with the term, in which the value is as likely as anywhere, is added for
+    chance: a whole one where they met once, half as much with each further meeting. And
+    the value must be in three quarters of the lines with the term: the share alone grows with
+    the corpus, so that a word of a dozen lines that once meets a value has nearly all of its
+    information among a billion lines.
+    """
+    chance = F.pow(F.lit(2.0), 1 - both)
+    share = _share(both + chance * n_value / n_lines, n_term + chance, n_value, n_lines)
+    likely = both >= CERTAINTY * n_term
+    return F.coalesce(F.when(likely, share), F.lit(0.0))
 
 
 def _value_lines(found: DataFrame) -> DataFrame:
-    """(line_hash, entities, near, terms) of the lines in or beside which a value is."""
+    """(entities, near, terms) of the lines in or beside which a value is."""
 
     def around(values: Column) -> Column:
         beside = lambda i: F.coalesce(F.get(values, i), F.array().cast("array<string>"))
@@ -184,7 +209,6 @@ def _value_lines(found: DataFrame) -> DataFrame:
         .select("l.line", "l.v.entities", "l.v.near")
         .filter(F.size("near") > 0)
         .select(
-            F.xxhash64("line").alias("line_hash"),
             "entities",
             "near",
             _terms(_without_values(F.col("line"))).alias("terms"),
@@ -195,7 +219,6 @@ def _value_lines(found: DataFrame) -> DataFrame:
 def disclosing_terms(
     docs: DataFrame,
     found: DataFrame,
-    support: int = SUPPORT,
     disclosure: float = DISCLOSURE,
 ) -> DataFrame:
     """(entity, term, share, sure, spread): terms that reach ``disclosure`` of a value's
@@ -207,11 +230,8 @@ def disclosing_terms(
     a term in n(t) and both in n(t,a), the share is
     log(n(t,a) N / n(t) n(a)) / log(N / n(a)): 1 if the term occurs with this value only.
 
-    ``sure`` is the share that decides. Fewer than ``support`` different lines may be
-    chance, so there n(t,a) / n(t) is smoothed by one more line with the term, in which
-    the value is as likely as anywhere. What that takes off shrinks with the value's
-    share of the corpus. n(t) also counts lines in which a value itself has the word,
-    so a common part of values is not disclosing.
+    ``sure`` is the share that decides (see :func:`_sure_share`). n(t) also counts lines in
+    which a value itself has the word, so a common part of values is not disclosing.
     """
     held = stored(_value_lines(found), "pii-lines")
     near = F.explode("near").alias("entity")
@@ -223,17 +243,10 @@ def disclosing_terms(
         .agg(F.sum("own").alias("n_own"), F.count(F.lit(1)).alias("n_near"))
     )
     pairs = (
-        held.select(near, "entities", "line_hash", "terms")
-        .select("entity", own.alias("own"), "line_hash", F.explode("terms").alias("term"))
-        .groupBy("entity", "term", "line_hash")
-        .agg(F.sum("own").alias("own"), F.count(F.lit(1)).alias("near"))
+        held.select(near, "entities", "terms")
+        .select("entity", own.alias("own"), F.explode("terms").alias("term"))
         .groupBy("entity", "term")
-        .agg(
-            F.sum("own").alias("own_both"),
-            F.sum("near").alias("near_both"),
-            F.count(F.when(F.col("own") > 0, 1)).alias("own_lines"),
-            F.count(F.lit(1)).alias("near_lines"),
-        )
+        .agg(F.sum("own").alias("own_both"), F.count(F.lit(1)).alias("near_both"))
     )
     candidates = stored(pairs, "pii-pairs")
     every_line = docs.select(F.explode(F.split(whole_text("text"), "\n")).alias("line"))
@@ -250,10 +263,8 @@ def disclosing_terms(
 
     def shares(at: str) -> list[Column]:
         both, value, lines = F.col(f"{at}_both"), F.col(f"n_{at}"), F.col("n_lines")
-        plain = _share(both, F.col("n_term"), value, lines)
-        smooth = _share(both + value / lines, F.col("n_term") + 1, value, lines)
-        sure = F.when(F.col(f"{at}_lines") >= support, plain).otherwise(smooth)
-        return [F.when(both > 0, plain), F.when(both > 0, sure)]
+        counts = (both, F.col("n_term"), value, lines)
+        return [F.when(both > 0, _share(*counts)), F.when(both > 0, _sure_share(*counts))]
 
     (own_share, own_sure), (near_share, near_sure) = shares("own"), shares("near")
     return (
@@ -361,28 +372,42 @@ def find_private(
 
 def sanitised(text: Column, spans: Column) -> Column:
     """``text`` with spans replaced by the label of their kind, removed terms by
-    nothing. Spans that overlap an earlier one only remove what it left."""
-
-    def step(done: Column, span: Column) -> Column:
-        label = F.lit("")
-        for kind, name in LABELS.items():
-            label = F.when(span["kind"] == kind, F.lit(name)).otherwise(label)
-        label = F.when(span["gone"] | (span["start"] < done["at"]), F.lit("")).otherwise(label)
-        gap = F.greatest(span["start"] - done["at"], F.lit(0))
-        before = F.substring(text, done["at"] + 1, gap)
-        return F.struct(
-            F.greatest(done["at"], span["end"]).alias("at"),
-            F.concat(done["parts"], F.array(before, label)).cast("array<string>").alias("parts"),
-        )
+    nothing. Spans that overlap an earlier one only remove what it left.
 
-    def finish(done: Column) -> Column:
-        rest = F.substring(text, done["at"] + 1, F.length(text))
-        return F.concat(F.array_join(done["parts"], ""), rest)
+    The text is cut into runs of 1,024 code points first, so that a piece of it is found without
+    reading all that stands before.
+    """
+
+    def piece(runs: Column, start: Column, end: Column) -> Column:
+        first, last = F.floor(start / _RUN).cast("int"), F.floor(end / _RUN).cast("int")
+        head = F.substring(F.get(runs, first), start % _RUN + 1, F.least(end - start, F.lit(_RUN)))
+        tail = F.coalesce(F.substring(F.get(runs, last), F.lit(1), end % _RUN), F.lit(""))
+        middle = F.array_join(F.slice(runs, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        across = F.concat(head, middle, tail)
+        return F.when(start >= end, "").when(first == last, head).otherwise(across)
+
+    def label(span: Column, reached: Column) -> Column:
+        name = F.lit("")
+        for kind, own in LABELS.items():
+            name = F.when(span["kind"] == kind, F.lit(own)).otherwise(name)
+        return F.when(span["gone"] | (span["start"] < reached), F.lit("")).otherwise(name)
+
+    def joined(runs: Column, spans: Column) -> Column:
+        ends = F.transform(spans, lambda s: s["end"])
+        parts = F.zip_with(
+            spans,
+            before_each(ends, lambda a, b: F.greatest(a, b), F.lit(0)),
+            lambda s, reached: F.concat(piece(runs, reached, s["start"]), label(s, reached)),
+        )
+        rest = piece(runs, F.array_max(ends), F.length(text))
+        return F.concat(F.array_join(parts, ""), rest)
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    return F.aggregate(spans, zero, step, finish)
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_RUN}}}"), F.lit(0))
+    whole = lambda own: let(cut, lambda runs: joined(runs, own))
+    return F.when(F.size(spans) == 0, text).otherwise(let(spans, whole))
 
 
+@with_any_columns("text", "n_chars")
 def sanitise_documents(docs: DataFrame, everywhere: bool = False) -> DataFrame:
     """The documents, with the columns they have, with private spans replaced in text.
     Disclosing terms go from texts that hold their value, or ``everywhere``.

@@ -14,7 +14,16 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK_CHARS, ROW_KEY, let, row_key, stored, whole_text, words
+from .common import (
+    BLANK_CHARS,
+    ROW_KEY,
+    let,
+    row_key,
+    stored,
+    whole_text,
+    with_any_columns,
+    words,
+)
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 3
@@ -304,6 +313,7 @@ def judge_quality(docs: DataFrame) -> DataFrame:
     return judged.unionByName(failed).withColumn("kept", kept)
 
 
+@with_any_columns("text", "lang", "source")
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with the columns that they have.
 

@@ -1,7 +1,11 @@
 from __future__ import annotations
 
+import collections
 import hashlib
+import math
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -163,3 +167,128 @@ def test_queries_mark_disclosing_terms_in_all_texts(spark, tmp_path):
     assert got[66] == "term:13:23"
     clean = corpus_pipeline.private_data(spark, docs, str(tmp_path))
     assert not any(re.search(r"(?i)\bthornfield\b", r.text) for r in clean.collect())
+
+
+def test_texts_with_very_many_values_are_linear(spark):
+    """100,000 addresses in one text: found and replaced in seconds."""
+    n = 100_000
+    text = " ".join(f"u{i}@x{i % 9}.org" for i in range(n))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.perf_counter()
+    spans = F.transform(pii.base_spans(F.col("text")), lambda s: s.withField("gone", F.lit(False)))
+    found = pii.stored(docs.select("text", spans.alias("spans")), "many-spans")
+    clean = found.select(F.size("spans").alias("n"), pii.sanitised(F.col("text"), F.col("spans")).alias("text"))
+    row = clean.first()
+    assert time.perf_counter() - start < 10
+    assert row.n == n and row.text == " ".join(["[EMAIL]"] * n)
+
+
+def test_replacing_spans_anywhere(spark):
+    """Runs of the text and spans meet in every way: against plain slicing."""
+    rng = random.Random(4)
+    cases = []
+    for size in (0, 1, 1023, 1024, 1025, 2048, 5000):
+        text = "".join(rng.choice("ab \n\U0001f600é") for _ in range(size))
+        spans = []
+        for _ in range(rng.randint(0, 40) if size else 0):
+            start = rng.randrange(size)
+            end = min(size, start + rng.choice([1, 3, 1024, 1500]))
+            spans.append((start, rng.randrange(5), end, rng.choice(pii.KINDS), "", rng.random() < 0.3))
+        cases.append((text, sorted(spans)))
+        cases.append((text, [(0, 0, size, "email", "", False)] if size else []))
+    kind = "array<struct<start:int,nth:int,end:int,kind:string,value:string,gone:boolean>>"
+    df = spark.createDataFrame(cases, f"text string, spans {kind}")
+    got = df.select("text", "spans", pii.sanitised(F.col("text"), F.col("spans")).alias("clean"))
+    for row in got.collect():
+        at, wanted = 0, ""
+        for s in row.spans:
+            wanted += row.text[at : max(at, s.start)]
+            wanted += "" if s.gone or s.start < at else pii.LABELS[s.kind]
+            at = max(at, s.end)
+        assert row.clean == wanted + row.text[at:]
+
+
+def stated_terms(texts: list[str]) -> list[tuple[int, int, int]]:
+    """Disclosing terms of every text, by plain counting."""
+    lines = [(d, n, line) for d, t in enumerate(texts) for n, line in enumerate((t or "").split("\n"))]
+    values = [{(k, v.lower() if k in ("email", "ip") else re.sub("[^0-9]", "", v)) for k, v in found(line)} for _, _, line in lines]
+    word = re.compile(r"[^\W_]+")
+    own_terms, all_terms = [], []
+    for _, _, line in lines:
+        bare = line
+        for pattern in pii.PATTERNS.values():
+            bare = re.sub(pattern.replace("\\G|", ""), " ", bare)
+        own_terms.append({w.lower() for w in word.findall(bare)})
+        all_terms.append({w.lower() for w in word.findall(line)})
+    total = len(lines)
+    n_term = collections.Counter(t for terms in all_terms for t in terms)
+    near = []
+    for i, (d, n, _) in enumerate(lines):
+        here = set(values[i])
+        for j in (i - 1, i + 1):
+            if 0 <= j < total and lines[j][0] == d:
+                here |= values[j]
+        near.append(here)
+    risky = set()
+    for placed in (values, near):
+        n_value = collections.Counter(v for held in placed for v in held)
+        both = collections.Counter((v, t) for held, terms in zip(placed, own_terms, strict=True) for v in held for t in terms)
+        for (value, term), n in both.items():
+            if n < 0.75 * n_term[term]:
+                continue
+            chance = 2.0 ** (1 - n)
+            smooth = (n + chance * n_value[value] / total) / (n_term[term] + chance)
+            if math.log(smooth * total / n_value[value]) / math.log(total / n_value[value]) >= 0.9:
+                risky.add(term)
+    return [
+        (d, m.start(), m.end())
+        for d, t in enumerate(texts)
+        for m in word.finditer(t or "")
+        if m[0].lower() in risky
+    ]
+
+
+def found(line: str) -> list[tuple[str, str]]:
+    spans = [s.split(":") for s in stated_spans(line).split(",") if s]
+    return [(kind, line[int(start) : int(end)]) for kind, start, end in spans]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_whole_query_against_brute_force(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    words = [f"word{i}" for i in range(40)] + [f"Name{i}" for i in range(30)]
+    texts = []
+    for _ in range(700):
+        rows = []
+        for _ in range(rng.randint(1, 4)):
+            line = rng.choices(words, k=rng.randint(1, 8))
+            if rng.random() < 0.04:
+                person = rng.randrange(30)
+                line += [f"Rare{person}", f"n{person}@mail.example"]
+            if rng.random() < 0.01:
+                line.append(f"rare{rng.randrange(30)}")
+            rng.shuffle(line)
+            rows.append(" ".join(line))
+        texts.append("\n".join(rows))
+    texts += [texts[0], None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.queries()["op10_pii"](spark, str(tmp_path)).collect()
+    marked = sorted(
+        (r.doc_id, *map(int, s.split(":")[1:]))
+        for r in got
+        for s in (r.spans.split(",") if r.spans else [])
+        if s.startswith("term")
+    )
+    assert marked == stated_terms(texts) and marked
+    assert all(r.base_sha256 == hashlib.sha256(stated_spans(texts[r.doc_id]).encode()).hexdigest() for r in got)
+
+
+def test_evidence_does_not_loosen_with_the_corpus(spark):
+    """A word of three lines that meets a value once is not disclosing, however many lines there are."""
+    for lines in (2_000, 40_000):
+        texts = [f"common words of line number {i % 50}" for i in range(lines)]
+        texts += ["Seldom a@once.example", "Seldom words", "Seldom matter of words"]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        risky = pii.disclosing_terms(docs, docs.filter("text LIKE '%@%'"))
+        assert "seldom" not in {r.term for r in risky.collect()}
