@@ -47,12 +47,11 @@ from eraframe.sources.star import (
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# The text operators are an optional part: without their files the rest works.
+# The text operators are an optional part: without their files, or a package that they need, the
+# rest works.
 try:
     text_queries = importlib.import_module("eraframe.llm.queries")
-except ModuleNotFoundError as missing:
-    if missing.name not in ("eraframe.llm", "eraframe.llm.queries", "corpus_pipeline"):
-        raise
+except ImportError:
     text_queries = None
 
 _SMOKE_DIR = "/root/testdata/sf0.001"
@@ -92,7 +91,7 @@ def _economic_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both classifications of every year that has releases."""
     star = testdata.star(spark, sf_dir)
     years = star.fact.select(F.col("date_key").alias("release_year")).distinct()
-    return years.join(F.broadcast(calendar(star)), "release_year").select(
+    return years.join(calendar(star), "release_year").select(
         "release_year",
         "era_type",
         "economic_climate",
@@ -207,11 +206,15 @@ def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stored_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Staged films from a stored copy, for jobs that read them several times."""
-    staged = _staged(spark, sf_dir)
-    return spark.read.schema(staged.schema).parquet(
-        _landed(spark, sf_dir, "staged-films", staged.write.parquet)
-    )
+    """Staged films, computed and stored by each job that reads them several times."""
+    return sinks.hand_off(_staged(spark, sf_dir), "staged-films")
+
+
+def land_inputs(spark: SparkSession, sf_dir: str) -> None:
+    """Lands the raw inputs of the jobs, once per session and table folder."""
+    _raw(spark, sf_dir)
+    _titles(spark, sf_dir)
+    _macro_by_year(spark, sf_dir)
 
 
 def _macro_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,7 +98,7 @@ def top_genres_other(shares: DataFrame, k: int = K.TOP_GENRES) -> DataFrame:
 def decade_genre_matrix(shares: DataFrame, k: int = K.TOP_GENRES) -> DataFrame:
     """:func:`top_genres_other` with one column per label, ``null`` for no genre.
 
-    Column names come from the data, so the ``k`` top names are looked up first.
+    A genre that is called so is added to that column. Column names come from the data, so the ``k`` top names are looked up first.
     """
     named = [row["genre"] for row in _top_genres(shares, k).collect()]
     columns = dict.fromkeys([*("null" if n is None else n for n in named), K.OTHER_GENRES])
@@ -107,7 +107,7 @@ def decade_genre_matrix(shares: DataFrame, k: int = K.TOP_GENRES) -> DataFrame:
         .withColumn("label", F.coalesce("label", F.lit("null")))
         .groupBy("decade")
         .pivot("label", list(columns))
-        .agg(F.first("share_pct"))
+        .agg(F.sum("share_pct"))
         .orderBy("decade")
     )
 

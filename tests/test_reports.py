@@ -251,3 +251,12 @@ def test_top_genres_are_cut_without_a_window_over_all_rows(spark):
     assert "dense_rank" not in plan and "TakeOrderedAndProject" in plan
     got = {(r["decade"], r["label"]): r["share_pct"] for r in top.collect()}
     assert got[1980, None] == 9.0 and got[1990, "B"] == 7.0 and got[1980, "Other"] == 5.0
+
+
+def test_genre_called_null_is_added_to_no_genre(spark):
+    shares = spark.createDataFrame(
+        [("1990s", None, 40.0), ("1990s", "null", 30.0), ("1990s", "Drama", 20.0)],
+        "decade string, genre string, genre_share_pct double",
+    )
+    row = dashboard.decade_genre_matrix(shares, k=3).first()
+    assert (row["null"], row["Drama"], row["Other"]) == (70.0, 20.0, 0.0)
