@@ -248,6 +248,19 @@ def _film_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_films(spark, path).drop("seq")
 
 
+def _film_csv_scan_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, its blocks parsed side by side."""
+    path = sinks.scratch_path(spark, "films-csv-split")
+    columns = [f.name for f in readers.schemas.RAW_FILMS]
+    sinks.write_csv(testdata.raw_films(spark, sf_dir).select(*columns), path)
+    return readers.read_films_split(spark, path).drop("seq")
+
+
+def _clean_funnel_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The funnel as the write of the clean films counts it."""
+    return clean.write_clean(_raw(spark, sf_dir), sinks.scratch_path(spark, "clean-films"))
+
+
 def _title_tsv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title lines written as text and read back."""
     return _basics(spark, sf_dir).select(
@@ -488,6 +501,8 @@ def queries() -> dict[str, Query]:
         "escapism_pivot": _reshaped(dashboard.escapism_pivot, "escapism_index"),
         "budget_tier_pivot": _reshaped(dashboard.budget_tier_pivot, "budget_dilemma"),
         "film_csv_scan": _film_csv_scan,
+        "film_csv_scan_split": _film_csv_scan_split,
+        "clean_funnel_written": _clean_funnel_written,
         "title_tsv_scan": _title_tsv_scan,
         "clean_movies": _clean,
         "clean_funnel": lambda spark, sf_dir: clean.clean_funnel(_raw(spark, sf_dir)),

@@ -122,3 +122,5 @@ PARTIAL_LEADERS = _schema(
 PARTIAL_VOTES = _schema(
     ("vote_count", _INT), ("films", _LONG), ("rating_sum", _REAL), ("rated", _LONG)
 )
+
+FUNNEL = _schema(("step_no", _INT), ("step", _TEXT), ("row_count", _LONG))

@@ -10,6 +10,8 @@ def all_sql() -> dict[str, str]:
     sql["stored_star_trends"] = sql["industry_baseline_trends_crisis"]
     sql["bucketed_genre_baselines"] = sql["genre_baselines"]
     sql["partials_stored_runtime"] = sql["runtime_paradox"]
+    sql["film_csv_scan_split"] = sql["film_csv_scan"]
+    sql["clean_funnel_written"] = sql["clean_funnel"]
     for name in REPORTS:
         for suffix in ("", "_crisis"):
             if name + suffix in sql:

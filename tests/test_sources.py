@@ -5,6 +5,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import types as T
 
 from eraframe import read_star, schemas, write_star
+from eraframe.plans import clean as clean_module
 from eraframe.plans import reports
 from eraframe.plans.clean import clean_films, clean_funnel
 from eraframe.plans.load import dim_events, dim_macroeconomics
@@ -145,3 +146,45 @@ def test_indicator_and_macro_files(spark, tmp_path):
     macro = readers.read_macro(spark, str(tmp_path / "m"))
     assert tuples(dim_events(macro)) == [(2022, "First", "Economic Crisis")]
     assert tuples(dim_macroeconomics(macro)) == [(2022, 2.5, 3.65, 8.0)]
+
+
+def _split_blocks(spark, size: int):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+
+
+@pytest.mark.parametrize("size", [64, 700, 100_000])
+def test_split_csv_equals_the_whole_read(spark, tmp_path, size):
+    """Quoted line ends, doubled quotes, records over many blocks, blank lines and line ends."""
+    rows = []
+    for i in range(40):
+        text = ["plain", 'a "quoted" word', "two\nlines", '"\n"\n\n"', "x," * 5, "", "long\n" * 60][i % 7]
+        rows.append(_film_line(id=i, overview=text, title=f't"{i}', runtime="NaN" if i % 5 else 9.0))
+    text = "\n".join([HEADER, *rows]).replace('"NaN"', "NaN")
+    (tmp_path / "a.csv").write_text(text + "\n\n")
+    (tmp_path / "b.csv").write_text(text.replace("\n1,", "\r\n1,"), newline="")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        _split_blocks(spark, size)
+        films = readers.read_films_split(spark, str(tmp_path))
+        got = films.orderBy("seq").drop("seq").collect()
+        tasks = films.select("seq.block").distinct().count()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    wanted = readers.read_films(spark, str(tmp_path)).orderBy("seq").drop("seq").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in wanted] and len(got) == 80
+    assert tasks > 1 or size == 100_000
+
+
+def test_funnel_is_counted_by_the_write(spark, tmp_path):
+    derived = testdata.raw_films(spark, SMALL)
+    derived.write.parquet(str(tmp_path / "raw"))
+    raw = spark.read.schema(derived.schema).parquet(str(tmp_path / "raw"))
+    spark.sparkContext.setJobGroup("funnel-write", "")
+    written = clean_module.write_clean(raw, str(tmp_path / "clean"))
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("funnel-write")
+    spark.sparkContext.setJobGroup("", "")
+    assert len(jobs) == 1
+    assert sorted(tuples(written)) == sorted(tuples(clean_funnel(raw)))
+    assert spark.read.parquet(str(tmp_path / "clean")).count() == clean_films(raw).count()
