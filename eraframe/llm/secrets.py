@@ -1,13 +1,12 @@
 """Secret scans over every version of every file, with a ledger of scanned blobs.
 
 Versions are addressed by the digest of their content. Only pairs of blob and
-rule version that the ledger lacks are scanned; findings belong to blobs and are
-joined back to all paths that ever held them.
+rule version that the ledger lacks are scanned, so a new rule scans all blobs with that rule
+alone; findings belong to blobs and are joined back to all paths that ever held them.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -60,6 +59,7 @@ ADDED_RULES = (
 )
 RULES = BASE_RULES + ADDED_RULES
 _SPAN = "struct<kind:string,start:int,end:int>"
+_LEDGER_SPAN = "struct<kind:string,start:int,end:int,version:int>"
 
 
 def find_secrets(text: str, rules: Sequence[Rule]) -> list[tuple[str, int, int]]:
@@ -74,9 +74,9 @@ def find_secrets(text: str, rules: Sequence[Rule]) -> list[tuple[str, int, int]]
     return [(kind, start, end) for start, _, kind, end in sorted(found)]
 
 
-def rules_version(rules: Sequence[Rule]) -> str:
-    """One name for a set of rules; any change of a rule changes it."""
-    return hashlib.sha256(repr(tuple(rules)).encode()).hexdigest()[:16]
+def rule_id(rule: Rule) -> str:
+    """Name of a rule version in the ledger; a changed rule needs a new version."""
+    return f"{rule.kind}:{rule.version}"
 
 
 def with_blob(versions: DataFrame) -> DataFrame:
@@ -86,28 +86,46 @@ def with_blob(versions: DataFrame) -> DataFrame:
 def scan_unseen(
     versions: DataFrame, ledger: DataFrame | None, rules: Sequence[Rule] = RULES
 ) -> DataFrame:
-    """New ledger rows (blob, rules, spans) for the texts that the ledger lacks.
+    """New ledger rows (blob, rules, spans): what the ledger lacks of blobs and rule versions.
 
-    ``versions`` needs a ``text`` column. Every distinct text is scanned once, whole;
-    a blob without a finding gets a row with no spans, so it is not scanned again.
+    ``versions`` needs a ``text`` column. Every distinct text is scanned once, whole, and only by
+    the rule versions that the ledger does not have for it. A blob without a finding gets a row
+    without spans, so it is not scanned again. Digests meet the ledger first; only texts with
+    something left to scan are moved.
     """
-    version = rules_version(rules)
+    wanted = F.array(*[F.lit(rule_id(r)) for r in rules])
+    by_id = {rule_id(r): r for r in rules}
     blobs = with_blob(versions.select("text")).select("blob", whole_text("text").alias("text"))
-    if ledger is not None:
-        seen = ledger.filter(F.col("rules") == version).select("blob").distinct()
-        blobs = blobs.join(seen, "blob", "left_anti")
+    if ledger is None:
+        left = blobs.dropDuplicates(["blob"]).withColumn("rest", wanted)
+    else:
+        # A blob has a row per scan that had something to do with it.
+        seen = ledger.groupBy("blob").agg(F.flatten(F.collect_list("rules")).alias("seen"))
+        rest = F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>")))
+        unseen = (
+            blobs.select("blob")
+            .distinct()
+            .join(seen, "blob", "left")
+            .select("blob", rest.alias("rest"))
+            .filter(F.size("rest") > 0)
+        )
+        left = blobs.join(stored(unseen, "secret-unseen"), "blob").dropDuplicates(["blob"])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             spans = [
-                [{"kind": k, "start": s, "end": e} for k, s, e in find_secrets(text, rules)]
-                for text in batch["text"]
+                [
+                    {"kind": k, "start": s, "end": e, "version": version[k]}
+                    for k, s, e in find_secrets(text, own)
+                ]
+                for text, own, version in (
+                    (text, [by_id[r] for r in rest], {by_id[r].kind: by_id[r].version for r in rest})
+                    for text, rest in zip(batch["text"], batch["rest"], strict=True)
+                )
             ]
-            yield pd.DataFrame({"blob": batch["blob"], "rules": version, "spans": spans})
+            yield pd.DataFrame({"blob": batch["blob"], "rules": batch["rest"], "spans": spans})
 
-    return blobs.dropDuplicates(["blob"]).mapInPandas(
-        scan, f"blob string, rules string, spans array<{_SPAN}>"
-    )
+    return left.mapInPandas(scan, f"blob string, rules array<string>, spans array<{_LEDGER_SPAN}>")
 
 
 def findings_by_path(
@@ -116,16 +134,30 @@ def findings_by_path(
     rules: Sequence[Rule] = RULES,
     keep: Sequence[str] = ("doc_id",),
 ) -> DataFrame:
-    """Columns ``keep`` of every version with the spans of its blob.
+    """Columns ``keep`` of every version with the spans of its blob that ``rules`` have found.
 
     Null texts count as empty. Repeated paths and texts give a row each.
     """
-    current = ledger.filter((F.col("rules") == rules_version(rules)) & (F.size("spans") > 0))
+    order = F.create_map(*[F.lit(x) for n, r in enumerate(rules) for x in (rule_id(r), n)])
+    span = F.col("span")
+    place = F.try_element_at(order, F.concat_ws(":", span["kind"], span["version"]))
+    current = (
+        ledger.filter(F.size("spans") > 0)
+        .select("blob", F.explode("spans").alias("span"))
+        .select("blob", F.struct(span["start"], place.alias("place"), span["kind"], span["end"]).alias("s"))
+        .filter("s.place IS NOT NULL")
+        .groupBy("blob")
+        .agg(F.array_sort(F.collect_list("s")).alias("found"))
+    )
+    spans = F.transform(
+        "found",
+        lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")),
+    )
     named = with_blob(versions).select(*keep, "blob")
-    return named.join(current.select("blob", "spans"), "blob", "left").select(
+    return named.join(current, "blob", "left").select(
         *keep,
         "blob",
-        F.coalesce("spans", F.from_json(F.lit("[]"), f"array<{_SPAN}>")).alias("spans"),
+        F.coalesce(spans, F.from_json(F.lit("[]"), f"array<{_SPAN}>")).alias("spans"),
     )
 
 

@@ -111,3 +111,35 @@ def test_only_unseen_blobs_and_rules_are_scanned(spark):
     newer = (*secrets.RULES, secrets.Rule("word", 1, "nothing"))
     assert secrets.scan_unseen(later, ledger, newer).count() == 3
     assert ledger.filter(F.size("spans") == 0).count() == 1
+
+
+def test_a_new_rule_scans_that_rule_only(spark):
+    """Old rules are gone from the second scan: it would fail on them."""
+    versions = spark.createDataFrame(
+        [("a", "token=abcdefgh1 nothing"), ("b", "AKIA" + "Q" * 16), ("c", None)], "path string, text string"
+    )
+    _, ledger = secrets.scan_versions(versions, keep=["path"])
+    word = secrets.Rule("word", 1, "no[a-z]+")
+    rules = (*secrets.RULES, word)
+    added = secrets.scan_unseen(versions, ledger, rules).collect()
+    assert len(added) == 3 and all(r.rules == ["word:1"] for r in added)
+    findings, ledger = secrets.scan_versions(versions, ledger, rules, keep=["path"])
+    kinds = {r.path: [(s.kind, s.start) for s in r.spans] for r in findings.collect()}
+    assert kinds == {"a": [("assign", 0), ("word", 16)], "b": [("access", 0)], "c": []}
+    # A new version of a rule replaces the findings of the old one.
+    newer = (*secrets.RULES, secrets.Rule("word", 2, "thing"))
+    assert [r.rules for r in secrets.scan_unseen(versions, ledger, newer).collect()] == [["word:2"]] * 3
+    findings, ledger = secrets.scan_versions(versions, ledger, newer, keep=["path"])
+    kinds = {r.path: [(s.kind, s.start) for s in r.spans] for r in findings.collect()}
+    assert kinds["a"] == [("assign", 0), ("word", 18)]
+    # Going back needs no scan: its findings are still there.
+    assert secrets.scan_unseen(versions, ledger, rules).count() == 0
+    back = secrets.findings_by_path(versions, ledger, rules, keep=["path"]).collect()
+    assert [(s.kind, s.start) for r in back if r.path == "a" for s in r.spans] == [("assign", 0), ("word", 16)]
+
+
+def test_nothing_left_moves_no_text(spark):
+    docs = odd_documents(spark)
+    _, ledger = secrets.scan_versions(docs)
+    assert secrets.scan_unseen(docs, ledger).count() == 0
+    assert secrets.scan_unseen(no_documents(spark), ledger).count() == 0
