@@ -497,6 +497,12 @@ def queries() -> dict[str, Query]:
         "genre_baselines_rare": lambda spark, sf_dir: run_report(
             "genre_baselines", _title_genres(spark, sf_dir)
         ),
+        "escapism_index_rare": lambda spark, sf_dir: run_report(
+            "escapism_index", _title_genres(spark, sf_dir), many_genres=True
+        ),
+        "decade_genre_share_rare": lambda spark, sf_dir: run_report(
+            "decade_genre_share", _title_genres(spark, sf_dir), many_genres=True
+        ),
         "rating_histogram": _reshaped(dashboard.rating_histogram, "rating_kpis"),
         "escapism_pivot": _reshaped(dashboard.escapism_pivot, "escapism_index"),
         "budget_tier_pivot": _reshaped(dashboard.budget_tier_pivot, "budget_dilemma"),

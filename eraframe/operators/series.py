@@ -7,6 +7,9 @@ never film rows.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -22,10 +25,30 @@ def trailing_rows(order: str, rows: int = MOVING_YEARS) -> WindowSpec:
 def with_share(
     df: DataFrame, within: list[str], amount: str, total: str, share: str
 ) -> DataFrame:
-    """Add the group total and each row's percentage of it."""
+    """Add the group total and each row's percentage of it; a group is one task's."""
     whole = F.sum(amount).over(Window.partitionBy(*within))
+    return _with_ratio(df.withColumn(total, whole), amount, total, share)
+
+
+def with_share_of_large(
+    df: DataFrame, within: list[str], amount: str, total: str, share: str
+) -> DataFrame:
+    """:func:`with_share` for groups that may outgrow a task.
+
+    The totals are summed on their own and joined back: being few they are broadcast,
+    or else adaptive execution splits a large group. At run time both sides read one
+    exchange of ``df``. Null groups are groups too.
+    """
+    groups = [f"_group{i}" for i in range(len(within))]
+    pairs = list(zip(within, groups, strict=True))
+    totals = df.groupBy(*[F.col(c).alias(g) for c, g in pairs]).agg(F.sum(amount).alias(total))
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(g)) for c, g in pairs))
+    return _with_ratio(df.join(totals, same).drop(*groups), amount, total, share)
+
+
+def _with_ratio(df: DataFrame, amount: str, total: str, share: str) -> DataFrame:
     ratio = F.col(amount).cast("double") / F.nullif(F.col(total), F.lit(0)) * 100
-    return df.withColumn(total, whole).withColumn(share, round_half_up(ratio, 2))
+    return df.withColumn(share, round_half_up(ratio, 2))
 
 
 def year_blocks(df: DataFrame, inside: Column, year: str = "release_year") -> DataFrame:

@@ -23,7 +23,7 @@ from eraframe.functions.text import mentions_genre, primary_genre
 from eraframe.operators.era import in_era, with_calendar
 from eraframe.operators.joins import film_groups, group_mean
 from eraframe.operators.quantile import quantile_of_counts
-from eraframe.operators.series import trailing_rows, with_share
+from eraframe.operators.series import trailing_rows, with_share, with_share_of_large
 from eraframe.sources.star import Star
 
 
@@ -126,15 +126,20 @@ def genre_baselines(star: Star, min_films: int = K.MIN_GENRE_FILMS) -> DataFrame
     )
 
 
-def escapism_index(star: Star, era: str = "All") -> DataFrame:
-    """Revenue of each primary genre and its share of the year."""
-    fact = _rows(star, "revenue", era=era)
+def escapism_index(star: Star, era: str = "All", many_genres: bool = False) -> DataFrame:
+    """Revenue of each primary genre and its share of the year.
+
+    ``many_genres`` is for genres so many that those of a year do not fit into a task.
+    """
+    # The calendar has no unknown year; said here, it holds for the rows and the totals alike.
+    fact = _rows(star, "revenue", era=era).filter(F.col("date_key").isNotNull())
     genres = (
         film_groups(fact, _genres(star), ["date_key"], totals=["revenue"])
         .groupBy(F.col("date_key").alias("release_year"), "genre")
         .agg(F.sum("revenue_total").alias("total_revenue"))
     )
-    shares = with_share(
+    add_share = with_share_of_large if many_genres else with_share
+    shares = add_share(
         genres, ["release_year"], "total_revenue", "year_total_revenue", "market_share_pct"
     )
     return (
@@ -357,8 +362,11 @@ def rating_kpis(star: Star, q: float = K.VOTE_QUANTILE, ordered: bool = True) ->
     )
 
 
-def decade_genre_share(star: Star) -> DataFrame:
-    """Releases of each primary genre and their share of the decade."""
+def decade_genre_share(star: Star, many_genres: bool = False) -> DataFrame:
+    """Releases of each primary genre and their share of the decade.
+
+    ``many_genres`` is for genres so many that those of a decade do not fit into a task.
+    """
     dates = star.dates.select("date_key", "decade")
     genres = (
         film_groups(star.fact, _genres(star), ["date_key"])
@@ -366,7 +374,8 @@ def decade_genre_share(star: Star) -> DataFrame:
         .groupBy("decade", "genre")
         .agg(F.sum("films").alias("film_count"))
     )
-    return with_share(
+    add_share = with_share_of_large if many_genres else with_share
+    return add_share(
         genres, ["decade"], "film_count", "decade_total_films", "genre_share_pct"
     ).orderBy("decade", F.desc("genre_share_pct"), "genre")
 

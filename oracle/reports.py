@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Macro rates and events by year, as the derived star has them.
 MACRO_VALUES = [
     (1995, "2.5", "5.6", "2.8"),
     (1996, "-0.4", "5.4", "2.9"),
@@ -348,6 +349,8 @@ GROUP BY d.decade, g.label""",
             "\nORDER BY vote_average", " AND genre <> 'Unknown'\nORDER BY vote_average"
         ),
         "genre_baselines_rare": over("genre_baselines").replace(FIRST_GENRE, "title"),
+        "escapism_index_rare": over("escapism_index").replace(FIRST_GENRE, "title"),
+        "decade_genre_share_rare": over("decade_genre_share").replace(FIRST_GENRE, "title"),
         "top_genres_other": shares(7),
         "top_genres_other_top3": shares(3),
         "decade_genre_matrix": f"""{bare}, m AS ({shares(7)})

@@ -8,6 +8,7 @@ from dataclasses import replace
 import pytest
 
 from eraframe import read_star, run_report, write_star
+from eraframe.operators.series import with_share_of_large
 from eraframe.plans import reports
 from eraframe.sources import testdata
 from tests.conftest import SMALL
@@ -104,3 +105,44 @@ def test_join_of_a_hot_film_is_split(spark, tmp_path, small_skew_limits):
     rows = run_report("macro_impact_data", stored, ordered=False)
     assert len(rows.collect()) == 2 * star.fact.count()
     assert "skew=true" in _plan(rows)
+
+
+@pytest.mark.parametrize("name", ["comedy_paradox", "comedy_horror_paradox"])
+def test_wanted_films_filter_the_fact_before_its_shuffle(spark, stored, no_auto_broadcast, name):
+    key = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    spark.conf.set(key, "0")
+    try:
+        plan = _plan(run_report(name, stored))
+    finally:
+        spark.conf.unset(key)
+    fact = [line for line in plan.splitlines() if "might_contain" in line]
+    assert len(fact) == 1 and "movie_key" in fact[0]
+
+
+def _shares(spark, rows: int):
+    """A hot group with most of the rows, and two others; one group is null."""
+    df = spark.range(rows).selectExpr(
+        "IF(id % 50 = 0, NULL, IF(id % 50 = 1, 1990, 2000)) AS year",
+        "CONCAT('genre ', id) AS genre",
+        "id % 7 AS revenue",
+    )
+    return with_share_of_large(df, ["year"], "revenue", "total", "share")
+
+
+@pytest.mark.parametrize("name", ["escapism_index", "decade_genre_share"])
+def test_shares_of_many_genres_need_no_window(stored, name):
+    rows = run_report(name, stored, many_genres=True)
+    assert rows.collect() == run_report(name, stored).collect()
+    assert "Window" not in _plan(rows) and "ReusedExchange" in _plan(rows)
+
+
+def test_share_of_a_hot_group_is_split(spark, small_skew_limits):
+    rows = _shares(spark, 60_000)
+    got = rows.collect()
+    assert "skew=true" in _plan(rows) and "Window" not in _plan(rows)
+    want = {}
+    for i in range(60_000):
+        year = {0: None, 1: 1990}.get(i % 50, 2000)
+        want[year] = want.get(year, 0) + i % 7
+    assert len(got) == 60_000
+    assert all(r.total == want[r.year] for r in got)
