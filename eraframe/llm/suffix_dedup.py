@@ -5,7 +5,7 @@ within it. For strings that repeat in another shard, each shard publishes the an
 of its strings: the place of the smallest hash inside a string, which depends on
 the string alone. Strings with one anchor form a run; runs of equal context are
 settled by counting, and only anchors that meet with different contexts send the
-bytes of their run to a merge, which looks up all their strings by binary search.
+bytes of one run per context to a merge, which builds a suffix array over them.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_carrying, stored, whole_text
+from .common import stored, whole_text
 from .suffix_arrays import Hashes, anchors, mixed, repeated_starts, runs
 from .tokens import in_parts
 
@@ -29,12 +29,14 @@ GRAM = 64
 LARGEST = 500_000
 _PART = 400_000
 _ROWS = 5_000  # rows that a worker gathers before it hands them on
-# Runs of one anchor that a task merges at most (about a million strings, 100 MB); the
-# strings of more are dealt one by one.
-CROWD = 16_384
+# Contexts of one anchor that a merge takes at most: their bytes and those gathered before
+# them fit the positions of one suffix array. More of them meet by parts of their strings.
+CROWD = 4_096
+_STEP = 16  # strings of a run that meet by the bytes which all of them hold
 
 _MARK = "kind int, key long, context long, shard long, b0 long, b1 long, start int, size int"
 _RUN = "b0 long, b1 long, start int, size int"
+_CUT = f"key long, {_RUN}, open boolean, crowd boolean, bytes binary"
 
 
 def text_key(text: Column) -> list[Column]:
@@ -150,22 +152,18 @@ def shard_marks(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def _cut_runs(length: int):
-    """Texts with their runs to the bytes of each run; equal texts in a row count once."""
-    names = ["key", "shard", "b0", "b1", "start", "size", "bytes"]
+    """Texts with their runs to the bytes of each run."""
+    names = ["key", "b0", "b1", "start", "size", "open", "crowd", "bytes"]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, out = None, []
+        out = []
         for batch in batches:
             for row in batch.itertuples(index=False):
-                if last == (row.b0, row.b1):
-                    continue
-                last = (row.b0, row.b1)
                 raw = row.text.encode()
-                for key, shard, start, size in zip(
-                    row.key, row.shard, row.start, row.size, strict=True
-                ):
+                listed = zip(row.key, row.start, row.size, row.open, row.crowd, strict=True)
+                for key, start, size, still, crowd in listed:
                     cut = raw[start : start + size + length - 1]
-                    out.append((key, shard, *last, start, size, cut))
+                    out.append((key, row.b0, row.b1, start, size, still, crowd, cut))
                 if len(out) > _ROWS:
                     yield pd.DataFrame(out, columns=names)
                     out = []
@@ -174,42 +172,29 @@ def _cut_runs(length: int):
     return work
 
 
-def _strings(rows: pd.DataFrame, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two hashes of every string of the rows' runs, and the row that each is of."""
+def _laid_out(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows' bytes in one array, the first place of each row, and its number of strings."""
     data = np.frombuffer(b"".join(rows["bytes"]), dtype=np.uint8)
-    size = rows["size"].to_numpy(np.int64)
     width = rows["bytes"].str.len().to_numpy(np.int64)
-    row = np.repeat(np.arange(len(rows)), size)
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-    at = (np.cumsum(width) - width)[row] + nth
-    return Hashes(data).of(at, at + length), Hashes(data, 1).of(at, at + length), row
+    return data, np.cumsum(width) - width, rows["size"].to_numpy(np.int64)
 
 
-def _repeat_across(first: np.ndarray, second: np.ndarray, shard: np.ndarray) -> np.ndarray:
-    """Which strings occur in another shard too.
+def _merge(length: int):
+    """Runs sorted by key to those parts of open ones whose strings start elsewhere too.
 
-    The strings of all shards are one sorted list; each string's place from the left
-    and from the right, by binary search, bounds its equals, whose shards must differ.
+    Strings of different keys differ, so whole keys are gathered into one suffix array,
+    which compares all their strings byte by byte.
     """
-    joined = mixed(first ^ mixed(second))
-    order = np.lexsort((shard, joined))
-    listed, shards = joined[order], shard[order]
-    left = np.searchsorted(listed, joined, side="left")
-    right = np.searchsorted(listed, joined, side="right") - 1
-    return shards[left] != shards[right]
-
-
-def _merge(length: int):
-    """Runs sorted by key to those parts whose strings occur in another shard."""
 
     def merged(rows: pd.DataFrame) -> pd.DataFrame:
-        one, two, row = _strings(rows, length)
-        key = rows["key"].to_numpy(np.int64).view(np.uint64)[row]
-        hit = _repeat_across(one ^ key, two, rows["shard"].to_numpy(np.int64)[row])
-        size = rows["size"].to_numpy(np.int64)
+        data, first, size = _laid_out(rows)
+        row = np.repeat(np.arange(len(rows)), size)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        allowed = np.zeros(len(data), dtype=bool)
+        allowed[first[row] + nth] = True
+        hit = repeated_starts(data, allowed, length)[first[row] + nth]
         # One more per row keeps runs of neighbouring rows apart.
-        place = np.flatnonzero(hit)
+        place = np.flatnonzero(hit & rows["open"].to_numpy(bool)[row])
         start, count = runs(place + row[place])
         begin = start - row[place][np.searchsorted(place + row[place], start)]
         owner = row[begin]
@@ -222,46 +207,96 @@ def _merge(length: int):
             }
         )
 
+    def whole_keys(rows: pd.DataFrame, last: bool) -> Iterator[pd.DataFrame]:
+        """Rows of whole keys with just over LARGEST bytes; what is left comes last."""
+        key = rows["key"].to_numpy()
+        ends = np.flatnonzero(np.append(key[1:] != key[:-1], last)) + 1
+        used = np.cumsum(rows["bytes"].str.len().to_numpy(np.int64))
+        begin, before = 0, 0
+        for end in ends:
+            if used[end - 1] - before >= LARGEST or (last and end == len(rows)):
+                yield rows.iloc[begin:end].reset_index(drop=True)
+                begin, before = end, used[end - 1]
+        yield rows.iloc[begin:]
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for batch in batches:
-            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            done = rows["key"] != rows["key"].iloc[-1] if len(rows) else []
-            rest = rows[~done] if len(rows) else None
-            if len(rows) and done.any():
-                yield merged(rows[done].reset_index(drop=True))
+            if not len(batch):
+                continue
+            *full, rest = whole_keys(batch if rest is None else pd.concat([rest, batch], ignore_index=True), False)
+            for rows in full:
+                yield merged(rows)
         if rest is not None and len(rest):
-            yield merged(rest.reset_index(drop=True))
+            *full, _ = whole_keys(rest, True)
+            for rows in full:
+                yield merged(rows)
 
     return work
 
 
-def _spread(length: int):
-    """Runs to their strings, one row each."""
+def _parts(length: int, step: int):
+    """Runs to parts of up to ``step`` neighbouring strings.
+
+    A string's part is told by the distance to its anchor, and a part's key by the bytes
+    that all strings of such a part hold, so equal strings come with equal keys.
+    """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for i in range(0, len(batch), 2000):
                 rows = batch.iloc[i : i + 2000].reset_index(drop=True)
-                one, two, row = _strings(rows, length)
-                size = rows["size"].to_numpy(np.int64)
-                nth = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+                data, first, size = _laid_out(rows)
+                hashes, other = Hashes(data), Hashes(data, 1)
+                anchor = anchors(hashes, GRAM, length)[first]
+                # Distances to the anchor, from that of the last string to that of the first.
+                near, far = anchor - first - size + 1, anchor - first
+                counts = far // step - near // step + 1
+                row = np.repeat(np.arange(len(rows)), counts)
+                nth = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+                part = (near // step)[row] + nth
+                latest, earliest = anchor[row] - part * step, anchor[row] - (part + 1) * step + 1
+                named = mixed(hashes.of(latest, earliest + length) ^ mixed(part.astype(np.uint64)))
+                named = mixed(named ^ mixed(other.of(latest, earliest + length)))
+                begin = np.maximum(earliest, first[row])
+                end = np.minimum(latest, (first + size - 1)[row]) + 1
+                raw = data.tobytes()
                 yield pd.DataFrame(
                     {
-                        "one": one.view(np.int64),
-                        "two": two.view(np.int64),
-                        "shard": rows["shard"].to_numpy()[row],
+                        "key": named.view(np.int64),
                         "b0": rows["b0"].to_numpy()[row],
                         "b1": rows["b1"].to_numpy()[row],
-                        "start": (rows["start"].to_numpy()[row] + nth).astype(np.int32),
+                        "start": (rows["start"].to_numpy()[row] + begin - first[row]).astype(np.int32),
+                        "size": (end - begin).astype(np.int32),
+                        "open": rows["open"].to_numpy(bool)[row],
+                        "crowd": True,
+                        "bytes": [raw[a : b + length - 1] for a, b in zip(begin, end, strict=True)],
                     }
                 )
 
     return work
 
 
+def _met(rows: DataFrame, length: int, step: int, name: str) -> DataFrame:
+    """The parts of runs that come up more than once: by their key, single strings by their bytes."""
+    parts = stored(rows.mapInPandas(_parts(length, step), _CUT), name)
+    by = ["key"] if step > 1 else ["key", "bytes"]
+    again = parts.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*by)
+    return parts.join(again, by).select(*parts.columns)
+
+
+def one_text_each(texts: DataFrame) -> DataFrame:
+    """A text per name; copies go before anything is shuffled."""
+    return texts.groupBy("b0", "b1").agg(F.first("text").alias("text"))
+
+
 def repeated_runs(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(b0, b1, start, size): runs of starts of strings that also start elsewhere."""
+    """(b0, b1, start, size): runs of starts of strings that also start elsewhere.
+
+    What an anchor's merge receives is a row per context, whatever number of copies
+    and shards hold it. An anchor in more than ``CROWD`` contexts meets by parts of its
+    runs instead, and those that come up again by single strings.
+    """
     marks = stored(shard_marks(texts, length), "suffix-marks")
     within = marks.filter("kind = 0").select("b0", "b1", "start", "size")
     published = marks.filter("kind = 1")
@@ -272,54 +307,62 @@ def repeated_runs(texts: DataFrame, length: int = LENGTH) -> DataFrame:
             F.max("shard").alias("s1"),
             F.min("context").alias("c0"),
             F.max("context").alias("c1"),
-            F.count(F.lit(1)).alias("n"),
         )
         .filter("s0 <> s1")
-        .select("key", (F.col("c0") != F.col("c1")).alias("differ"), "n")
+        .select("key", (F.col("c0") != F.col("c1")).alias("differ"))
     )
     shared = stored(published.join(met, "key").drop("kind"), "suffix-shared")
     # Anchors with one context everywhere: all strings of their runs repeat.
     whole = shared.filter("NOT differ").select("b0", "b1", "start", "size")
-    differ = shared.filter("differ").select(
-        "b0", "b1", F.struct("key", "shard", "start", "size").alias("run")
-    )
-    wanted = differ.groupBy("b0", "b1").agg(F.collect_set("run").alias("runs"))
-    fields = [F.col(f"runs.{c}").alias(c) for c in ("key", "shard", "start", "size")]
-    cut = texts.join(wanted, ["b0", "b1"]).select("b0", "b1", "text", *fields).mapInPandas(
-        _cut_runs(length), f"key long, shard long, {_RUN}, bytes binary"
-    )
-    crowds = shared.filter(F.col("differ") & (F.col("n") > CROWD)).select("key").distinct()
+    differ = shared.filter("differ")
     contexts = stored(
-        cut.join(crowds.withColumn("crowd", F.lit(True)), "key", "left").withColumn(
-            "crowd", F.coalesce("crowd", F.lit(False))
+        differ.groupBy("key", "context").agg(
+            (F.min("shard") == F.max("shard")).alias("open"),
+            F.min(F.struct("b0", "b1", "start", "size")).alias("run"),
         ),
         "suffix-contexts",
     )
+    # So do those of a context in several shards; one of them stands for all from here on.
+    settled = contexts.filter("NOT open").select("key", "context")
+    known = differ.join(settled, ["key", "context"]).select("b0", "b1", "start", "size")
+    crowds = (
+        contexts.groupBy("key")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select("key", (F.col("n") > CROWD).alias("crowd"))
+    )
+    # A text's list is bounded by its length: each place in it starts one run.
+    names = ["key", "start", "size", "open", "crowd"]
+    run = F.struct("key", "run.start", "run.size", "open", "crowd").alias("run")
+    wanted = (
+        contexts.join(crowds, "key")
+        .select("run.b0", "run.b1", run)
+        .groupBy("b0", "b1")
+        .agg(F.collect_list("run").alias("runs"))
+    )
+    cut = (
+        one_text_each(texts)
+        .join(wanted, ["b0", "b1"])
+        .select("b0", "b1", "text", *[F.col(f"runs.{c}").alias(c) for c in names])
+        .mapInPandas(_cut_runs(length), _CUT)
+    )
+    cuts = stored(cut, "suffix-cuts")
     merged = (
-        contexts.filter("NOT crowd")
-        .drop("crowd")
+        cuts.filter("NOT crowd")
         .repartition("key")
         .sortWithinPartitions("key")
         .mapInPandas(_merge(length), _RUN)
     )
-    strings = contexts.filter("crowd").mapInPandas(
-        _spread(length), "one long, two long, shard long, b0 long, b1 long, start int"
+    parts = _met(cuts.filter("crowd"), length, _STEP, "suffix-parts")
+    strings = _met(parts, length, 1, "suffix-strings").filter("open")
+    single = strings.select("b0", "b1", "start", "size")
+    return (
+        within.unionByName(whole).unionByName(known).unionByName(merged).unionByName(single)
     )
-    again = (
-        strings.groupBy("one", "two")
-        .agg(F.min("shard").alias("s0"), F.max("shard").alias("s1"))
-        .filter("s0 <> s1")
-        .select("one", "two")
-    )
-    spread = strings.join(again, ["one", "two"]).select(
-        "b0", "b1", "start", F.lit(1).alias("size")
-    )
-    return within.unionByName(whole).unionByName(merged).unionByName(spread)
 
 
 def _remove(length: int, with_kept: bool):
     """Texts with the runs of their repeated strings to what is left of them."""
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    names = ["b0", "b1", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 
     def spans_of(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Maximal stretches that the strings of sorted runs cover."""
@@ -343,9 +386,9 @@ def _remove(length: int, with_kept: bool):
                         edges = zip([0, *ends], [*begins, len(raw)], strict=True)
                         left = b"".join(raw[a:b] for a, b in edges)
                     digest = hashlib.sha256(left).hexdigest()
-                    made = (row.doc_id, len(raw), len(raw) - len(left), n_spans, digest)
+                    made = (row.b0, row.b1, len(raw), len(raw) - len(left), n_spans, digest)
                     out.append((*made, left) if with_kept else made)
-                yield pd.DataFrame(out, columns=names[: 6 if with_kept else 5])
+                yield pd.DataFrame(out, columns=names[: 7 if with_kept else 6])
 
     return work
 
@@ -364,12 +407,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_kept: bool = True
     repeats = found.groupBy("b0", "b1").agg(
         F.collect_set(F.struct("start", "size")).alias("repeats")
     )
-    joined = texts.join(repeats, ["b0", "b1"], "left").select(
-        "doc_id", "text", F.col("repeats.start").alias("start"), F.col("repeats.size").alias("size")
-    )
-    return map_carrying(
-        joined,
-        ["doc_id"],
-        _remove(length, with_kept),
-        "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept,
+    joined = (
+        one_text_each(texts.select("b0", "b1", "text"))
+        .join(repeats, ["b0", "b1"], "left")
+        .select(
+            "b0", "b1", "text", F.col("repeats.start").alias("start"), F.col("repeats.size").alias("size")
+        )
     )
+    made = "b0 long, b1 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    cleaned = joined.mapInPandas(_remove(length, with_kept), made + ", kept binary" * with_kept)
+    return texts.select("doc_id", "b0", "b1").join(cleaned, ["b0", "b1"]).drop("b0", "b1")
