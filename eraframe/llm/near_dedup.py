@@ -350,10 +350,7 @@ def _with_sets(likeness: Likeness) -> Callable[[Iterator[pd.DataFrame]], Iterato
 
 
 def near_duplicates(docs: DataFrame, likeness: Likeness = Likeness()) -> DataFrame:  # noqa: B008
-    """doc_id, n_shingles, class_key, component_id, kept and links of every document.
-
-    ``links`` counts the verified links of the document's class that were needed to find
-    the components.
+    """doc_id, n_shingles, class_key, component_id and kept of every document.
 
     ``component_id`` is the smallest doc_id that a document reaches by links, its own
     included, and ``kept`` marks the document with this id; ``class_key`` is equal for
@@ -406,17 +403,9 @@ def near_duplicates(docs: DataFrame, likeness: Likeness = Likeness()) -> DataFra
     of_class = named.join(heads, "component").select(
         F.col("class_key").alias("_class"), "component_id"
     )
-    degree = (
-        links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-        .select(F.explode(F.array("a", "b")).alias("_linked"))
-        .groupBy("_linked")
-        .agg(F.count(F.lit(1)).alias("links"))
-    )
     own = described.select("doc_id", "n_shingles", "class_key")
     return (
         own.join(of_class, own["class_key"] == of_class["_class"], "left")
-        .join(degree, F.col("class_key") == F.col("_linked"), "left")
         .withColumn(
             "component_id",
             F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")),
@@ -427,7 +416,6 @@ def near_duplicates(docs: DataFrame, likeness: Likeness = Likeness()) -> DataFra
             "class_key",
             "component_id",
             F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
-            F.coalesce("links", F.lit(0)).alias("links"),
         )
     )
 

@@ -126,7 +126,7 @@ def near_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         read_table(spark, sf_dir, "documents"),
         near_dedup.Likeness(shingle=3, percent=85, bands=20, rows=4, extra=48),
     )
-    return found.select("doc_id", "n_shingles", "component_id", "kept", "links")
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
