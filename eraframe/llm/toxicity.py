@@ -16,14 +16,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, map_carrying
 from .tokens import in_parts
 
-STEPS = 32  # words of a sequence; a text is a run of such sequences
+STEPS = 32  # words that messages pass through at a time; a text is a run of such rows
 SAMPLE = 4_000  # labelled documents that the model is fitted on at most
+SAMPLE_CHARS = 16_000_000  # and their code points
 FOLDS = 5
 _PUNCTUATION = ".,;:!?\"'()[]{}<>*#$%&|-_"
 _REMEMBERED = 1_000_000
@@ -39,39 +40,92 @@ def word_features(word: str) -> list[str]:
 
 
 def marginals(emission: np.ndarray, start: np.ndarray, moves: np.ndarray):
-    """Chance of state 1 at each step of sequences [n, steps], and of each move summed.
+    """:func:`text_marginals` of sequences of one length, [n, steps]."""
+    n, steps = emission.shape
+    toxic, pairs = text_marginals(emission.ravel(), np.arange(1, n + 1) * steps, start, moves)
+    return toxic.reshape(n, steps), pairs
+
+
+def text_marginals(emission: np.ndarray, ends: np.ndarray, start: np.ndarray, moves: np.ndarray):
+    """Chance of state 1 at each word of texts that end at ``ends``, and of each move summed.
 
     ``emission`` is the score of state 1 over state 0, ``start`` and ``moves`` are the
-    scores of the first state and of moves between states. Messages are scaled to
-    sum to one at every step.
+    scores of the first state and of moves between states. A text is a chain over all of
+    its words, laid out in rows of ``STEPS``: all rows at once get the product of their
+    steps, those products carry messages from row to row, and the rows then pass the
+    messages that they received through their words. Messages are scaled to sum to one.
     """
-    n, steps = emission.shape
-    lift = np.exp(np.clip(emission, -_LIMIT, _LIMIT))
-    move = np.exp(moves)
-    ahead = np.empty((steps, 2, n))
-    ahead[0, 0], ahead[0, 1] = np.exp(start[0]), np.exp(start[1]) * lift[:, 0]
-    ahead[0] /= ahead[0].sum(axis=0)
-    for t in range(1, steps):
-        a0, a1 = ahead[t - 1]
-        b0 = a0 * move[0, 0] + a1 * move[1, 0]
-        b1 = (a0 * move[0, 1] + a1 * move[1, 1]) * lift[:, t]
-        total = b0 + b1
-        ahead[t, 0], ahead[t, 1] = b0 / total, b1 / total
-    toxic = np.empty((n, steps))
-    toxic[:, -1] = ahead[-1, 1]
-    after = np.ones((2, n))
-    pairs = np.zeros((2, 2))
-    for t in range(steps - 1, 0, -1):
-        w0, w1 = after[0], after[1] * lift[:, t]
-        joint = [[ahead[t - 1, i] * move[i, j] * (w0, w1)[j] for j in (0, 1)] for i in (0, 1)]
-        total = joint[0][0] + joint[0][1] + joint[1][0] + joint[1][1]
-        pairs += [[(x / total).sum() for x in row] for row in joint]
-        toxic[:, t - 1] = (joint[1][0] + joint[1][1]) / total
-        b0 = move[0, 0] * w0 + move[0, 1] * w1
-        b1 = move[1, 0] * w0 + move[1, 1] * w1
-        scale = b0 + b1
-        after = np.stack([b0 / scale, b1 / scale])
-    return toxic, pairs
+    if not len(emission):
+        return np.zeros(0), np.zeros((2, 2))
+    sizes = np.diff(np.concatenate([[0], ends]))
+    in_rows = -(-sizes // STEPS)
+    first_row = np.cumsum(in_rows) - in_rows
+    at = np.repeat(first_row * STEPS, sizes) + np.arange(len(emission)) - np.repeat(ends - sizes, sizes)
+    n = int(in_rows.sum())
+    lift, real = np.ones(n * STEPS), np.zeros(n * STEPS, dtype=bool)
+    lift[at], real[at] = np.exp(np.clip(emission, -_LIMIT, _LIMIT)), True
+    lift, real = lift.reshape(n, STEPS).T, real.reshape(n, STEPS).T
+    opening = np.zeros(n, dtype=bool)
+    opening[first_row[sizes > 0]] = True
+    step = _steps(lift, real, opening, np.exp(start), np.exp(moves))
+    ahead, after = _messages(step, first_row, in_rows)
+    return _passed_on(step, ahead, after, real, opening, at)
+
+
+def _steps(lift, real, opening, start, move) -> np.ndarray:
+    """[step, from, to, row]: weights of each move; a first word counts from either state
+    alike, and nothing moves behind a text's end."""
+    steps, n = lift.shape
+    step = np.empty((steps, 2, 2, n))
+    for i in (0, 1):
+        for j in (0, 1):
+            step[:, i, j] = np.where(real, move[i, j] * (lift if j else 1.0), float(i == j))
+            step[0, i, j, opening] = start[j] * (lift[0, opening] if j else 1.0)
+    return step
+
+
+def _messages(step, first_row, in_rows) -> tuple[np.ndarray, np.ndarray]:
+    """Messages [state, row] that reach each row from before and from behind."""
+    product = step[0]
+    for t in range(1, len(step)):
+        product = np.einsum("ijn,jkn->ikn", product, step[t])
+        product = product / product.sum(axis=(0, 1))
+    n = product.shape[2]
+    ahead, after = np.full((2, n), 0.5), np.full((2, n), 0.5)
+    longest_first = np.argsort(-in_rows, kind="stable")
+    first, count = first_row[longest_first], in_rows[longest_first]
+    for r in range(1, int(count[0]) if len(count) else 0):
+        open_texts = np.searchsorted(-count, -r, side="left")
+        row = first[:open_texts] + r
+        ahead[:, row] = _scaled(np.einsum("in,ijn->jn", ahead[:, row - 1], product[:, :, row - 1]))
+        row = (first + count)[:open_texts] - 1 - r
+        after[:, row] = _scaled(np.einsum("ijn,jn->in", product[:, :, row + 1], after[:, row + 1]))
+    return ahead, after
+
+
+def _scaled(message: np.ndarray) -> np.ndarray:
+    return message / message.sum(axis=0)
+
+
+def _passed_on(step, ahead, after, real, opening, at) -> tuple[np.ndarray, np.ndarray]:
+    """Chances of words and summed moves from the messages that reach the rows."""
+    steps, n = real.shape
+    held = np.empty((steps + 1, 2, n))
+    held[0] = ahead
+    for t in range(steps):
+        a0, a1 = held[t]
+        held[t + 1] = _scaled(
+            np.stack([a0 * step[t, 0, 0] + a1 * step[t, 1, 0], a0 * step[t, 0, 1] + a1 * step[t, 1, 1]])
+        )
+    toxic, pairs = np.empty((n, steps)), np.zeros((2, 2))
+    for t in range(steps - 1, -1, -1):
+        both = held[t + 1] * after
+        toxic[:, t] = both[1] / both.sum(axis=0)
+        joint = held[t][:, None] * step[t] * after[None]
+        moved = real[t] & ~opening if t == 0 else real[t]
+        pairs += (joint / joint.sum(axis=(0, 1)))[:, :, moved].sum(axis=2)
+        after = _scaled(joint.sum(axis=1) / held[t])
+    return toxic.ravel()[at], pairs
 
 
 @dataclass
@@ -92,24 +146,9 @@ class ToxicField:
         return 1 / (1 + np.exp(-np.clip(z, -_LIMIT, _LIMIT)))
 
 
-def _sequences(flat: np.ndarray, ends: np.ndarray, blank: float) -> tuple[np.ndarray, np.ndarray]:
-    """Token values in rows of ``STEPS``, each text from a new row, and the rows' places."""
-    sizes = np.diff(np.concatenate([[0], ends]))
-    rows = -(-sizes // STEPS)
-    first_row = np.cumsum(rows) - rows
-    within = np.arange(len(flat)) - np.repeat(ends - sizes, sizes)
-    at = np.repeat(first_row * STEPS, sizes) + within
-    table = np.full(int(rows.sum()) * STEPS, blank)
-    table[at] = flat
-    return table.reshape(-1, STEPS), at
-
-
 def token_chances(model: ToxicField, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Chance that each token is toxic; sequences end with neutral padding."""
-    if not len(flat):
-        return np.zeros(0)
-    table, at = _sequences(flat, ends, model.bias)
-    return marginals(table, model.start, model.moves)[0].ravel()[at]
+    """Chance that each token is toxic; a text is one chain."""
+    return text_marginals(flat, ends, model.start, model.moves)[0]
 
 
 def evidence(chances: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -152,35 +191,28 @@ def _marking_features(texts: Sequence[list[str]], toxic: np.ndarray) -> set[str]
 
 
 def _fit_field(texts: Sequence[list[str]], toxic: np.ndarray, rounds: int = 60) -> ToxicField:
-    """Weights by AdaGrad on sequences with labelled tokens and as many without."""
+    """Weights by AdaGrad on whole documents with labelled tokens."""
     marking = _marking_features(texts, toxic)
-    rows, labels = [], []
-    quiet = 0
-    for words, label in zip(texts, toxic, strict=True):
-        for i in range(0, len(words), STEPS):
-            part = words[i : i + STEPS]
-            marks = [bool(label) and not marking.isdisjoint(word_features(w)[:3]) for w in part]
-            # Of sequences without a mark every third is enough.
-            quiet += not any(marks)
-            if any(marks) or quiet % 3 == 0:
-                rows.append(part)
-                labels.append(marks)
     names: dict[str, int] = {}
+    known = {w: i for i, w in enumerate(dict.fromkeys(w for words in texts for w in words))}
     width = 4
-    n = len(rows)
-    ids = np.zeros((n, STEPS, width), dtype=np.int64)
-    y = np.zeros((n, STEPS))
-    for r, (part, marks) in enumerate(zip(rows, labels, strict=True)):
-        for t, (w, mark) in enumerate(zip(part, marks, strict=True)):
-            y[r, t] = mark
-            for k, f in enumerate(word_features(w)):
-                ids[r, t, k] = names.setdefault(f, len(names) + 1)
+    features = np.zeros((len(known), width), dtype=np.int64)
+    marked = np.zeros(len(known), dtype=bool)
+    for word, i in known.items():
+        own = word_features(word)
+        features[i, : len(own)] = [names.setdefault(f, len(names) + 1) for f in own]
+        marked[i] = not marking.isdisjoint(own[:3])
+    sizes = np.array([len(words) for words in texts], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    opens = (ends - sizes)[sizes > 0]
+    word = np.array([known[w] for words in texts for w in words], dtype=np.int64)
+    y = (marked[word] & np.repeat(toxic.astype(bool), sizes)).astype(np.float64)
+    inside = np.ones(len(y), dtype=bool)
+    inside[opens] = False
+    later = np.flatnonzero(inside)
+    seen = np.bincount((2 * y[later - 1] + y[later]).astype(np.int64), minlength=4).reshape(2, 2)
+    first = np.array([(y[opens] == 0).sum(), (y[opens] == 1).sum()])
     weights, start, moves, bias = np.zeros(len(names) + 1), np.zeros(2), np.zeros((2, 2)), -4.0
-    seen = np.zeros((2, 2))
-    for i in (0, 1):
-        for j in (0, 1):
-            seen[i, j] = ((y[:, :-1] == i) & (y[:, 1:] == j)).sum()
-    first = np.array([(y[:, 0] == 0).sum(), (y[:, 0] == 1).sum()])
     square = {k: 1e-8 for k in ("w", "s", "m", "b")}
     square["w"] = np.full(len(weights), 1e-8)
 
@@ -189,19 +221,19 @@ def _fit_field(texts: Sequence[list[str]], toxic: np.ndarray, rounds: int = 60)
         return 0.5 * gradient / np.sqrt(square[key])
 
     for _ in range(rounds):
-        chance, pairs = marginals(weights[ids].sum(axis=2) + bias, start, moves)
+        scores = weights[features].sum(axis=1) + bias
+        chance, pairs = text_marginals(scores[word], ends, start, moves)
         error = chance - y
-        g = np.bincount(
-            ids.ravel(), np.repeat(error.ravel(), width), minlength=len(weights)
-        ) + 0.05 * weights
+        by_word = np.bincount(word, error, minlength=len(known))
+        g = np.bincount(features.ravel(), np.repeat(by_word, width), minlength=len(weights))
+        g += 0.05 * weights
         g[0] = 0.0
         weights -= step("w", g)
         weights[0] = 0.0
         bias -= step("b", error.sum())
         moves = moves - step("m", pairs - seen + 0.05 * moves)
-        start = start - step(
-            "s", np.array([(1 - chance[:, 0]).sum(), chance[:, 0].sum()]) - first + 0.05 * start
-        )
+        begun = np.array([(1 - chance[opens]).sum(), chance[opens].sum()])
+        start = start - step("s", begun - first + 0.05 * start)
     kept = {f: float(weights[i]) for f, i in names.items() if abs(weights[i]) > 0.02}
     return ToxicField(kept, float(bias), start, moves)
 
@@ -247,9 +279,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(text, toxic) of at most ``sample`` labelled documents that are not held out,
-    chosen by a hash of their id. The chosen ids are bounded, so they are broadcast."""
+def training_rows(
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS
+) -> DataFrame:
+    """(text, toxic) of labelled documents that are not held out, chosen by a hash of their
+    id: at most ``sample`` of them, and of those at most ``chars`` code points in all.
+    The chosen ids are bounded, so they are broadcast. No labels or no rows give no rows."""
     chosen = (
         labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1))
         .filter(F.col("doc_id").isNotNull())
@@ -257,8 +292,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
         .orderBy(F.xxhash64("doc_id"), "doc_id", "toxic")
         .limit(sample)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return rows.orderBy(F.xxhash64("doc_id"), "text", "toxic").limit(sample)
+    size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    rows = docs.select("doc_id", "text", size.alias("size")).filter(F.col("size") <= chars)
+    order = [F.xxhash64("doc_id"), F.col("text"), F.col("toxic")]
+    few = rows.join(F.broadcast(chosen), "doc_id").orderBy(*order).limit(sample)
+    so_far = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return few.withColumn("used", F.sum("size").over(so_far)).filter(F.col("used") <= chars).drop(
+        "size", "used"
+    )
 
 
 class _Emissions(dict):
@@ -338,6 +379,8 @@ def learn_and_score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     """doc_id, held_out, score, predicted and spans, with a model from the labels.
 
     Only the text decides a score. Documents without an id are scored and not held out.
+    Rows that repeat a labelled id teach once each; ties in the order of the sample go by
+    text and label. No documents give no rows, and no labels the same score for all.
     """
     rows = training_rows(docs, labels, sample).collect()
     model = fit([r.text for r in rows], [r.toxic for r in rows])

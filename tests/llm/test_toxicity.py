@@ -31,6 +31,43 @@ def test_marginals_against_all_labelings():
     assert pairs == pytest.approx(all_pairs)
 
 
+@pytest.mark.parametrize("steps", [1, 3, 32])
+def test_texts_are_chains_over_all_their_words(monkeypatch, steps):
+    """Messages cross rows: texts of many rows against the same texts word after word."""
+    monkeypatch.setattr(toxicity, "STEPS", steps)
+    rng = np.random.default_rng(5)
+    sizes = np.array([0, 1, 7, 3, 0, 200, 6, 33])
+    emission, start, moves = rng.normal(size=sizes.sum()) * 3, rng.normal(size=2), rng.normal(size=(2, 2)) * 2
+    got, pairs = toxicity.text_marginals(emission, np.cumsum(sizes), start, moves)
+    move, want, want_pairs, begin = np.exp(moves), [], np.zeros((2, 2)), 0
+    for size in sizes:
+        lift = np.exp(np.stack([np.zeros(size), emission[begin : begin + size]], axis=1))
+        begin += size
+        ahead, after = [], [np.ones(2)]
+        for t in range(size):
+            a = (ahead[-1] @ move if t else np.exp(start)) * lift[t]
+            ahead.append(a / a.sum())
+        for t in range(size - 1, 0, -1):
+            joint = ahead[t - 1][:, None] * move * (lift[t] * after[-1])[None]
+            want_pairs += joint / joint.sum()
+            b = move @ (lift[t] * after[-1])
+            after.append(b / b.sum())
+        want += [(a * b)[1] / (a * b).sum() for a, b in zip(ahead, after[::-1], strict=bool(size))]
+    assert got == pytest.approx(np.array(want)) and pairs == pytest.approx(want_pairs)
+
+
+def test_training_rows_are_bounded_in_number_and_size(spark):
+    docs = spark.createDataFrame([(i, "x" * (50 + i)) for i in range(100)], "doc_id long, text string")
+    docs = docs.unionByName(spark.createDataFrame([(100, "y" * 9_000)], docs.schema))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(101)], "doc_id long, toxic int")
+    size = lambda rows: sum(len(r.text) for r in rows)
+    every = toxicity.training_rows(docs, labels).collect()
+    assert len(every) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(101))
+    assert len(toxicity.training_rows(docs, labels, sample=20).collect()) == 20
+    some = toxicity.training_rows(docs, labels, chars=2_000).collect()
+    assert 1_500 < size(some) <= 2_000 and all(r.text[0] == "x" for r in some)
+
+
 def made_documents(n, seed):
     """Plain texts, some with offending words or words that begin like them."""
     rng = np.random.default_rng(seed)
