@@ -24,6 +24,8 @@ from .tokens import encoder, in_parts
 CAPACITY = 4096
 END_ID = 1
 _RANK_BITS = 48
+# Characters of texts whose ids a worker holds at a time.
+_AT_ONCE = 1_000_000
 
 
 def pack_lengths(docs: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
@@ -127,7 +129,7 @@ def cut_pieces(
         encode = encoder(tokenizer)
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
         for batch in batches:
-            for part in in_parts(batch):
+            for part in in_parts(batch, _AT_ONCE):
                 flat, ends = encode(part["text"].tolist())
                 rows = []
                 begin = 0

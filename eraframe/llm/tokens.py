@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -10,8 +11,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 
-# Distinct words that a worker remembers before it starts afresh.
-_REMEMBERED = 1_000_000
+# Distinct words that a worker remembers, and how many of them it keeps when they are too many:
+# those that came up first, among which are the frequent ones.
+_REMEMBERED = 500_000
+_KEPT = 200_000
 # Characters of texts that are worked on at a time.
 _AT_ONCE = 2_000_000
 _PLAIN = re.compile(rb"[a-z]+")
@@ -33,14 +36,16 @@ class _WordIds(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
         self.new: list[bytes] = []
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
         self.stops = np.zeros(1 << 14, dtype=np.int64)  # where each word's ids end
 
+    def forget(self) -> None:
+        """Drops the words that came up after the first ``_KEPT`` ones."""
+        kept = list(itertools.islice(self.items(), _KEPT))
+        self.clear()
+        self.update(kept)
+
     def __missing__(self, word: bytes) -> int:
         number = self[word] = len(self)
         self.new.append(word)
@@ -99,10 +104,10 @@ def encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
     return _WordIds(path).encode
 
 
-def in_parts(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """A batch in runs of rows of about two million characters; null texts as empty."""
+def in_parts(batch: pd.DataFrame, at_once: int = _AT_ONCE) -> Iterator[pd.DataFrame]:
+    """A batch in runs of rows of about ``at_once`` characters; null texts as empty."""
     batch = batch.assign(text=batch["text"].fillna(""))
     size = batch["text"].str.len().to_numpy()
-    part = (np.cumsum(size) - size) // _AT_ONCE
+    part = (np.cumsum(size) - size) // at_once
     for _, rows in batch.groupby(part, sort=True):
         yield rows

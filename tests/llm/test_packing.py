@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from eraframe.llm import packing, queries
+from eraframe.llm import packing, queries, tokens
 from eraframe.llm.tokens import encoder
 from tests.conftest import SMALL
 from tests.llm.cases import no_documents, odd_documents, odd_rows, small_documents
@@ -85,6 +85,19 @@ def test_word_ids_equal_the_tokenizer(tokenizer):
         begin = end
 
 
+def test_words_that_a_worker_forgets_are_encoded_again(tokenizer, monkeypatch):
+    monkeypatch.setattr(tokens, "_REMEMBERED", 40)
+    monkeypatch.setattr(tokens, "_KEPT", 10)
+    encode = tokens._WordIds(PATH)
+    for text in [t for _, t in small_documents()[:30] if t]:
+        first = list(encode)[:10]
+        flat, _ = encode.encode([text])
+        assert flat.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        # The first words stay, and no text leaves more than its own words and the allowed ones.
+        assert list(encode)[: len(first)] == first
+        assert len(encode) <= 40 + len(text.split())
+
+
 def best_fit(lengths, capacity):
     """Bins of plain best-fit decreasing, one piece after the other."""
     gaps = []
