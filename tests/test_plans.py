@@ -119,6 +119,21 @@ def test_wanted_films_filter_the_fact_before_its_shuffle(spark, stored, no_auto_
     assert len(fact) == 1 and "movie_key" in fact[0]
 
 
+def test_corpus_sorts_a_text_once_per_film_and_year(spark, make_star, no_auto_broadcast):
+    facts = [
+        {"movie_key": key, "date_key": year, "revenue": n}
+        for key, year, copies in ((1, 2000, 2500), (1, 2001, 1), (2, 2000, 1024))
+        for n in range(copies)
+    ]
+    films = [{"movie_key": key, "overview": f"{key} {'word ' * 20}"} for key in (1, 2)]
+    macro = [{"year": y, "gdp_growth_rate": 1.0, "unemployment_rate": 5.0, "inflation_rate": 2.0} for y in (2000, 2001)]
+    corpus = run_report("sentiment_corpus", make_star(facts, films, macro))
+    sort = corpus._jdf.queryExecution().optimizedPlan().toString().split("Sort [", 1)
+    assert "Generate explode" in sort[0] and "Aggregate [movie_key" in sort[1]
+    rows = [(r.release_year, r.movie_id, r.overview[0]) for r in corpus.collect()]
+    assert rows == [(2000, 1, "1")] * 2500 + [(2000, 2, "2")] * 1024 + [(2001, 1, "1")]
+
+
 def _shares(spark, rows: int):
     """A hot group with most of the rows, and two others; one group is null."""
     df = spark.range(rows).selectExpr(
