@@ -64,6 +64,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Stored bytes of texts for one task of a join, and the most tasks that are asked for. Beyond 200 tasks the
+# shuffle sorts texts in memory where they are read, so tasks are not smaller than they need be.
+TEXT_TASK_BYTES = 32 << 20
+TEXT_TASKS = 20_000
+
+
+def texts_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, dealt by id to as many tasks as their files call for.
+
+    A join sorts them; with the few shuffle partitions of some sessions a task's texts would
+    outgrow its memory and be spilled whole. Where the session has enough partitions, they are
+    left to adaptive execution.
+    """
+    documents = table(spark, sf_dir, "documents")
+    files = documents.select("_metadata.file_path", "_metadata.file_size").distinct()
+    stored = files.agg(F.coalesce(F.sum("file_size"), F.lit(0))).first()[0]
+    documents = documents.select("doc_id", "text")
+    tasks = min(-(-stored // TEXT_TASK_BYTES), TEXT_TASKS)
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    first = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    return documents.repartition(tasks, "doc_id") if tasks > int(first or usual) else documents
+
+
 def release_fact(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
     """One release per (order, part), its money scaled to film budgets.
 
@@ -114,7 +137,7 @@ def film_dimension(spark: SparkSession, sf_dir: str, overviews: bool = False) ->
     )
     if not overviews:
         return films.withColumn("overview", F.lit(None).cast("string"))
-    texts = table(spark, sf_dir, "documents").select(
+    texts = texts_by_id(spark, sf_dir).select(
         F.col("doc_id").alias("movie_key"), F.col("text").alias("overview")
     )
     return films.join(texts, "movie_key", "left")
@@ -252,7 +275,7 @@ def raw_films(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(
         RAW_FILMS_SQL,
         orders=table(spark, sf_dir, "orders"),
-        documents=table(spark, sf_dir, "documents"),
+        documents=texts_by_id(spark, sf_dir),
     )
 
 

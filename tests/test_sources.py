@@ -188,3 +188,20 @@ def test_funnel_is_counted_by_the_write(spark, tmp_path):
     assert len(jobs) == 1
     assert sorted(tuples(written)) == sorted(tuples(clean_funnel(raw)))
     assert spark.read.parquet(str(tmp_path / "clean")).count() == clean_films(raw).count()
+
+
+def test_texts_are_dealt_to_as_many_tasks_as_their_files_call_for(spark, tmp_path, monkeypatch):
+    def rows(name: str, schema: str, *some: tuple) -> None:
+        spark.createDataFrame(list(some), schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    texts = [(i, f"text {i}", "en", "web", 6) for i in range(50)]
+    rows("documents", testdata.TABLE_SCHEMAS["documents"], *texts, (None, "lost", "en", "web", 4))
+    rows("part", testdata.TABLE_SCHEMAS["part"], *[(i, f"a ring {i}", "b", "t", 1, 1.0) for i in (1, 2, 70)])
+    few = testdata.texts_by_id(spark, str(tmp_path))
+    monkeypatch.setattr(testdata, "TEXT_TASK_BYTES", 64)
+    many = testdata.texts_by_id(spark, str(tmp_path))
+    films = testdata.film_dimension(spark, str(tmp_path), overviews=True)
+    assert "RepartitionByExpression" not in few._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in many._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(many.fillna(-1).collect()) == sorted(few.fillna(-1).collect())
+    assert {(r.movie_id, r.overview) for r in films.collect()} == {(1, "text 1"), (2, "text 2"), (70, None)}
