@@ -16,6 +16,7 @@ from eraframe.functions.classify import decade_label
 from eraframe.functions.rounding import round_half_up
 from eraframe.operators.keyed import keep_first
 from eraframe.plans.load import popularity
+from eraframe.session import shuffle_tasks
 from eraframe.sources.readers import constant_table
 from eraframe.sources.star import Star
 
@@ -82,9 +83,7 @@ def texts_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = files.agg(F.coalesce(F.sum("file_size"), F.lit(0))).first()[0]
     documents = documents.select("doc_id", "text")
     tasks = min(-(-stored // TEXT_TASK_BYTES), TEXT_TASKS)
-    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    first = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
-    return documents.repartition(tasks, "doc_id") if tasks > int(first or usual) else documents
+    return documents.repartition(tasks, "doc_id") if tasks > shuffle_tasks(spark) else documents
 
 
 def release_fact(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:

@@ -134,6 +134,68 @@ def test_corpus_sorts_a_text_once_per_film_and_year(spark, make_star, no_auto_br
     assert rows == [(2000, 1, "1")] * 2500 + [(2000, 2, "2")] * 1024 + [(2001, 1, "1")]
 
 
+@pytest.fixture
+def whole_partitions(spark):
+    """Small partitions stay apart, so that the order over tasks shows."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.set(key, before)
+
+
+def _releases(film: int, year: int) -> int:
+    """Film 3 outgrows a row of the corpus in one year and has none in another."""
+    if film == 3:
+        return {2001: 0, 2002: 2500}.get(year, 1)
+    return (film + year) % 4
+
+
+@pytest.mark.parametrize("stores", [True, False])
+def test_corpus_moves_a_text_once_for_all_years(
+    spark, make_star, no_auto_broadcast, whole_partitions, monkeypatch, stores
+):
+    if not stores:
+        monkeypatch.setattr(reports.sinks, "shared_folder", lambda spark: None)
+    years, keys = range(2000, 2006), range(60)
+    facts = [
+        {"movie_key": key, "date_key": year, "revenue": n}
+        for key in keys
+        for year in years
+        for n in range(_releases(key, year))
+    ]
+    films = [{"movie_key": key, "overview": f"{key} {'word ' * (key % 20 + 1)}"} for key in keys]
+    macro = [
+        {"year": y, "gdp_growth_rate": y - 2001.0, "unemployment_rate": 5.0, "inflation_rate": 2.0} for y in years[1:]
+    ]
+    star = make_star(facts, films, macro)
+    # A year that the calendar has twice brings its releases twice.
+    star = replace(star, dates=star.dates.union(star.dates.filter("date_key = 2004")))
+    expected = [
+        (year, key, year - 2001.0, "Crisis" if year < 2001 else "Stable")
+        for year in years[1:]
+        for key in keys
+        for _ in range(_releases(key, year) * (2 if year == 2004 else 1))
+        if len(films[key]["overview"].rstrip()) > 50
+    ]
+    corpus = run_report("sentiment_corpus", star)
+    rows = corpus.collect()
+    assert [(r.release_year, r.movie_id, r.gdp_growth_rate, r.era_type) for r in rows] == expected
+    assert all(r.overview == films[r.movie_id]["overview"] and r.title == f"film {r.movie_id}" for r in rows)
+    final = _plan(corpus).split("== Initial Plan ==")[0]
+    ranges = [line for line in final.splitlines() if "Exchange rangepartitioning" in line and "ReusedExchange" not in line]
+    assert len(ranges) == 1 and "movie_key" in ranges[0]
+    assert final.count("ReusedExchange") >= len(years) - 2
+    unordered = run_report("sentiment_corpus", star, ordered=False).collect()
+    assert sorted(map(tuple, unordered)) == sorted(map(tuple, rows))
+
+
+def test_corpus_meets_the_calendar_without_texts(stored, no_auto_broadcast):
+    """Texts moved by year would pile up in as many tasks as there are years."""
+    plan = _plan(run_report("sentiment_corpus", stored, ordered=False))
+    assert "BroadcastHashJoin [release_year" in plan and "SortMergeJoin [movie_key" in plan
+
+
 def _shares(spark, rows: int):
     """A hot group with most of the rows, and two others; one group is null."""
     df = spark.range(rows).selectExpr(
